@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from string import ascii_letters, digits
+
 from pyspark.sql import Column, functions as F
 
-# The characters trimmed, and the digits beyond \p{Nd} (superscripts, circled forms).
-_SPACE = r"[\s\x1c-\x1f]"
+# White space that is trimmed, and digits beyond \p{Nd} (superscripts, circled forms).
+_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _OTHER_DIGITS = (
     r"²³¹፩-፱᧚⁰⁴-⁹₀-₉①-⑨⑴-⑼"
     r"⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
@@ -18,43 +24,48 @@ _DATE = r"(?U)^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?$"
 
 def strip(text: Column) -> Column:
     """Drop white space of any kind from both ends."""
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.trim(text, F.lit(_SPACE))
 
 
 def _shape(text: Column) -> Column:
-    letters = F.regexp_replace(text, r"\p{L}", "A")
-    return F.regexp_replace(letters, rf"[\p{{Nd}}{_OTHER_DIGITS}]", "9")
+    """Letters to A and digits to 9: ASCII by a lookup, the rest by character class."""
+    plain = F.translate(text, ascii_letters + digits, "A" * len(ascii_letters) + "9" * len(digits))
+    letters = F.regexp_replace(plain, r"[[^\x00-\x7f]&&\p{L}]", "A")
+    return F.regexp_replace(letters, rf"[[^\x00-\x7f]&&[\p{{Nd}}{_OTHER_DIGITS}]]", "9")
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for a body that names it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _fold_runs(template: Column) -> Column:
     """Write a run of five or more equal characters (line breaks excepted) as X{n}.
 
-    The first alternative takes one long run, the second the stretch up to the next one, so the
-    array holds a handful of pieces however long the text is.
+    The template's only letter is A, so another letter can mark where runs begin and end.
     """
-    run = r"([^\n])\1{4,}"
-    pieces = F.regexp_extract_all(
-        template, F.lit(rf"(?s){run}|(?:(?!([^\n])\2{{4,}}).)+"), F.lit(0)
-    )
+    marked = F.regexp_replace(template, r"([^\n])\1{4,}", "Z$0Z")
 
-    def piece(p: Column) -> Column:
-        folded = F.concat(F.substring(p, 1, 1), F.lit("{"), F.length(p).cast("string"), F.lit("}"))
-        return F.when(p.rlike(rf"^{run}$"), folded).otherwise(p)
+    def piece(p: Column, i: Column) -> Column:
+        folded = F.concat(F.left(p, F.lit(1)), F.lit("{"), F.length(p).cast("string"), F.lit("}"))
+        return F.when(i % 2 == 1, folded).otherwise(p)
 
-    long_run = template.rlike(run)
-    return F.when(long_run, F.array_join(F.transform(pieces, piece), "")).otherwise(template)
+    return F.array_join(F.transform(F.split(marked, "Z"), piece), "")
 
 
 def structural_pattern(text: Column) -> Column:
     """'SKU-001' -> 'AAA-999'; 'empty', 'email', 'uuid' and 'date' are named; runs are folded."""
-    value = strip(text)
-    return (
-        F.when(value == "", "empty")
-        .when(value.rlike(_EMAIL), "email")
-        .when(value.rlike(_UUID), "uuid")
-        .when(value.rlike(_DATE), "date")
-        .otherwise(_fold_runs(_shape(value)))
-    )
+
+    def pattern(value: Column) -> Column:
+        return (
+            F.when(value == "", "empty")
+            .when(value.rlike(_EMAIL), "email")
+            .when(value.rlike(_UUID), "uuid")
+            .when(value.rlike(_DATE), "date")
+            .otherwise(_fold_runs(_shape(value)))
+        )
+
+    return _once(strip(text), pattern)
 
 
 def _edge(part: Column) -> Column:
@@ -67,18 +78,22 @@ def _edge(part: Column) -> Column:
 
 def mask_value(text: Column) -> Column:
     """First and last character around stars; e-mail addresses keep their form and last label."""
-    value = strip(text)
-    local = F.substring_index(value, "@", 1)
-    domain = F.substring_index(value, "@", -1)
-    label = F.substring_index(domain, ".", -1)
-    host = F.left(domain, F.length(domain) - F.length(label) - 1)
-    size = F.length(value)
-    starred = F.concat(F.left(value, F.lit(1)), F.repeat(F.lit("*"), size - 2), F.right(value, F.lit(1)))
-    return (
-        F.when(value.rlike(_EMAIL), F.concat(_edge(local), F.lit("@"), _edge(host), F.lit("."), label))
-        .when(size <= 2, F.repeat(F.lit("*"), size))
-        .otherwise(starred)
-    )
+
+    def mask(value: Column) -> Column:
+        local = F.substring_index(value, "@", 1)
+        domain = F.substring_index(value, "@", -1)
+        label = F.substring_index(domain, ".", -1)
+        host = F.left(domain, F.length(domain) - F.length(label) - 1)
+        address = F.concat(_edge(local), F.lit("@"), _edge(host), F.lit("."), label)
+        size = F.length(value)
+        stars = F.repeat(F.lit("*"), size - 2)
+        return (
+            F.when(value.rlike(_EMAIL), address)
+            .when(size <= 2, F.repeat(F.lit("*"), size))
+            .otherwise(F.concat(F.left(value, F.lit(1)), stars, F.right(value, F.lit(1))))
+        )
+
+    return _once(strip(text), mask)
 
 
 def redact_text(text: Column) -> Column:

@@ -6,9 +6,12 @@ parent_columns, parent_order (catalog order of the parent, then of the column ch
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesense.functions.names import base_type, trailing_token, type_signature
+from tablesense.sources.catalog import Estate
 
 CANDIDATE = [
     "rule", "owner", "table", "columns", "parent_owner", "parent_table", "parent_columns",
@@ -17,43 +20,64 @@ CANDIDATE = [
 MAX_CHOICES = 24  # beyond this many column choices a composite match is too ambiguous to try
 
 
-def _typed(columns: DataFrame) -> DataFrame:
-    signature = type_signature(*[F.col(c) for c in ("data_type", "length", "precision", "scale")])
-    return columns.select(
-        "owner", "table", "ordinal", "column", signature.alias("signature"),
-        base_type(signature).alias("base"), trailing_token(F.col("column")).alias("token"),
-    )
-
-
-def _keys(constraints: DataFrame, catalog_order: DataFrame) -> DataFrame:
-    """Primary and unique keys with their place in catalog order."""
-    keys = constraints.filter(F.col("kind").isin("P", "U")).join(catalog_order, ["owner", "table"])
-    place = F.row_number().over(W.orderBy("table_order", "name"))
-    return keys.withColumn("key_order", place)
-
-
-def catalog_order(tables: DataFrame, owners: list[str]) -> DataFrame:
-    """Owners in scan order, tables by name within an owner."""
-    rank = F.array_position(F.array(*[F.lit(o) for o in owners]), F.col("owner"))
-    place = F.row_number().over(W.orderBy(rank, "table"))
-    return tables.select("owner", "table", place.alias("table_order"))
-
+class CatalogFrames:
+    """The catalog as the rules read it: typed columns, keys in catalog order, declared references.
 
-def _single_keys(keys: DataFrame, typed: DataFrame) -> DataFrame:
-    """Single-column keys once per constraint, with the type and token of the key column."""
-    single = keys.filter(F.size("columns") == 1).select(
-        "owner", "table", F.col("columns")[0].alias("column"), "key_order", "kind"
-    )
-    return single.join(typed.drop("ordinal"), ["owner", "table", "column"])
+    Owners come in scan order, tables by name within an owner, keys by constraint name.
+    """
 
+    def __init__(self, tables: DataFrame, columns: DataFrame, constraints: DataFrame, owners: list[str]):
+        signature = type_signature(*[F.col(c) for c in ("data_type", "length", "precision", "scale")])
+        self.columns = columns.select(
+            "owner", "table", "ordinal", "column", signature.alias("signature"),
+            base_type(signature).alias("base"), trailing_token(F.col("column")).alias("token"),
+        )
+        rank = F.array_position(F.array(*[F.lit(o) for o in owners]), F.col("owner"))
+        keys = constraints.filter(F.col("kind").isin("P", "U")).join(tables.select("owner", "table"), ["owner", "table"])
+        place = F.row_number().over(W.orderBy(rank, "table", "name"))
+        self.keys = keys.withColumn("key_order", place)
+        self.declared = constraints.filter("kind = 'R'").select("owner", "table", "columns").distinct()
+
+    @classmethod
+    def of(cls, estate: Estate) -> "CatalogFrames":
+        owners = list(dict.fromkeys(owner for owner, _ in estate.keys()))
+        return cls(estate.tables(), estate.columns(), estate.constraints(), owners)
+
+    @cached_property
+    def single_keys(self) -> DataFrame:
+        """Single-column keys once per constraint, with the type and token of the key column."""
+        single = self.keys.filter(F.size("columns") == 1).select(
+            "owner", "table", F.col("columns")[0].alias("column"), "key_order", "kind"
+        )
+        return single.join(self.columns.drop("ordinal"), ["owner", "table", "column"])
+
+    @cached_property
+    def parents(self) -> DataFrame:
+        return self.single_keys.select(
+            F.col("owner").alias("parent_owner"), F.col("table").alias("parent_table"),
+            F.col("column").alias("parent_column"), F.col("base").alias("parent_type"),
+            F.col("token").alias("parent_token"), F.col("key_order").alias("parent_order"),
+            (F.col("kind") == "P").alias("parent_is_key"),
+        )
 
-def _declared(constraints: DataFrame) -> DataFrame:
-    return constraints.filter("kind = 'R'").select("owner", "table", "columns").distinct()
+    @cached_property
+    def composite_keys(self) -> DataFrame:
+        return self.keys.filter(F.size("columns") >= 2).select(
+            F.col("owner").alias("parent_owner"), F.col("table").alias("parent_table"),
+            F.col("columns").alias("parent_columns"), F.col("key_order"),
+        )
 
+    def undeclared(self, candidates: DataFrame) -> DataFrame:
+        """Leave out children whose columns already carry a declared foreign key."""
+        return candidates.join(self.declared, ["owner", "table", "columns"], "left_anti")
 
-def _not_declared(candidates: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Leave out children whose columns already carry a declared foreign key."""
-    return candidates.join(_declared(constraints), ["owner", "table", "columns"], "left_anti")
+    def flagged(self, candidates: DataFrame) -> DataFrame:
+        """Mark children that are their own table's single-column primary key."""
+        own = self.keys.filter((F.col("kind") == "P") & (F.size("columns") == 1)).select(
+            "owner", "table", "columns", F.lit(True).alias("own")
+        )
+        joined = candidates.join(own, ["owner", "table", "columns"], "left")
+        return joined.withColumn("child_is_key", F.coalesce("own", F.lit(False)))
 
 
 def without_known_empty(frame: DataFrame, empty: DataFrame | None, prefix: str = "") -> DataFrame:
@@ -70,41 +94,22 @@ def measured_empty(counts: DataFrame) -> DataFrame:
     return counts.filter("num_rows = 0").select("owner", "table")
 
 
-def _parent(keys: DataFrame) -> DataFrame:
-    return keys.select(
-        F.col("owner").alias("parent_owner"), F.col("table").alias("parent_table"),
-        F.col("column").alias("parent_column"), F.col("base").alias("parent_type"),
-        F.col("token").alias("parent_token"), F.col("key_order").alias("parent_order"),
-        (F.col("kind") == "P").alias("parent_is_key"),
-    )
-
-
 def _finish(df: DataFrame, rule: str) -> DataFrame:
     return df.withColumn("rule", F.lit(rule)).select(*CANDIDATE)
 
 
-def _with_child_key_flag(df: DataFrame, keys: DataFrame) -> DataFrame:
-    own = keys.filter("kind = 'P'").filter(F.size("columns") == 1).select(
-        "owner", "table", "columns", F.lit(True).alias("own")
-    )
-    return df.join(own, ["owner", "table", "columns"], "left").withColumn(
-        "child_is_key", F.coalesce("own", F.lit(False))
-    )
+def _single(catalog: CatalogFrames, matches: DataFrame, rule: str) -> DataFrame:
+    shaped = matches.withColumns({
+        "columns": F.array("column"), "parent_columns": F.array("parent_column"),
+        "parent_order": F.array("parent_order"), "child_type": F.col("signature"),
+    })
+    return _finish(catalog.flagged(catalog.undeclared(shaped)), rule)
 
 
-def exact_name(columns: DataFrame, constraints: DataFrame, order: DataFrame) -> DataFrame:
+def exact_name(catalog: CatalogFrames) -> DataFrame:
     """Columns named exactly like a single-column key of another table, whatever their type."""
-    typed, keys = _typed(columns), _keys(constraints, order)
-    parents = _parent(_single_keys(keys, typed))
-    same_table = (F.col("owner") == F.col("parent_owner")) & (F.col("table") == F.col("parent_table"))
-    found = (
-        typed.join(parents, F.col("column") == F.col("parent_column")).filter(~same_table)
-        .withColumns({
-            "columns": F.array("column"), "parent_columns": F.array("parent_column"),
-            "parent_order": F.array("parent_order"), "child_type": F.col("signature"),
-        })
-    )
-    return _finish(_with_child_key_flag(_not_declared(found, constraints), keys), "exact")
+    named = catalog.columns.join(catalog.parents, F.col("column") == F.col("parent_column"))
+    return _single(catalog, named.filter(_other_table()), "exact")
 
 
 def unambiguous(candidates: DataFrame) -> DataFrame:
@@ -113,65 +118,48 @@ def unambiguous(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("n", parents).filter("n = 1").drop("n")
 
 
-def same_suffix(columns: DataFrame, constraints: DataFrame, order: DataFrame) -> DataFrame:
+def same_suffix(catalog: CatalogFrames) -> DataFrame:
     """Columns sharing the trailing token and base type of a single-column key.
 
     Finds role-named and self references; a column that is its own table's key is no reference.
     """
-    typed, keys = _typed(columns), _keys(constraints, order)
-    single = _single_keys(keys, typed)
-    own_keys = single.select("owner", "table", "column").distinct()
+    own_keys = catalog.single_keys.select("owner", "table", "column").distinct()
+    children = catalog.columns.join(own_keys, ["owner", "table", "column"], "left_anti")
     matches = (F.col("token") == F.col("parent_token")) & (F.col("base") == F.col("parent_type"))
-    found = (
-        typed.join(own_keys, ["owner", "table", "column"], "left_anti")
-        .join(_parent(single), matches)
-        .withColumns({
-            "columns": F.array("column"), "parent_columns": F.array("parent_column"),
-            "parent_order": F.array("parent_order"), "child_type": F.col("signature"),
-        })
-    )
-    return _finish(_with_child_key_flag(_not_declared(found, constraints), keys), "suffix")
-
-
-def _composite_keys(keys: DataFrame) -> DataFrame:
-    return keys.filter(F.size("columns") >= 2).select(
-        F.col("owner").alias("parent_owner"), F.col("table").alias("parent_table"),
-        F.col("columns").alias("parent_columns"), F.col("key_order"),
-    )
+    return _single(catalog, children.join(catalog.parents, matches), "suffix")
 
 
 def _other_table() -> Column:
     return (F.col("owner") != F.col("parent_owner")) | (F.col("table") != F.col("parent_table"))
 
 
-def _composite_found(df: DataFrame, constraints: DataFrame, rule: str) -> DataFrame:
+def _composite(catalog: CatalogFrames, df: DataFrame, rule: str) -> DataFrame:
     blank = F.lit(None).cast("string")
     flags = {"child_type": blank, "parent_type": blank, "child_is_key": F.lit(False), "parent_is_key": F.lit(False)}
-    return _finish(_not_declared(df.withColumns(flags), constraints), rule)
+    return _finish(catalog.undeclared(df.withColumns(flags)), rule)
 
 
-def composite_exact(columns: DataFrame, constraints: DataFrame, order: DataFrame) -> DataFrame:
+def composite_exact(catalog: CatalogFrames) -> DataFrame:
     """Tables that carry every column of another table's composite key."""
-    parts = _composite_keys(_keys(constraints, order)).withColumn("column", F.explode("parent_columns"))
+    parts = catalog.composite_keys.withColumn("column", F.explode("parent_columns"))
     held = (
-        columns.select("owner", "table", "column").join(parts, "column").filter(_other_table())
+        catalog.columns.select("owner", "table", "column").join(parts, "column").filter(_other_table())
         .groupBy("owner", "table", "parent_owner", "parent_table", "parent_columns", "key_order")
         .agg(F.count(F.lit(1)).alias("held"))
         .filter(F.col("held") == F.size("parent_columns"))
         .withColumns({"columns": F.col("parent_columns"), "parent_order": F.array("key_order")})
     )
-    return _composite_found(held, constraints, "composite_exact")
+    return _composite(catalog, held, "composite_exact")
 
 
-def composite_suffix(columns: DataFrame, constraints: DataFrame, order: DataFrame) -> DataFrame:
+def composite_suffix(catalog: CatalogFrames) -> DataFrame:
     """Column choices that match a composite key position by position, by token and base type.
 
     A key is left alone when its exact names are all present, when a position has no match, or
     when there are more than ``MAX_CHOICES`` choices in all.
     """
-    typed = _typed(columns)
-    keys = _composite_keys(_keys(constraints, order))
-    parts = keys.select("*", F.posexplode("parent_columns").alias("position", "part"))
+    typed = catalog.columns
+    parts = catalog.composite_keys.select("*", F.posexplode("parent_columns").alias("position", "part"))
     part_types = typed.select(
         F.col("owner").alias("parent_owner"), F.col("table").alias("parent_table"),
         F.col("column").alias("part"), F.col("token").alias("part_token"), F.col("base").alias("part_base"),
@@ -215,4 +203,4 @@ def composite_suffix(columns: DataFrame, constraints: DataFrame, order: DataFram
         .filter(F.size(F.array_distinct("columns")) == F.size("columns"))
         .withColumn("parent_order", F.array(F.col("key_order"), F.col("choice")))
     )
-    return _composite_found(found, constraints, "composite_suffix")
+    return _composite(catalog, found, "composite_suffix")

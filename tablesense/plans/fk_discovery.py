@@ -19,15 +19,13 @@ RELATIONSHIP = [
 ]
 
 
+RULES = (rules.exact_name, rules.same_suffix, rules.composite_exact, rules.composite_suffix)
+
+
 def all_candidates(estate: Estate, *, counts: DataFrame | None = None) -> DataFrame:
-    """Candidates of all four rules; tables measured as empty are left out."""
-    columns, constraints = estate.columns(), estate.constraints()
-    order = rules.catalog_order(estate.tables(), list(dict.fromkeys(o for o, _ in estate.keys())))
-    parts = [
-        rule(columns, constraints, order)
-        for rule in (rules.exact_name, rules.same_suffix, rules.composite_exact, rules.composite_suffix)
-    ]
-    found = reduce(DataFrame.unionByName, parts)
+    """Candidates of all four rules; with row counts, without the tables measured as empty."""
+    catalog = rules.CatalogFrames.of(estate)
+    found = reduce(DataFrame.unionByName, [rule(catalog) for rule in RULES])
     if counts is None:
         return found
     empty = rules.measured_empty(counts)
@@ -35,16 +33,19 @@ def all_candidates(estate: Estate, *, counts: DataFrame | None = None) -> DataFr
 
 
 def discover(
-    estate: Estate, *, threshold: float = 0.85, skip_empty: bool = True, empty_is_null: bool = False
+    estate: Estate,
+    *,
+    threshold: float = 0.85,
+    counts: DataFrame | None = None,
+    empty_is_null: bool = False,
 ) -> DataFrame:
     """Inferred relationships, one row each.
 
     Candidates are catalog-sized and come to the driver once, because they decide which columns
-    the one measuring job reads. What follows the measuring is again catalog-sized.
+    the one measuring job reads. What follows the measuring is again catalog-sized. Row counts
+    that are at hand (``Estate.row_counts`` or a profile) spare the columns of empty tables.
     """
-    counts = estate.row_counts() if skip_empty else None
     found = all_candidates(estate, counts=counts)
-    # Catalog-sized: one row per pair of name-compatible columns.
     found = local_rows(estate.spark, [tuple(r) for r in found.collect()], found.schema)
     frames = {k: s.rows for k, s in estate.sources.items()}
     return choose(inclusion(frames, found, empty_is_null=empty_is_null), threshold=threshold)
@@ -86,10 +87,8 @@ def without_mutual_keys(matches: DataFrame) -> DataFrame:
 
 def offline(estate: Estate) -> DataFrame:
     """Name matches without looking at data: unambiguous exact names, and composite names; all low."""
-    columns, constraints = estate.columns(), estate.constraints()
-    order = rules.catalog_order(estate.tables(), list(dict.fromkeys(o for o, _ in estate.keys())))
-    single = rules.unambiguous(rules.exact_name(columns, constraints, order))
-    named = single.unionByName(rules.composite_exact(columns, constraints, order))
+    catalog = rules.CatalogFrames.of(estate)
+    named = rules.unambiguous(rules.exact_name(catalog)).unionByName(rules.composite_exact(catalog))
     unmeasured = named.select(
         "*", *[F.lit(None).cast(t).alias(c) for c, t in zip(MEASURES, MEASURE_TYPES)]
     )

@@ -150,11 +150,6 @@ def inclusion_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ candidates by rule, measured
 
 
-def _catalog(estate: Estate) -> tuple[DataFrame, DataFrame, DataFrame]:
-    owners = list(dict.fromkeys(owner for owner, _ in estate.keys()))
-    return estate.columns(), estate.constraints(), rules.catalog_order(estate.tables(), owners)
-
-
 def _measured(estate: Estate, found: DataFrame) -> DataFrame:
     return _flat(inclusion(_frames(estate), found))
 
@@ -162,7 +157,7 @@ def _measured(estate: Estate, found: DataFrame) -> DataFrame:
 @query("J6 J10", _pairs_sql([("labels", "doc_id", "documents", "doc_id")]))
 def candidates_exact_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     estate = given_tables.given(spark, sf_dir)
-    return _measured(estate, rules.exact_name(*_catalog(estate)))
+    return _measured(estate, rules.exact_name(rules.CatalogFrames.of(estate)))
 
 
 _SUFFIX_PAIRS = [
@@ -182,13 +177,13 @@ _ID_PAIRS = [
 @query("J7 F6 F7", _pairs_sql(_SUFFIX_PAIRS + _ID_PAIRS))
 def candidates_same_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     estate = given_tables.given(spark, sf_dir)
-    return _measured(estate, rules.same_suffix(*_catalog(estate)))
+    return _measured(estate, rules.same_suffix(rules.CatalogFrames.of(estate)))
 
 
 @query("J8", _pairs_sql([("ratings", "conv_id+turn", "turns", "conv_id+turn", "conversations", "conversations")]))
 def candidates_composite_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     estate = given_tables.dialogues(spark, sf_dir)
-    return _measured(estate, rules.composite_exact(*_catalog(estate)))
+    return _measured(estate, rules.composite_exact(rules.CatalogFrames.of(estate)))
 
 
 _REPLIES = "(SELECT conv_id AS source_id, turn + 1 AS next_turn, turn AS source_turn FROM conversations)"
@@ -200,7 +195,7 @@ _REPLIES = "(SELECT conv_id AS source_id, turn + 1 AS next_turn, turn AS source_
 ]))
 def candidates_composite_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     estate = given_tables.dialogues(spark, sf_dir)
-    return _measured(estate, rules.composite_suffix(*_catalog(estate)))
+    return _measured(estate, rules.composite_suffix(rules.CatalogFrames.of(estate)))
 
 
 # ------------------------------------------------------------------ discovery
@@ -355,7 +350,7 @@ def known_empty_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     estate = Estate(spark, sources)
     counts = estate.row_counts()
-    named = rules.exact_name(*_catalog(estate))
+    named = rules.exact_name(rules.CatalogFrames.of(estate))
     left = rules.without_known_empty(named, rules.measured_empty(counts), "parent_")
     kept = left.select("owner", "table", "columns", "parent_table", F.lit(True).alias("kept"))
     rows = counts.select("owner", "table", F.col("num_rows").alias("child_rows"))
