@@ -39,11 +39,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def sort_grid(df: DataFrame, column: str, *, ascending: bool = True) -> DataFrame:
+def sort_grid(
+    df: DataFrame, column: str, *, ascending: bool = True, tie_break: Sequence[str] = ()
+) -> DataFrame:
     """A grid by one column, nulls last; numbers by value, numeric texts by their number first."""
     col = F.col(f"`{column}`")
     numeric = isinstance(df.schema[column].dataType, T.NumericType)
     keys = [col] if numeric else [col.cast("string").try_cast("double"), col.cast("string")]
     # Nulls sort last upwards and first downwards, because turning the order turns them too.
     ordered = [k.asc_nulls_last() if ascending else k.desc_nulls_first() for k in keys]
-    return df.orderBy(*ordered)
+    return df.orderBy(*ordered, *tie_break)

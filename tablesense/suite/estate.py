@@ -109,3 +109,57 @@ def twins(spark: SparkSession, sf_dir: str) -> Estate:
             primary_key=("o_orderkey",),
         ),
     })
+
+
+def applications(spark: SparkSession, sf_dir: str) -> Estate:
+    """Events, orders and turns under the names an application's own logs have.
+
+    The length of a text column is the longest value measured in it.
+    """
+    events, orders = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
+    turns = table(spark, sf_dir, "conversations")
+    error_log = events.select(
+        F.col("event_id").alias("error_id"), F.col("ts").alias("log_time"), F.col("event_type").alias("severity"),
+        (F.col("user_id") % 7).alias("error_code"), F.col("user_id").alias("module"),
+        F.col("props").alias("message"),
+    )
+    audit_trail = events.select(
+        F.col("event_id").alias("audit_num"), F.col("ts").alias("event_time"), F.col("event_type").alias("action"),
+        F.col("user_id").alias("changed_by"), F.col("props").alias("details"),
+    )
+    job_run_log = orders.select(
+        F.col("o_orderkey").alias("run_no"), F.col("o_orderpriority").alias("job_name"),
+        F.col("o_orderdate").alias("started_at"), F.col("o_orderstatus").alias("status"),
+    )
+    transactions = orders.select(
+        F.col("o_orderkey").alias("txn_id"), F.col("o_custkey").alias("customer_id"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("amount"), F.col("o_orderdate").alias("created_dt"),
+        F.col("o_orderpriority").alias("details"),
+    )
+    remarks = turns.select("conv_id", "turn", F.col("text").alias("remark"), F.col("conv_id").alias("log_date"))
+    frames = {
+        "audit_trail": (audit_trail, ("audit_num",)), "error_log": (error_log, ("error_id",)),
+        "job_run_log": (job_run_log, ("run_no",)), "remarks": (remarks, ("conv_id", "turn")),
+        "transactions": (transactions, ("txn_id",)),
+    }
+    return Estate(spark, {
+        ("APP", name): Source(df, primary_key=key) for name, (df, key) in frames.items()
+    })
+
+
+def with_measured_lengths(columns: DataFrame, estate: Estate) -> DataFrame:
+    """Catalog columns with the length of text columns measured: one aggregation per table, no shuffle of values."""
+    parts = []
+    for (owner, name), source in estate.sources.items():
+        texts = [f.name for f in source.rows.schema.fields if f.dataType.typeName() == "string"]
+        longest = source.rows.agg(*[F.max(F.length(c)).alias(c) for c in texts])
+        cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("measured")) for c in texts]
+        if texts:
+            parts.append(longest.select(
+                F.lit(owner).alias("owner"), F.lit(name).alias("table"), F.inline(F.array(*cells))
+            ))
+    measured = parts[0]
+    for part in parts[1:]:
+        measured = measured.unionByName(part)
+    joined = columns.join(measured, ["owner", "table", "column"], "left")
+    return joined.withColumn("length", F.coalesce("measured", "length")).select(*columns.columns)
