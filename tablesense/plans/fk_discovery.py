@@ -11,7 +11,7 @@ from tablesense.functions.names import base_type, trailing_token
 from tablesense.operators import candidates as rules
 from tablesense.operators.inclusion import MEASURE_TYPES, MEASURES, inclusion
 from tablesense.sources.catalog import Estate
-from tablesense.sources.tables import local_rows
+from tablesense.sources.tables import settled
 
 RELATIONSHIP = [
     "owner", "table", "columns", "parent_owner", "parent_table", "parent_columns", "declared",
@@ -45,8 +45,7 @@ def discover(
     the one measuring job reads. What follows the measuring is again catalog-sized. Row counts
     that are at hand (``Estate.row_counts`` or a profile) spare the columns of empty tables.
     """
-    found = all_candidates(estate, counts=counts)
-    found = local_rows(estate.spark, [tuple(r) for r in found.collect()], found.schema)
+    found = settled(all_candidates(estate, counts=counts))
     frames = {k: s.rows for k, s in estate.sources.items()}
     return choose(inclusion(frames, found, empty_is_null=empty_is_null), threshold=threshold)
 

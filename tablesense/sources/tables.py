@@ -57,6 +57,15 @@ def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str | T.Struc
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=struct)
 
 
+def settled(catalog_frame: DataFrame) -> DataFrame:
+    """Run a catalog-sized frame once and keep its rows, so that later steps do not measure again.
+
+    Only for frames bounded by the number of tables and columns, never for data.
+    """
+    rows = [tuple(r) for r in catalog_frame.collect()]
+    return local_rows(catalog_frame.sparkSession, rows, catalog_frame.schema)
+
+
 def row_page(df: DataFrame, max_rows: int) -> tuple[list[dict], bool]:
     """At most ``max_rows`` rows for a person to read, and whether the bound was reached."""
     rows = df.limit(max(1, max_rows)).collect()
