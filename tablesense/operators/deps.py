@@ -45,20 +45,24 @@ def routine_sections(units: DataFrame) -> DataFrame:
     ).filter("routine <> ''")
 
 
+def _wanted(identifiers: DataFrame) -> DataFrame:
+    """(word, identifier): identifiers by their lower-case form, each form once."""
+    return identifiers.groupBy(F.lower("identifier").alias("word")).agg(F.min("identifier").alias("identifier"))
+
+
 def routine_references(units: DataFrame, identifiers: DataFrame) -> DataFrame:
     """(owner, name, routine, identifier): routines whose own section mentions an identifier."""
     sections = routine_sections(units)
     words = sections.select("owner", "name", "routine", F.explode(_distinct_words(F.col("body"))).alias("word"))
-    wanted = identifiers.select(F.upper("identifier").alias("word")).distinct()
-    return words.join(wanted, "word").select("owner", "name", "routine", F.col("word").alias("identifier")).distinct()
+    return words.join(_wanted(identifiers), "word").select("owner", "name", "routine", "identifier").distinct()
 
 
 def _distinct_words(text: Column) -> Column:
     """Words as a word-boundary search would find them, and names with $ or # as a whole."""
-    upper = F.upper(text)
-    plain = F.regexp_extract_all(upper, F.lit(r"(?U)(\w+)"), F.lit(1))
+    lower = F.lower(text)
+    plain = F.regexp_extract_all(lower, F.lit(r"(?U)(\w+)"), F.lit(1))
     special = F.when(
-        upper.rlike("[$#]"), F.regexp_extract_all(upper, F.lit(r"(?U)(\w+(?:[$#]+\w+)+)"), F.lit(1))
+        lower.rlike("[$#]"), F.regexp_extract_all(lower, F.lit(r"(?U)(\w+(?:[$#]+\w+)+)"), F.lit(1))
     ).otherwise(F.array().cast("array<string>"))
     return F.array_union(plain, special)
 
@@ -70,9 +74,8 @@ def usages(units: DataFrame, identifiers: DataFrame) -> DataFrame:
     side is small. A word that is no identifier never leaves its task once the list is broadcast.
     """
     words = units.select("owner", "name", "kind", F.explode(_distinct_words(_text())).alias("word"))
-    wanted = identifiers.select(F.upper("identifier").alias("word")).distinct()
-    found = words.join(wanted, "word").filter(F.upper("name") != F.col("word"))
-    return found.select(F.col("word").alias("identifier"), "owner", "name", "kind")
+    found = words.join(_wanted(identifiers), "word").filter(F.lower("name") != F.col("word"))
+    return found.select("identifier", "owner", "name", "kind")
 
 
 def referenced_tables(queries: DataFrame) -> DataFrame:

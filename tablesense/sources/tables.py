@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
@@ -70,3 +70,8 @@ def row_page(df: DataFrame, max_rows: int) -> tuple[list[dict], bool]:
     """At most ``max_rows`` rows for a person to read, and whether the bound was reached."""
     rows = df.limit(max(1, max_rows)).collect()
     return [r.asDict() for r in rows], len(rows) >= max_rows
+
+
+def capped(df: DataFrame, max_rows: int) -> DataFrame:
+    """(capped): whether a page of ``max_rows`` would be full; reads no more than that."""
+    return df.limit(max_rows).agg((F.count(F.lit(1)) >= max_rows).alias("capped"))

@@ -147,7 +147,7 @@ def _map(spark: SparkSession, sf_dir: str, question: str):
     found = retrieve.relevance(texts, ["owner", "table"], retrieve.TABLE_FIELDS, question)
     places = local_rows(spark, [(o, t, i) for i, (o, t) in enumerate(estate.keys())], "owner string, table string, place int")
     scored = places.join(found, ["owner", "table"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return estate, scored, relationships
+    return estate, settled(scored), relationships
 
 
 _TABLE_FIELD_SQL = "(SELECT table_name AS t, replace(table_name, '_', ' ') AS name_text, coalesce(c.comment, '') AS purpose_text, " \
