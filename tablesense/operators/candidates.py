@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesense.functions.names import base_type, trailing_token, type_signature
 from tablesense.sources.catalog import Estate
+from tablesense.sources.tables import settled
 
 CANDIDATE = [
     "rule", "owner", "table", "columns", "parent_owner", "parent_table", "parent_columns",
@@ -23,20 +24,21 @@ MAX_CHOICES = 24  # beyond this many column choices a composite match is too amb
 class CatalogFrames:
     """The catalog as the rules read it: typed columns, keys in catalog order, declared references.
 
-    Owners come in scan order, tables by name within an owner, keys by constraint name.
+    Owners come in scan order, tables by name within an owner, keys by constraint name. The frames
+    are settled here once, so that the rules join small local relations and empty ones drop out.
     """
 
     def __init__(self, tables: DataFrame, columns: DataFrame, constraints: DataFrame, owners: list[str]):
         signature = type_signature(*[F.col(c) for c in ("data_type", "length", "precision", "scale")])
-        self.columns = columns.select(
+        self.columns = settled(columns.select(
             "owner", "table", "ordinal", "column", signature.alias("signature"),
             base_type(signature).alias("base"), trailing_token(F.col("column")).alias("token"),
-        )
+        ))
         rank = F.array_position(F.array(*[F.lit(o) for o in owners]), F.col("owner"))
         keys = constraints.filter(F.col("kind").isin("P", "U")).join(tables.select("owner", "table"), ["owner", "table"])
         place = F.row_number().over(W.orderBy(rank, "table", "name"))
-        self.keys = keys.withColumn("key_order", place)
-        self.declared = constraints.filter("kind = 'R'").select("owner", "table", "columns").distinct()
+        self.keys = settled(keys.withColumn("key_order", place))
+        self.declared = settled(constraints.filter("kind = 'R'").select("owner", "table", "columns").distinct())
 
     @classmethod
     def of(cls, estate: Estate) -> "CatalogFrames":
@@ -49,7 +51,7 @@ class CatalogFrames:
         single = self.keys.filter(F.size("columns") == 1).select(
             "owner", "table", F.col("columns")[0].alias("column"), "key_order", "kind"
         )
-        return single.join(self.columns.drop("ordinal"), ["owner", "table", "column"])
+        return settled(single.join(self.columns.drop("ordinal"), ["owner", "table", "column"]))
 
     @cached_property
     def parents(self) -> DataFrame:

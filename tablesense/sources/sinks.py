@@ -31,12 +31,18 @@ def csv_line(columns: Sequence[str]) -> Column:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A grid as CSV with a header and CRLF line ends, one header per part file."""
-    (
-        df.write.mode("overwrite")
-        .options(header=True, quote='"', escape='"', emptyValue="", lineSep="\r\n")
-        .csv(path)
-    )
+    """A grid as CSV with CRLF line ends: ``path/header``, then the parts of ``path/rows``.
+
+    Put end to end they are one file. Spark's own CSV writer would turn line breaks inside a cell
+    into the line separator, so lines are made here and written as text.
+    """
+    header = df.sparkSession.range(1).select(csv_cell_list(df.columns).alias("line"))
+    for name, lines in (("header", header.coalesce(1)), ("rows", df.select(csv_line(df.columns).alias("line")))):
+        lines.write.mode("overwrite").option("lineSep", "\r\n").text(os.path.join(path, name))
+
+
+def csv_cell_list(values: Sequence[str]) -> Column:
+    return F.array_join(F.array(*[csv_cell(F.lit(v)) for v in values]), ",")
 
 
 def sort_grid(
