@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Sequence
 from functools import cache
 
 from pyspark.sql import Column, functions as F
@@ -67,21 +68,35 @@ def _fold_table() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents; plain ASCII texts skip the letter lookup."""
     source, target = _fold_table()
-    return F.translate(F.lower(text), source, target)
+    lower = F.lower(text)
+    return F.when(lower.rlike(r"[^\x00-\x7f]"), F.translate(lower, source, target)).otherwise(lower)
+
+
+def _without_ending(word: Column) -> Column:
+    """Drop the longest ending that leaves four letters. The last letter tells which can apply."""
+    size, last = F.length(word), F.right(word, F.lit(1))
+    shortened = None
+    for letter in sorted({e[-1] for e in ENDINGS}):
+        rest = None
+        for ending in (e for e in ENDINGS if e[-1] == letter):
+            fits = F.endswith(word, F.lit(ending)) & (size >= len(ending) + 4)
+            step = (fits, F.left(word, size - len(ending)))
+            rest = F.when(*step) if rest is None else rest.when(*step)
+        step = (last == letter, rest.otherwise(word))
+        shortened = F.when(*step) if shortened is None else shortened.when(*step)
+    return shortened.otherwise(word)
 
 
 def stem(word: Column) -> Column:
     """Drop up to three endings, never going below four letters."""
-    for _ in range(3):
-        word = F.regexp_replace(word, _ENDING, "$1")
-    return word
+    rounds = F.array(F.lit(1), F.lit(2), F.lit(3))
+    inflected = F.right(word, F.lit(1)).isin(*sorted({e[-1] for e in ENDINGS})) & (F.length(word) > 4)
+    return F.when(inflected, F.aggregate(rounds, word, lambda w, _: _without_ending(w))).otherwise(word)
 
 
-def content_words(text: Column) -> Column:
-    """The distinct stems of the meaningful words of a text or identifier."""
-    words = F.regexp_extract_all(fold(text), F.lit("[a-z][a-z0-9]*"), F.lit(0))
+def _stems(words: Column) -> Column:
     # Distinct before stemming: a long text repeats few words many times.
     kept = F.filter(
         F.array_distinct(words), lambda w: (F.length(w) >= 3) & ~w.isin(*sorted(_STOPWORDS))
@@ -89,8 +104,26 @@ def content_words(text: Column) -> Column:
     return F.array_distinct(F.transform(kept, stem))
 
 
+def content_words(text: Column) -> Column:
+    """The distinct stems of the meaningful words of a text or identifier."""
+    return _stems(F.regexp_extract_all(fold(text), F.lit("[a-z][a-z0-9]*"), F.lit(0)))
+
+
+def asked_words(text: Column, stems: Sequence[str]) -> Column:
+    """Those of ``content_words`` that begin like one of ``stems``.
+
+    A stem is the beginning of its word, so only such words have to be taken out and stemmed.
+    """
+    beginnings = "|".join(re.escape(s) for s in stems)
+    words = F.lit(rf"(?<![a-z0-9])[0-9]*((?:{beginnings})[a-z0-9]*)")
+    return _stems(F.regexp_extract_all(fold(text), words, F.lit(1)))
+
+
 def stem_word(word: str) -> str:
-    """The rule of :func:`stem` for one word of a question, which lives on the driver."""
+    """The rule of :func:`stem` for one word of a question, which lives on the driver.
+
+    The stem is matched lazily, so the longest ending that leaves four letters wins.
+    """
     for _ in range(3):
         word = re.sub(_ENDING, r"\1", word)
     return word

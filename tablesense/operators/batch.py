@@ -28,8 +28,8 @@ def on_day(when: str, date: dt.date) -> Column:
 
 def unless_done(rows: DataFrame, done: DataFrame, date: dt.date) -> DataFrame:
     """Nothing when ``done`` already has rows of that business date, else ``rows``."""
-    dated = rows.withColumn("business_date", F.lit(date))
-    return dated.join(done.select("business_date").distinct(), "business_date", "left_anti")
+    already = done.filter(F.col("business_date") == F.lit(date)).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return rows.withColumn("business_date", F.lit(date)).filter(already == 0)
 
 
 # ------------------------------------------------------------------ interest and fees

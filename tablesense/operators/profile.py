@@ -56,9 +56,16 @@ def _top(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
     return df.withColumn("place", place).filter(F.col("place") <= limit)
 
 
+def _kept(condition: Column) -> Column:
+    """A condition that stays above the counting. Alone it would be pushed below it, where values
+    would be shaped once per row instead of once per distinct value, and the branches that share
+    the counts would no longer be the same plan."""
+    return F.when(F.col("n_rows") > 0, condition)
+
+
 def top_patterns(counts: DataFrame, limit: int = PATTERNS) -> DataFrame:
     """(column, place, pattern, n_rows): the most frequent shapes, then by shape."""
-    shaped = counts.filter(F.col("value").isNotNull()).select(
+    shaped = counts.filter(_kept(F.col("value").isNotNull())).select(
         "column", structural_pattern(F.col("value")).alias("pattern"), "n_rows"
     )
     grouped = shaped.groupBy("column", "pattern").agg(F.sum("n_rows").alias("n_rows"))
@@ -68,11 +75,10 @@ def top_patterns(counts: DataFrame, limit: int = PATTERNS) -> DataFrame:
 def masked_samples(counts: DataFrame, limit: int = SAMPLES) -> DataFrame:
     """(column, place, masked): the first distinct masks, in value order or by ``first_seen``."""
     order = "first_seen" if "first_seen" in counts.columns else "value"
-    # n_rows > 0 always holds; it keeps this branch on the same shuffled counts as the others.
-    masked = counts.filter((F.col("n_rows") > 0) & F.col("value").isNotNull()).select(
-        "column", mask_value(F.col("value")).alias("masked"), F.col(order).alias("first")
+    masked = counts.filter(_kept(F.col("value").isNotNull())).select(
+        "column", mask_value(F.col("value")).alias("masked"), F.col(order).alias("first"), "n_rows"
     )
-    grouped = masked.filter("masked != ''").groupBy("column", "masked").agg(F.min("first").alias("first"))
+    grouped = masked.filter(_kept(F.col("masked") != "")).groupBy("column", "masked").agg(F.min("first").alias("first"))
     return _top(grouped, [F.asc("first"), F.asc("masked")], limit)
 
 

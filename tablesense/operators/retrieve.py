@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tablesense.functions.text import asks_about_logs, content_words, question_words
+from tablesense.functions.text import asked_words, asks_about_logs, content_words, question_words
 
 # The weights of fields and boosts, and the sizes of a selection.
 NAME, PURPOSE, COLUMN, MEANING = 10.0, 3.0, 2.0, 1.0
@@ -25,7 +25,7 @@ def word_hits(corpus: DataFrame, key: Sequence[str], fields: Mapping[str, float]
     if not words:
         return corpus.select(*key, F.lit("").alias("word"), F.lit(0.0).alias("weight")).limit(0)
     found = F.struct(
-        *[content_words(F.coalesce(F.col(c), F.lit(""))).alias(f"f{i}") for i, c in enumerate(fields)]
+        *[asked_words(F.coalesce(F.col(c), F.lit("")), words).alias(f"f{i}") for i, c in enumerate(fields)]
     )
 
     def matches(held: Column) -> Column:

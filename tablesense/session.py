@@ -34,9 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    local = os.path.join(tempfile.gettempdir(), "tablesense-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return os.path.join(tempfile.gettempdir(), "tablesense-checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -18,13 +18,15 @@ def _joined(parts: list[Column], text: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda p: p["piece"]), "")
 
 
-def assemble_source(lines: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+def assemble_source(
+    lines: DataFrame, kinds: dict[str, str] | None = None, *, lines_per_stretch: int = LINES_PER_STRETCH
+) -> DataFrame:
     """(owner, name, type, line, text) -> one text per unit, in (type, line) order.
 
     A package's specification sorts before its body; ``kinds`` maps such types to one unit kind.
     The kind of a unit is the kind of its first type.
     """
-    stretch = F.floor(F.col("line") / LINES_PER_STRETCH).alias("stretch")
+    stretch = F.floor(F.col("line") / lines_per_stretch).alias("stretch")
     stretches = lines.groupBy("owner", "name", "type", stretch).agg(
         _joined([F.col("line")], F.coalesce("text", F.lit(""))).alias("piece_text")
     )

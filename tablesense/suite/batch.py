@@ -10,6 +10,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablesense.operators import batch
+from tablesense.session import cut_lineage
 from tablesense.suite.estate import table
 from tablesense.suite.registry import query
 
@@ -305,7 +306,8 @@ def suspense_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts still at their old balance break against their last posting; suspense is open, the ledger balances."""
-    settled = _settled(spark, sf_dir)
+    # The settlement is the table that ledger, statement and balance checks all read.
+    settled = cut_lineage(_settled(spark, sf_dir))
     ledger = batch.settlement_ledger(settled).select("gl_code", "dr_cr", "amount").unionByName(
         batch.suspense_ledger(_unmatched(spark, sf_dir)).select("gl_code", "dr_cr", "amount")
     )
