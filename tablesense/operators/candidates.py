@@ -48,8 +48,9 @@ class CatalogFrames:
     @cached_property
     def single_keys(self) -> DataFrame:
         """Single-column keys once per constraint, with the type and token of the key column."""
+        is_primary = F.max(F.col("kind") == "P").over(W.partitionBy("owner", "table", "columns"))
         single = self.keys.filter(F.size("columns") == 1).select(
-            "owner", "table", F.col("columns")[0].alias("column"), "key_order", "kind"
+            "owner", "table", F.col("columns")[0].alias("column"), "key_order", is_primary.alias("is_primary")
         )
         return settled(single.join(self.columns.drop("ordinal"), ["owner", "table", "column"]))
 
@@ -59,7 +60,7 @@ class CatalogFrames:
             F.col("owner").alias("parent_owner"), F.col("table").alias("parent_table"),
             F.col("column").alias("parent_column"), F.col("base").alias("parent_type"),
             F.col("token").alias("parent_token"), F.col("key_order").alias("parent_order"),
-            (F.col("kind") == "P").alias("parent_is_key"),
+            F.col("is_primary").alias("parent_is_key"),
         )
 
     @cached_property

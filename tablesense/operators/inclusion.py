@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablesense.functions.keys import key_text, tuple_key
 from tablesense.sources.tables import local_rows
@@ -20,12 +20,20 @@ CHILD_KEY = ["owner", "table", "columns"]
 PARENT_KEY = ["parent_owner", "parent_table", "parent_columns"]
 
 
-def _key(df: DataFrame, columns: Sequence[str], empty_is_null: bool) -> Column:
+def _key(df: DataFrame, columns: Sequence[str], empty_is_null: bool, numeric: bool) -> Column:
+    if numeric:
+        return F.col(f"`{columns[0]}`").cast("bigint")
     return tuple_key(
         [key_text(F.col(f"`{c}`"), df.schema[c].dataType, empty_is_null=empty_is_null) for c in columns]
     )
 
 
+def _both_numeric(child: DataFrame, child_columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]) -> bool:
+    """Two single whole-number columns compare the same as numbers and as text, and cheaper."""
+    ends = ((child, child_columns), (parent, parent_columns))
+    return all(len(cols) == 1 and isinstance(df.schema[cols[0]].dataType, T.IntegralType) for df, cols in ends)
+
+
 def _measure() -> list[Column]:
     found = F.col("in_parent")
     return [
@@ -53,9 +61,10 @@ def overlap(
     Child rows collapse to (key, n_rows) before the join, so a value that fills a third of the
     table travels once per map task, and overlap and orphans come from the same join.
     """
-    keyed = child.select(_key(child, child_columns, empty_is_null).alias("key"))
+    numeric = _both_numeric(child, child_columns, parent, parent_columns)
+    keyed = child.select(_key(child, child_columns, empty_is_null, numeric).alias("key"))
     values = keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
-    parents = parent.select(_key(parent, parent_columns, empty_is_null).alias("key")).distinct()
+    parents = parent.select(_key(parent, parent_columns, empty_is_null, numeric).alias("key")).distinct()
     joined = values.join(parents.withColumn("hit", F.lit(True)), "key", "left")
     found = joined.withColumn("in_parent", F.col("hit").isNotNull())
     return _with_overlap(found.agg(*_measure())).select(*MEASURES)
@@ -65,8 +74,9 @@ def orphan_rows(
     child: DataFrame, child_columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]
 ) -> DataFrame:
     """The child rows themselves whose complete key has no parent."""
-    keyed = child.withColumn("__key", _key(child, child_columns, False))
-    parents = parent.select(_key(parent, parent_columns, False).alias("__key"))
+    numeric = _both_numeric(child, child_columns, parent, parent_columns)
+    keyed = child.withColumn("__key", _key(child, child_columns, False, numeric))
+    parents = parent.select(_key(parent, parent_columns, False, numeric).alias("__key"))
     return keyed.filter(F.col("__key").isNotNull()).join(parents, "__key", "left_anti").drop("__key")
 
 
@@ -98,22 +108,41 @@ def inclusion(
         "owner string, table string, columns array<string>, parent_owner string, "
         "parent_table string, parent_columns array<string>, child_id int, parent_id int",
     )
+    groups: dict[bool, list[tuple[int, int]]] = {}
+    for p in pairs:
+        numeric = _both_numeric(tables[p[:2]], p[2], tables[p[3:5]], p[5])
+        groups.setdefault(numeric, []).append((child_ids[p[:3]], parent_ids[p[3:]]))
+    measured = reduce(DataFrame.unionByName, [
+        _measured(tables, child_ids, parent_ids, ids, empty_is_null, numeric) for numeric, ids in groups.items()
+    ])
+    labelled = candidates.join(numbered, names).join(measured, ["child_id", "parent_id"])
+    return _with_overlap(labelled).select(*candidates.columns, *MEASURES)
+
 
+def _measured(
+    tables: Mapping[tuple[str, str], DataFrame],
+    child_ids: Mapping[tuple, int],
+    parent_ids: Mapping[tuple, int],
+    pairs: Sequence[tuple[int, int]],
+    empty_is_null: bool,
+    numeric: bool,
+) -> DataFrame:
+    """The measures of numbered pairs whose keys are all numbers, or all text."""
+    children = {k: i for k, i in child_ids.items() if i in {c for c, _ in pairs}}
+    parents = {k: i for k, i in parent_ids.items() if i in {p for _, p in pairs}}
     values = (
-        _melt(tables, child_ids, empty_is_null)
+        _melt(tables, children, empty_is_null, numeric)
         .groupBy("key_id", "key").agg(F.count(F.lit(1)).alias("n_rows"))
         .withColumnRenamed("key_id", "child_id")
-        .join(numbered.select("child_id", "parent_id"), "child_id")
     )
-    targets = _melt(tables, parent_ids, empty_is_null).distinct()
+    ids = local_rows(values.sparkSession, list(pairs), "child_id int, parent_id int")
+    targets = _melt(tables, parents, empty_is_null, numeric).distinct()
     targets = targets.select(F.col("key_id").alias("parent_id"), "key", F.lit(True).alias("hit"))
-    measured = (
-        values.join(targets, ["parent_id", "key"], "left")
+    return (
+        values.join(ids, "child_id").join(targets, ["parent_id", "key"], "left")
         .withColumn("in_parent", F.col("hit").isNotNull())
         .groupBy("child_id", "parent_id").agg(*_measure())
     )
-    labelled = candidates.join(numbered, names).join(measured, ["child_id", "parent_id"])
-    return _with_overlap(labelled).select(*candidates.columns, *MEASURES)
 
 
 def _frozen(row: Sequence) -> tuple:
@@ -125,7 +154,7 @@ def _numbered(keys: Iterable[tuple]) -> dict[tuple, int]:
 
 
 def _melt(
-    tables: Mapping[tuple[str, str], DataFrame], ids: Mapping[tuple, int], empty_is_null: bool
+    tables: Mapping[tuple[str, str], DataFrame], ids: Mapping[tuple, int], empty_is_null: bool, numeric: bool
 ) -> DataFrame:
     """(key_id, key) for all wanted keys, one pass over each table."""
     by_table: dict[tuple[str, str], list[tuple[tuple, int]]] = {}
@@ -135,7 +164,7 @@ def _melt(
     for where, keys in by_table.items():
         df = tables[where]
         cells = [
-            F.struct(F.lit(number).alias("key_id"), _key(df, cols, empty_is_null).alias("key"))
+            F.struct(F.lit(number).alias("key_id"), _key(df, cols, empty_is_null, numeric).alias("key"))
             for cols, number in keys
         ]
         melted.append(df.select(F.inline(F.array(*cells))).filter(F.col("key").isNotNull()))

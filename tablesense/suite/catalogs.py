@@ -452,9 +452,8 @@ def log_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "C5",
-    "SELECT 'error_log' AS \"table\", 'error' AS kind, 'the name error_log is that of a log; has a timestamp column (log_time); "
-    "has a free-text message column (message); has a severity/status column (severity); has a source/module column (module); "
-    "has a error/status code column (error_code)' AS evidence, count(*) AS num_rows FROM events",
+    "SELECT 'error_log' AS \"table\", 'error' AS kind, 'the name error_log is that of a log; log_time is its timestamp; message is its free-text message; "
+    "severity is its severity/status; module is its source/module; error_code is its error/status code' AS evidence, count(*) AS num_rows FROM events",
 )
 def default_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log an analyst is shown first, with its size."""
