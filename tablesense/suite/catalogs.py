@@ -203,9 +203,9 @@ def all_program_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "J20",
-    f"WITH u AS ({_UNITS}), s AS (SELECT CAST(conv_id AS VARCHAR) AS name, left(text, 40) AS summary FROM conversations "
+    f"WITH u AS ({_UNITS}), s AS (SELECT CAST(conv_id AS VARCHAR) AS name, md5(text) AS summary FROM conversations "
     "WHERE turn = 1 AND role = 'assistant'), o AS (SELECT CAST(conv_id AS VARCHAR) AS name, CASE WHEN count(*) % 2 = 0 "
-    "THEN 'VALID' ELSE 'INVALID' END AS status FROM conversations WHERE conv_id % 3 > 0 GROUP BY conv_id) "
+    "THEN 'VALID' ELSE 'INVALID' END AS status FROM conversations GROUP BY conv_id) "
     "SELECT u.name, u.kind, coalesce(CASE WHEN u.kind = 'PACKAGE' THEN summary END, '') AS summary, "
     "coalesce(CASE WHEN u.kind = 'PACKAGE' THEN status END, '') AS status "
     "FROM u LEFT JOIN s USING (name) LEFT JOIN o USING (name)",
@@ -214,11 +214,11 @@ def program_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     name, package = F.col("conv_id").cast("string").alias("name"), F.lit("PACKAGE")
     summaries = turns.filter("turn = 1 AND role = 'assistant'").select(
-        F.lit("APP").alias("owner"), name, package.alias("kind"), F.left("text", F.lit(40)).alias("summary"),
+        F.lit("APP").alias("owner"), name, package.alias("kind"), F.md5("text").alias("summary"),
         F.lit("medium").alias("confidence"),
     )
     even = F.count(F.lit(1)) % 2 == 0
-    objects = turns.filter("conv_id % 3 > 0").groupBy("conv_id").agg(
+    objects = turns.groupBy("conv_id").agg(
         F.when(even, "VALID").otherwise("INVALID").alias("status")
     ).select(F.lit("app").alias("owner"), name, F.lit("package").alias("type"), "status")
     found = programs.program_overview(_units(spark, sf_dir), summaries, objects)
@@ -255,13 +255,10 @@ def csv_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.md5(sinks.csv_line(["conv_id", "turn", "role", "text"])).alias("line_md5"))
 
 
-@query(
-    "T4 T1",
-    "SELECT p_name, p_size FROM part ORDER BY p_size DESC, p_name LIMIT 25",
-)
+@query("T4", "SELECT p_partkey, p_name, p_size FROM part ORDER BY p_size DESC, p_name")
 def grid_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select("p_name", "p_size")
-    return sinks.sort_grid(parts, "p_size", ascending=False, tie_break=["p_name"]).limit(25)
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    return sinks.sort_grid(parts, "p_size", ascending=False, tie_break=["p_name"])
 
 
 @query("P9", "SELECT page_id, url FROM pages WHERE contains(lower(url), 'example.org')")
