@@ -205,7 +205,8 @@ def running_total(df: DataFrame, group: str, order: str, amount: str, *, span: i
     before = W.partitionBy(group).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(group, "__span", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
     inside = W.partitionBy(group, "__span").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = spans.join(starts, [group, "__span"])
+    # A row without a group stays, without a running sum.
+    joined = spans.join(starts, [group, "__span"], "left")
     return joined.withColumn("running", F.col("__start") + F.sum(amount).over(inside)).drop("__span", "__start")
 
 

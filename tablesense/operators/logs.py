@@ -101,9 +101,10 @@ def recent_entries(
 def bucket_counts(log: DataFrame, roles: Roles, *, grain: str = "hour", by_source: bool = False, **which) -> DataFrame:
     """(bucket[, source], entries): counts per time bucket; buckets without rows do not appear.
 
+    Rows without a time have a bucket of their own, null, which the trend functions leave out.
     ``which`` goes to :func:`entries`. Grouping is on a date and an hour; the label is made after.
     """
-    rows = entries(log, roles, **which).filter(F.col(roles.when).isNotNull())
+    rows = entries(log, roles, **which)
     keys = bucket_parts(F.col(roles.when), grain)
     if by_source:
         keys = [*keys, F.col(roles.source).alias("source")]
@@ -117,9 +118,13 @@ def roll_up_sources(by_source: DataFrame) -> DataFrame:
     return by_source.groupBy("bucket").agg(F.sum("entries").alias("entries"))
 
 
+def _timed(buckets: DataFrame) -> DataFrame:
+    return buckets.filter(F.col("bucket").isNotNull())
+
+
 def median_baseline(buckets: DataFrame) -> DataFrame:
     """The median count of the non-empty buckets, in one row; 0 when there are none."""
-    return buckets.agg(F.coalesce(F.median("entries"), F.lit(0.0)).alias("baseline"))
+    return _timed(buckets).agg(F.coalesce(F.median("entries"), F.lit(0.0)).alias("baseline"))
 
 
 def _ratio(baseline: Column) -> Column:
@@ -127,8 +132,8 @@ def _ratio(baseline: Column) -> Column:
 
 
 def _against(df: DataFrame, buckets: DataFrame) -> DataFrame:
-    """The baseline as a value beside every row (a scalar subquery, not a join)."""
-    return df.withColumn("baseline", median_baseline(buckets).scalar())
+    """The baseline as a value beside every row with a time (a scalar subquery, not a join)."""
+    return _timed(df).withColumn("baseline", median_baseline(buckets).scalar())
 
 
 def spikes(buckets: DataFrame, *, factor: float = 3.0, min_count: int = 5) -> DataFrame:

@@ -73,7 +73,7 @@ def daily_errors_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.bucket_counts(_events(spark, sf_dir), ROLES, grain="day", by_source=True)
 
 
-_BUCKETS = f"SELECT {_HOUR} AS bucket, count(*) AS entries FROM events WHERE {_ERRORS} GROUP BY 1"
+_BUCKETS = f"SELECT {_HOUR} AS bucket, count(*) AS entries FROM events WHERE {_ERRORS} AND ts IS NOT NULL GROUP BY 1"
 
 
 @query("A11", f"SELECT median(entries) AS baseline FROM ({_BUCKETS})")
@@ -95,10 +95,10 @@ def error_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "A13",
-    f"WITH e AS (SELECT {_HOUR} AS bucket, user_id % 5 AS source FROM events WHERE {_ERRORS}), "
+    f"WITH e AS (SELECT {_HOUR} AS bucket, user_id % 5 AS source FROM events WHERE {_ERRORS} AND ts IS NOT NULL), "
     "m AS (SELECT median(n) AS baseline FROM (SELECT count(*) AS n FROM e GROUP BY bucket)), "
     "s AS (SELECT bucket, source, count(*) AS entries FROM e GROUP BY 1, 2) "
-    "SELECT CAST(source AS VARCHAR) AS source, bucket, entries, baseline, round_even(entries / baseline, 1) AS ratio "
+    "SELECT coalesce(CAST(source AS VARCHAR), '') AS source, bucket, entries, baseline, round_even(entries / baseline, 1) AS ratio "
     "FROM s, m WHERE entries >= greatest(3, baseline * 1.0) "
     "QUALIFY row_number() OVER (PARTITION BY source ORDER BY bucket) = 1",
 )
@@ -123,7 +123,7 @@ def spike_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spike_analysis(_events(spark, sf_dir), ROLES)["report"]
 
 
-@query("A14", _report_sql(f"SELECT {_DAY} AS bucket, count(*) AS entries FROM events GROUP BY 1", "day", False))
+@query("A14", _report_sql(f"SELECT {_DAY} AS bucket, count(*) AS entries FROM events WHERE ts IS NOT NULL GROUP BY 1", "day", False))
 def daily_report_without_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spike_analysis(_events(spark, sf_dir), ROLES, grain="day", only_errors=False)["report"]
 

@@ -31,7 +31,7 @@ def test_running_total_with_a_hot_account(make):
 def test_settlement(make):
     accounts = make([(1, d(100), "ACTIVE"), (2, d(5), "CLOSED")], f"account_id bigint, balance {MONEY}, status string")
     pending = make(
-        [(10, 1, "CLEARING_DR", d(30)), (11, 1, "CLEARING_CR", d(50)), (12, 2, "CLEARING_CR", d(1)), (13, 9, "CLEARING_CR", d(1)), (14, 1, "CLEARING_CR", d(0))],
+        [(10, 1, "CLEARING_DR", d(30)), (15, None, "CLEARING_CR", d(2)), (11, 1, "CLEARING_CR", d(50)), (12, 2, "CLEARING_CR", d(1)), (13, 9, "CLEARING_CR", d(1)), (14, 1, "CLEARING_CR", d(0))],
         f"txn_id bigint, account_id bigint, txn_type string, amount {MONEY}",
     )
     settled = batch.settle(pending, accounts, span=2)
@@ -39,6 +39,7 @@ def test_settlement(make):
     assert rows == {
         10: ("POSTED", d("70.00"), None), 11: ("POSTED", d("120.00"), None), 12: ("REJECTED", None, "account CLOSED"),
         13: ("REJECTED", None, "no account"), 14: ("POSTED", d("120.00"), None),
+        15: ("REJECTED", None, "no account"),
     }
     legs = {(r["txn_id"], r["gl_code"], r["dr_cr"], r["amount"]) for r in batch.settlement_ledger(settled).collect()}
     assert legs == {

@@ -36,6 +36,15 @@ def test_spikes_and_baseline(log):
     assert (report["total"], report["bucket_count"], report["spike_count"], report["note"]) == (28, 11, 1, "")
 
 
+def test_rows_without_a_time_are_counted_but_no_trend(log):
+    rows = log([(h, "A", 1) for h in range(6)]).unionByName(log([(0, "B", 40)]).withColumn("at", F.lit(None).cast("timestamp_ntz")))
+    counts = {r["bucket"]: r["entries"] for r in logs.bucket_counts(rows, ROLES).collect()}
+    assert counts[None] == 40 and len(counts) == 7
+    found = spike_analysis(rows, ROLES)
+    assert found["spikes"].count() == 0 and found["onsets"].count() == 0
+    assert found["report"].collect()[0]["total"] == 6
+
+
 def test_small_counts_never_spike(log):
     buckets = logs.bucket_counts(log([(0, "A", 1), (1, "A", 1), (2, "A", 1), (3, "A", 4)]), ROLES)
     assert logs.spikes(buckets).count() == 0
