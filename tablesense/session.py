@@ -30,11 +30,22 @@ def get_session(app: str = "tablesense", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder of its own; on a cluster that is an error,
+    because executors do not see each other's disks.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    return os.path.join(tempfile.gettempdir(), "tablesense-checkpoints")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark.sparkContext.applicationId not in _local_dirs:
+        _local_dirs[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tablesense-")
+    return _local_dirs[spark.sparkContext.applicationId]
+
+
+_local_dirs: dict[str, str] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
