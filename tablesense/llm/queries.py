@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesense.llm import quality, toxicity
+from tablesense.llm import near_dedup, quality, toxicity
 from tablesense.llm.common import fold, table
 
 
@@ -23,5 +23,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-LLM_QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality}
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_minhash_near_dedup)}
 LLM_SQL: dict[str, str] = {}
