@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesense.llm import fingerprints, mixing, near_dedup, quality, token_output, toxicity
+from tablesense.llm import decontamination, fingerprints, mixing, near_dedup, quality, token_output, toxicity
 from tablesense.llm.common import fold, table
 
 
@@ -35,11 +35,15 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_output.token_path(spark)
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json")
     return token_output.read_tokens(spark, path)
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_minhash_near_dedup, op5_mixing, op6_fingerprints, op9_token_output)}
+LLM_QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_minhash_near_dedup, op5_mixing, op6_fingerprints, op8_decontamination, op9_token_output)}
 LLM_SQL: dict[str, str] = {}
