@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesense.llm import decontamination, fingerprints, mixing, near_dedup, quality, token_output, toxicity
+from tablesense.llm import decontamination, fingerprints, html_extraction, mixing, near_dedup, quality, token_output, toxicity
 from tablesense.llm.common import fold, table
 
 
@@ -45,5 +45,9 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_minhash_near_dedup, op5_mixing, op6_fingerprints, op8_decontamination, op9_token_output)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_texts(table(spark, sf_dir, "pages"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_minhash_near_dedup, op5_mixing, op6_fingerprints, op8_decontamination, op9_token_output, op10_html_extraction)}
 LLM_SQL: dict[str, str] = {}
