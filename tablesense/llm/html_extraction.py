@@ -7,8 +7,8 @@ its main part, and those containers everywhere) or open (the rest of a page with
 The streams of a host's pages are one text, and its suffixes that begin at blocks are sorted into groups with a
 common beginning: a block's whole length, and ``least`` words at the least, running on into later blocks.
 A group with several distinct pages is a long repeated substring. Where it stands outside main on most of them,
-it is boilerplate, and main and open blocks that it covers go; an article that a host shows under several
-addresses, or a sentence that many articles share, stands in main and stays. What is left are the unique runs.
+it is boilerplate, and open blocks that it covers go; what is left are the unique runs. Blocks in main stay:
+articles that a host shows under several addresses and sentences that adverts quote from articles repeat too.
 
 Groups are formed by hash aggregation on (host, beginning), which combines before the shuffle, so a host with a
 third of all pages or a notice on all of them is no hot spot. Shuffled are hashes, not texts.
@@ -199,7 +199,7 @@ def main_texts(pages: DataFrame, least: int = LEAST, at_least_pages: int = PAGES
     groups = rows.groupBy("host", "start", "page").agg(F.max("zone").alias("zone")).groupBy("host", "start")
     repeated = groups.agg(F.count("*").alias("pages"), F.count_if(F.col("zone") >= OPEN).alias("outside"))
     repeated = repeated.where(f"pages >= {int(at_least_pages)} and 2 * outside > pages")
-    covered = rows.where(F.col("zone") <= OPEN).join(stored(repeated.select("host", "start"), "boilerplate"), ["host", "start"])
+    covered = rows.where(F.col("zone") == OPEN).join(stored(repeated.select("host", "start"), "boilerplate"), ["host", "start"])
     covered = stored(covered.groupBy("page").agg(F.sort_array(F.collect_set("block")).alias("covered")), "covered-blocks")
     if covered.count() <= BROADCAST_PAGES:
         covered = F.broadcast(covered)
