@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,14 @@ def pieces(texts: list[str | None], most: int = PIECE_BYTES) -> Iterator[tuple[i
         yield start, group
 
 
+def sliced(batches, rows: int = 1000):
+    """Record batches of at most ``rows`` rows; memory that Arrow holds back is returned at the end."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash: every bit depends on every other."""
     x = x ^ (x >> np.uint64(30))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import LOWER, SPACE, joined, mix, pieces, prefix_hash, runs, span_hashes, stored
+from tablesense.llm.common import LOWER, SPACE, joined, mix, pieces, prefix_hash, runs, sliced, span_hashes, stored
 
 SKETCH = 48
 SHARE = 0.45
@@ -68,7 +68,7 @@ def sketches(keyed: DataFrame, words: int, k: int) -> DataFrame:
     """(key, n, d1, d2, sketch) of every row of (key, text): size and digest of the set, its k smallest values."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             n, d1, d2, low = [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), words):
                 n.append(len(s))
@@ -85,11 +85,9 @@ def full_sets(keyed: DataFrame, words: int) -> DataFrame:
     """(key, items): the whole shingle set of each row of (key, text)."""
 
     def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                arrays = [part.column("key"), _lists(list(shingle_sets(part.column("text").to_pylist(), words)))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "items"])
+        for batch in sliced(batches, 256):
+            arrays = [batch.column("key"), _lists(list(shingle_sets(batch.column("text").to_pylist(), words)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "items"])
 
     return keyed.mapInArrow(run, "key long, items array<long>")
 
