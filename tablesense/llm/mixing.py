@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def streams(documents: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size, begin): each document's place in its source's shuffled stream of words.
+    """(row, doc_id, hash, source, size, begin): each document's place in its source's shuffled stream of words.
 
     ``row`` tells repeated rows apart.
     """
@@ -72,7 +72,7 @@ def streams(documents: DataFrame) -> DataFrame:
     inside = F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.select("doc_id", "source", "size", "bucket", "h", inside.alias("inside"), F.row_number().over(own).alias("nth"))
     joined = placed.join(sums, placed.source.eqNullSafe(sums.s) & (placed.bucket == sums.b))
-    return joined.select(F.struct("bucket", "nth").alias("row"), "doc_id", "source", "size", (F.col("base") + F.col("inside")).alias("begin"))
+    return joined.select(F.struct("bucket", "nth").alias("row"), "doc_id", F.col("h").alias("hash"), "source", "size", (F.col("base") + F.col("inside")).alias("begin"))
 
 
 def schedule(spark, quotas: DataFrame, slots: int) -> DataFrame:
@@ -106,8 +106,9 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(plan, shares) for ``documents`` (doc_id, text, source, anything else).
 
-    ``plan`` has a row (slot, source, block, row, doc_id, first, words) for every piece of a document in a block:
-    ``words`` words from word ``first`` of the document on. ``shares`` has a row (row, doc_id, size, source,
+    ``plan`` has a row (slot, source, block, row, doc_id, hash, size, epoch, first, words) for every piece of a
+    document in a block: ``words`` words from word ``first`` of the document on, in the ``epoch``-th pass over the
+    source. ``shares`` has a row (row, doc_id, size, source,
     source_size, target) per document. Documents without words take no part but have their row in ``shares``;
     with no words at all every target is 0. Rows with equal doc_id stay apart. Blocks are smaller where the
     smallest target would fill fewer than 64 of them, but no smaller than the whole mix over 2^20 blocks.
@@ -123,16 +124,17 @@ def mix(
     tell = targets.withColumnRenamed("source", "s")
     shares = docs.join(tell, docs.source.eqNullSafe(tell.s)).drop("s")
     epoch = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("words") / F.col("source_size")) - 1, F.lit(0)).cast("int")))
-    pieces = shares.where("size > 0 and words > 0").select("row", "doc_id", "source", "size", "words", "begin", "source_size", epoch.alias("epoch"))
+    pieces = shares.where("size > 0 and words > 0").select("row", "doc_id", "hash", "source", "size", "words", "begin", "source_size", epoch.alias("epoch"))
     begin = F.col("begin") + F.col("epoch") * F.col("source_size")
-    pieces = pieces.select("row", "doc_id", "source", begin.alias("x"), F.least(begin + F.col("size"), F.col("words")).alias("y")).where("x < y")
+    pieces = pieces.select("row", "doc_id", "hash", "source", "size", "epoch", begin.alias("x"), F.least(begin + F.col("size"), F.col("words")).alias("y")).where("x < y")
     block = F.explode(F.sequence(F.floor(F.col("x") / size), F.floor((F.col("y") - 1) / size)))
     pieces = pieces.select("*", block.alias("block"))
     begin, end = F.greatest("x", F.col("block") * size), F.least("y", (F.col("block") + 1) * size)
-    pieces = pieces.select("row", "doc_id", F.col("source").alias("s"), F.col("block").alias("b"), (begin - F.col("x")).alias("first"), (end - begin).alias("words"))
+    pieces = pieces.select("row", "doc_id", "hash", "size", "epoch", F.col("source").alias("s"), F.col("block").alias("b"), (begin - F.col("x")).alias("first"), (end - begin).alias("words"))
     slots_of = schedule(spark, quotas, slots)
     plan = slots_of.join(pieces, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    return plan.select("slot", "source", "block", "row", "doc_id", "first", "words"), shares.drop("words", "begin")
+    plan = plan.select("slot", "source", "block", "row", "doc_id", "hash", "size", "epoch", "first", "words")
+    return plan, shares.drop("words", "begin", "hash")
 
 
 def taken(documents: DataFrame, **options) -> DataFrame:
@@ -141,3 +143,23 @@ def taken(documents: DataFrame, **options) -> DataFrame:
     got = plan.groupBy("source", "row").agg(F.sum("words").alias("taken")).withColumnsRenamed({"source": "s", "row": "r"})
     rows = shares.join(got, shares.source.eqNullSafe(got.s) & (shares.row == got.r), "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source")
+
+
+def mixed(documents: DataFrame, **options) -> DataFrame:
+    """The mix as rows of ``documents`` (doc_id, text, source, n_chars, anything else): one row per document and pass.
+
+    A document taken whole keeps its text; where a source's last pass ends within a document, that row has its
+    first words only, joined by spaces. ``n_chars`` follows the text.
+    """
+    plan, _ = mix(documents, **options)
+    rows = plan.groupBy("hash", "doc_id", "source", "row", "epoch", "size").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
+    rows = rows.select(F.col("hash").alias("_h"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "size", "first", "words")
+    hashed = documents.withColumn("_mix_hash", F.xxhash64("doc_id", "text"))
+    # rows that repeat doc_id, text and source are one here; the plan has each of them
+    nth = F.row_number().over(Window.partitionBy("_mix_hash", "doc_id", "source").orderBy(F.lit(0)))
+    hashed = hashed.withColumn("_nth", nth).where("_nth = 1")
+    met = hashed.join(rows, (F.col("_mix_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
+    part = F.array_join(F.slice(F.expr("regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"), F.col("first").cast("int") + 1, F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(part)
+    met = met.withColumn("text", text).withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return met.select(documents.columns)

@@ -233,3 +233,18 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     return found.select(
         doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), doc_id.eqNullSafe(component).alias("kept")
     )
+
+
+def deduplicated(documents: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+    """The rows of ``documents`` that ``near_duplicates`` keeps, columns as they are; of repeated rows one stays."""
+    key = "_near_key"
+    keyed = documents.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    found = near_duplicates(documents, words, percent, k).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), "kept")
+    found = stored(found.groupBy(key).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "near-kept")
+    gone, several = found.where("not kept").select(key), found.where("kept and n > 1").select(key)
+    small = gone.count() <= BROADCAST_KEYS
+    rows = keyed.join(F.broadcast(gone) if small else gone, key, "left_anti")
+    if several.limit(1).count():
+        once = rows.join(several, key, "left_anti")
+        rows = once.unionByName(rows.join(several, key, "left_semi").dropDuplicates([key, "text"]))
+    return rows.select(documents.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import SPACE, joined, labelled_sample, pieces, prefix_hash, runs, span_hashes
+from tablesense.llm.common import SPACE, joined, labelled_sample, pieces, prefix_hash, runs, sliced, span_hashes
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -154,7 +154,7 @@ def score(documents: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
     kept = rows.drop("_scored_text").schema.fieldNames()
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             logits = shared.value.logits(batch.column("_scored_text").to_pylist())
             scores = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, "score"])
@@ -165,3 +165,16 @@ def score(documents: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, target: str = "quality", rows: int = ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """Train on a bounded sample of the labelled rows that ``learn`` (a condition on ``doc_id``) admits."""
     return train(labelled_sample(documents, labels, target, learn, rows, max_bytes))
+
+
+def accepted(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` (text, anything else) whose score is at least ``least``, columns as they are."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    place = documents.columns.index("text")
+    limit = float(np.log(least / (1 - least)))
+
+    def run(batches):
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(shared.value.logits(batch.column(place).to_pylist()) >= limit))
+
+    return documents.mapInArrow(run, documents.schema)
