@@ -153,13 +153,13 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
     """
     plan, _ = mix(documents, **options)
     rows = plan.groupBy("hash", "doc_id", "source", "row", "epoch", "size").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
-    rows = rows.select(F.col("hash").alias("_h"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "size", "first", "words")
+    rows = rows.select(F.col("hash").alias("_h"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("first").alias("_first"), F.col("words").alias("_words"))
     hashed = documents.withColumn("_mix_hash", F.xxhash64("doc_id", "text"))
     # rows that repeat doc_id, text and source are one here; the plan has each of them
     nth = F.row_number().over(Window.partitionBy("_mix_hash", "doc_id", "source").orderBy(F.lit(0)))
     hashed = hashed.withColumn("_nth", nth).where("_nth = 1")
     met = hashed.join(rows, (F.col("_mix_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    part = F.array_join(F.slice(F.expr("regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"), F.col("first").cast("int") + 1, F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(part)
+    part = F.array_join(F.slice(F.expr("regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"), F.col("_first").cast("int") + 1, F.col("_words").cast("int")), " ")
+    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(part)
     met = met.withColumn("text", text).withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return met.select(documents.columns)

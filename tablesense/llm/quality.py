@@ -34,6 +34,7 @@ def features(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     that repeats the one before it adds one more feature, the same for all words.
     """
     data, starts = joined(group)
+    data, starts = np.concatenate((np.array([32], np.uint8), data)), starts + 1
     space = SPACE[data]
     data = np.where(space, np.uint8(32), data)
     word_start, word_end = runs(~space)
@@ -58,7 +59,8 @@ def features(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint32(13)
         found.append((h & np.uint32(BUCKETS - 1)).astype(np.int32))
         where.append(at)
-    return np.concatenate(found), np.searchsorted(starts, np.concatenate(where), side="right") - 1
+    # an n-gram may begin with the space before its word, which belongs to the text before
+    return np.concatenate(found), np.searchsorted(starts, np.concatenate(where) + 1, side="right") - 1
 
 
 @dataclass(frozen=True)

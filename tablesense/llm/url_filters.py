@@ -60,7 +60,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     ``capture`` tells captures apart. ``n_active`` counts entries that name the address and were valid at ``at``;
     ``active_list`` is the first of their lists by name and ``active_since`` when the latest of them began. A
     capture is blocked if an entry is active and none of a list that allows. Captures without a host or a time
-    match nothing.
+    match nothing. Columns of ``captures`` with the names of results are replaced.
     """
     valid = stored(intervals(entries), "list-intervals")
     if valid.count() <= BROADCAST_ENTRIES:
@@ -70,5 +70,5 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     hits = asked.join(valid, ["kind", "value"]).where(active).groupBy("capture").agg(
         F.count("*").alias("n_active"), F.min("list").alias("active_list"), F.max("valid_from").alias("active_since"), F.max("allows").alias("allowed")
     )
-    rows = captures.join(hits, "capture", "left").withColumn("host", host()).withColumn("n_active", F.coalesce("n_active", F.lit(0)))
+    rows = captures.drop("n_active", "active_list", "active_since", "allowed").join(hits, "capture", "left").withColumn("host", host()).withColumn("n_active", F.coalesce("n_active", F.lit(0)))
     return rows.withColumn("blocked", (F.col("n_active") > 0) & ~F.coalesce("allowed", F.lit(False))).drop("allowed")
