@@ -36,7 +36,8 @@ BLOCK_TOKENS = 1 << 18
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 NO_ID = (1 << 63) - 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_500_000
+JOINED = 2000
 
 WORDS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 """Coarser than the byte-level pattern of the vocabulary, with a boundary at each place where this one has one."""
@@ -46,8 +47,8 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 class Encoder:
     """Token ids of texts as little-endian bytes of ``dtype``.
 
-    A byte-level vocabulary encodes each word alone, so words are looked up in a bounded cache and only new
-    ones go to the library. Other vocabularies, texts that spell a special token and texts with control
+    A byte-level vocabulary encodes each word alone, so words are looked up in a bounded cache (one per Python
+    worker, emptied when full) and only new ones go to the library. Other vocabularies, texts that spell a special token and texts with control
     characters that are white space in Python only are encoded whole.
     """
 
@@ -65,29 +66,46 @@ class Encoder:
             before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
             and about.get("normalizer") is None and about["model"]["type"] == "BPE"
         )
+        line_feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.line_feed = line_feed[0] if len(line_feed) == 1 else None
+        self.by_word = self.by_word and self.line_feed is not None
         self.special = [t["content"] for t in about.get("added_tokens", [])]
         self.words: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Look up new words. Words proper go to the library by the thousand, one on a line; a line feed is an id of its own there."""
+        plain = [w for w in words if not w.isspace()]
+        other = [w for w in words if w.isspace()]
+        self.words.update(zip(other, self._ids(other), strict=True))
+        width = self.dtype.itemsize
+        parts = [plain[a : a + JOINED] for a in range(0, len(plain), JOINED)]
+        for part, raw in zip(parts, self._ids(["\n".join(p) for p in parts]), strict=True):
+            ends = np.flatnonzero(np.frombuffer(raw, self.dtype) == self.line_feed).tolist()
+            if len(ends) != len(part) - 1:
+                raise ValueError("the vocabulary does not keep line feeds apart")
+            begin = 0
+            for w, end in zip(part, [*ends, len(raw) // width], strict=True):
+                self.words[w] = raw[begin * width : end * width]
+                begin = end + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id; null counts as empty."""
-        out = []
+        split: list[list[str] | None] = []
         for text in texts:
-            text = text or ""
-            if not self.by_word or ODD_SPACE.search(text) or any(s in text for s in self.special):
-                out.append(self._ids([text])[0] + self.end)
-                continue
-            words = WORDS.findall(text)
-            new = list(set(words) - self.words.keys())
-            if new:
-                if len(self.words) + len(new) > CACHED_WORDS:
-                    self.words.clear()
-                    new = list(set(words))
-                self.words.update(zip(new, self._ids(new), strict=True))
-            out.append(b"".join(map(self.words.__getitem__, words)) + self.end)
-        return out
+            whole = not self.by_word or ODD_SPACE.search(text or "") or any(s in (text or "") for s in self.special)
+            split.append(None if whole else WORDS.findall(text or ""))
+        known, new = self.words, set()
+        for words in split:
+            new.update(w for w in words or () if w not in known)
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = {w for words in split for w in words or ()}
+        self._learn(list(new))
+        rest = iter(self._ids([t or "" for t, words in zip(texts, split, strict=True) if words is None]))
+        return [(next(rest) if words is None else b"".join(map(known.__getitem__, words))) + self.end for words in split]
 
 
 @lru_cache(maxsize=2)
