@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from tablesense.llm.common import stored
 from tablesense.session import shared_dir
 
-LANES = 512
-CHECKPOINT = 256
-BLOCK_TOKENS = 1 << 18
+LANES = 2048
+CHECKPOINT = 128
+BLOCK_TOKENS = 1 << 19
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 NO_ID = (1 << 63) - 1
@@ -97,15 +97,16 @@ class Encoder:
         for text in texts:
             whole = not self.by_word or ODD_SPACE.search(text or "") or any(s in (text or "") for s in self.special)
             split.append(None if whole else WORDS.findall(text or ""))
-        known, new = self.words, set()
-        for words in split:
-            new.update(w for w in words or () if w not in known)
+        known = self.words
+        distinct = set().union(*(words for words in split if words))
+        new = distinct.difference(known)
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
-            new = {w for words in split for w in words or ()}
+            new = distinct
         self._learn(list(new))
+        own = {w: known[w] for w in distinct}
         rest = iter(self._ids([t or "" for t, words in zip(texts, split, strict=True) if words is None]))
-        return [(next(rest) if words is None else b"".join(map(known.__getitem__, words))) + self.end for words in split]
+        return [(next(rest) if words is None else b"".join(map(own.__getitem__, words))) + self.end for words in split]
 
 
 @lru_cache(maxsize=2)
