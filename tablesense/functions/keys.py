@@ -22,8 +22,11 @@ def key_text(col: Column, data_type: T.DataType, *, empty_is_null: bool = False)
             return text
         return F.regexp_replace(text, r"\.?0+$", "")
     if isinstance(data_type, _FLOATING):
-        whole = (col == F.floor(col)) & (F.abs(col) < F.lit(1e15))
-        return F.when(whole, col.cast("bigint").cast("string")).otherwise(col.cast("string"))
+        # every double from 2^53 on is whole; a long holds it exactly below 2^63
+        whole = (F.abs(col) >= F.lit(2.0**53)) | (col == F.rint(col))
+        exact = F.when(F.abs(col) < F.lit(2.0**63), col.cast("bigint").cast("string"))
+        exact = exact.when(F.abs(col) < F.lit(1e38), col.cast("decimal(38,0)").cast("string"))
+        return F.coalesce(F.when(whole, exact), col.cast("string"))
     return col.cast("string")
 
 

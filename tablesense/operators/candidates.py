@@ -18,7 +18,6 @@ CANDIDATE = [
     "rule", "owner", "table", "columns", "parent_owner", "parent_table", "parent_columns",
     "parent_order", "child_type", "parent_type", "child_is_key", "parent_is_key",
 ]
-MAX_CHOICES = 24  # beyond this many column choices a composite match is too ambiguous to try
 
 
 class CatalogFrames:
@@ -155,12 +154,15 @@ def composite_exact(catalog: CatalogFrames) -> DataFrame:
     return _composite(catalog, held, "composite_exact")
 
 
-def composite_suffix(catalog: CatalogFrames) -> DataFrame:
-    """Column choices that match a composite key position by position, by token and base type.
+def composite_positions(catalog: CatalogFrames) -> DataFrame:
+    """Columns that fit one position of another table's composite key by token and base type, as single pairs."""
+    shaped = _positions(catalog).select(
+        "owner", "table", F.array("column").alias("columns"), "parent_owner", "parent_table", F.array("part").alias("parent_columns")
+    )
+    return shaped.distinct()
 
-    A key is left alone when its exact names are all present, when a position has no match, or
-    when there are more than ``MAX_CHOICES`` choices in all.
-    """
+
+def _positions(catalog: CatalogFrames) -> DataFrame:
     typed = catalog.columns
     parts = catalog.composite_keys.select("*", F.posexplode("parent_columns").alias("position", "part"))
     part_types = typed.select(
@@ -168,15 +170,28 @@ def composite_suffix(catalog: CatalogFrames) -> DataFrame:
         F.col("column").alias("part"), F.col("token").alias("part_token"), F.col("base").alias("part_base"),
     )
     parts = parts.join(part_types, ["parent_owner", "parent_table", "part"])
-    child = ["owner", "table", "parent_owner", "parent_table", "parent_columns", "key_order"]
     like = (F.col("token") == F.col("part_token")) & (F.col("base") == F.col("part_base"))
-    per_position = (
-        typed.join(parts, like).filter(_other_table())
-        .groupBy(*child, "position")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("ordinal", "column"))).alias("options"),
-            F.max(F.col("column") == F.col("part")).alias("has_name"),
+    return typed.join(parts, like).filter(_other_table())
+
+
+def composite_suffix(catalog: CatalogFrames, fitting: DataFrame | None = None) -> DataFrame:
+    """Column choices that match a composite key position by position, by token and base type.
+
+    A key is left alone when its exact names are all present or when a position has no match.
+    ``fitting`` holds the single pairs of ``composite_positions`` whose values overlap enough: a tuple
+    overlaps no more than its parts, so only those columns are combined.
+    """
+    child = ["owner", "table", "parent_owner", "parent_table", "parent_columns", "key_order"]
+    positions = _positions(catalog)
+    named = positions.groupBy(*child, "position").agg(F.max(F.col("column") == F.col("part")).alias("has_name"))
+    named = named.groupBy(*child).agg(F.min("has_name").alias("all_names")).filter(~F.col("all_names")).drop("all_names")
+    if fitting is not None:
+        fits = fitting.select(
+            "owner", "table", F.col("columns")[0].alias("column"), "parent_owner", "parent_table", F.col("parent_columns")[0].alias("part")
         )
+        positions = positions.join(fits.distinct(), fits.columns, "left_semi")
+    per_position = positions.groupBy(*child, "position").agg(
+        F.sort_array(F.collect_list(F.struct("ordinal", "column"))).alias("options")
     )
     per_key = (
         per_position.groupBy(*child)
@@ -184,16 +199,14 @@ def composite_suffix(catalog: CatalogFrames) -> DataFrame:
             F.transform(
                 F.sort_array(F.collect_list(F.struct("position", "options"))), lambda p: p["options"]
             ).alias("options"),
-            F.min("has_name").alias("all_names"),
         )
+        .join(named, child, "left_semi")
         .filter(F.size("options") == F.size("parent_columns"))
-        .filter(~F.col("all_names"))
         .withColumn(
             "choices", F.aggregate("options", F.lit(1).cast("bigint"), lambda n, o: n * F.size(o))
         )
-        .filter(F.col("choices") <= MAX_CHOICES)
     )
-    # At most MAX_CHOICES choices: number them, and read the digits of the number position by position.
+    # Number the choices, and read the digits of the number position by position.
     numbered = per_key.withColumn("choice", F.explode(F.sequence(F.lit(0), (F.col("choices") - 1).cast("int"))))
 
     def pick(option: Column, i: Column) -> Column:

@@ -30,8 +30,7 @@ def _key(df: DataFrame, columns: Sequence[str], empty_is_null: bool, numeric: bo
 
 def _both_numeric(child: DataFrame, child_columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]) -> bool:
     """Two single whole-number columns compare the same as numbers and as text, and cheaper."""
-    ends = ((child, child_columns), (parent, parent_columns))
-    return all(len(cols) == 1 and isinstance(df.schema[cols[0]].dataType, T.IntegralType) for df, cols in ends)
+    return _whole_number(child, child_columns) and _whole_number(parent, parent_columns)
 
 
 def _measure() -> list[Column]:
@@ -85,61 +84,98 @@ def inclusion(
     candidates: DataFrame,
     *,
     empty_is_null: bool = False,
+    at_least: float | None = None,
 ) -> DataFrame:
     """Measure every candidate pair of an estate in one job.
 
     ``candidates``: owner, table, columns (child) and parent_owner, parent_table, parent_columns,
-    with any further columns, which are kept. Each table is read once, only in its candidate
-    columns; the values of a column are counted before they meet any parent. The join key is
-    (parent key, value), in which a value occurs once per child column, so it has no hot keys and
-    never lists the pairs of columns that share a value.
+    with any further columns, which are kept. Only the keys themselves come to the driver, since they
+    say which columns to read; pairs stay a DataFrame. The values of a column are counted before they
+    meet any parent. The join key is (parent key, value), in which a value occurs once per child
+    column, so it has no hot keys and never lists the pairs of columns that share a value.
+
+    With ``at_least``, pairs that cannot reach that overlap are left out before values meet parents:
+    by empty sides, ranges that do not touch, too few parent values, and by bitmaps of hashed values,
+    of which every bit the parent lacks is a child value without parent.
     """
-    names = [*CHILD_KEY, *PARENT_KEY]
-    # Which columns to read is part of the plan: one small row per pair of candidate keys.
-    pairs = sorted({_frozen(r) for r in candidates.select(*names).collect()})
-    if not pairs:
+    child_ids = _numbered(_keys(candidates, CHILD_KEY))
+    parent_ids = _numbered(_keys(candidates, PARENT_KEY))
+    if not child_ids:
         unmeasured = [F.lit(None).cast(t).alias(c) for c, t in zip(MEASURES, MEASURE_TYPES)]
         return candidates.limit(0).select("*", *unmeasured)
-    child_ids = _numbered(p[:3] for p in pairs)
-    parent_ids = _numbered(p[3:] for p in pairs)
-    numbered = local_rows(
-        candidates.sparkSession,
-        [(*p, child_ids[p[:3]], parent_ids[p[3:]]) for p in pairs],
-        "owner string, table string, columns array<string>, parent_owner string, "
-        "parent_table string, parent_columns array<string>, child_id int, parent_id int",
-    )
-    groups: dict[bool, list[tuple[int, int]]] = {}
-    for p in pairs:
-        numeric = _both_numeric(tables[p[:2]], p[2], tables[p[3:5]], p[5])
-        groups.setdefault(numeric, []).append((child_ids[p[:3]], parent_ids[p[3:]]))
+    spark = candidates.sparkSession
+    whole = {True: "child_whole", False: "parent_whole"}
+    ends = []
+    for ids, key, child in ((child_ids, CHILD_KEY, True), (parent_ids, PARENT_KEY, False)):
+        rows = [(*k, i, _whole_number(tables[k[:2]], k[2])) for k, i in ids.items()]
+        name = "child_id" if child else "parent_id"
+        ends.append(local_rows(spark, rows, f"{key[0]} string, {key[1]} string, {key[2]} array<string>, {name} int, {whole[child]} boolean"))
+    numbered = candidates.join(ends[0], CHILD_KEY).join(ends[1], PARENT_KEY)
+    numeric = F.col("child_whole") & F.col("parent_whole")
     measured = reduce(DataFrame.unionByName, [
-        _measured(tables, child_ids, parent_ids, ids, empty_is_null, numeric) for numeric, ids in groups.items()
+        _measured(tables, child_ids, parent_ids, numbered.filter(wanted).select("child_id", "parent_id").distinct(), empty_is_null, kind, at_least)
+        for kind, wanted in ((True, numeric), (False, ~numeric))
+        if not kind or any(_whole_number(tables[k[:2]], k[2]) for k in child_ids)
     ])
-    labelled = candidates.join(numbered, names).join(measured, ["child_id", "parent_id"])
+    labelled = numbered.join(measured, ["child_id", "parent_id"])
     return _with_overlap(labelled).select(*candidates.columns, *MEASURES)
 
 
+def _keys(candidates: DataFrame, names: Sequence[str]) -> list[tuple]:
+    return sorted(_frozen(r) for r in candidates.select(*names).distinct().collect())
+
+
+def _whole_number(df: DataFrame, columns: Sequence[str]) -> bool:
+    return len(columns) == 1 and isinstance(df.schema[columns[0]].dataType, T.IntegralType)
+
+
+WORDS = 16  # of 64 bits, in the bitmap of a key's hashed values
+
+
+def _summary(values: DataFrame, key_id: str, end: str) -> DataFrame:
+    """Per key: distinct values, range, and a bitmap of hashed values; one small row that combines before the shuffle."""
+    place = F.pmod(F.xxhash64("key"), F.lit(64 * WORDS))
+    hashed = values.withColumn("place", place).withColumns({
+        "word": F.floor(F.col("place") / 64), "bit": F.expr("shiftleft(1L, cast(place % 64 as int))"),
+    })
+    words = [F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"{end}_{i}") for i in range(WORDS)]
+    return hashed.groupBy(key_id).agg(
+        F.count(F.lit(1)).alias(f"{end}_n"), F.min("key").alias(f"{end}_low"), F.max("key").alias(f"{end}_high"), *words
+    )
+
+
+def _possible(pairs: DataFrame, values: DataFrame, targets: DataFrame, at_least: float) -> DataFrame:
+    """The pairs whose overlap may reach ``at_least``; exact on what it leaves out."""
+    met = pairs.join(_summary(values, "child_id", "c"), "child_id").join(_summary(targets, "parent_id", "p"), "parent_id")
+    missing = sum((F.bit_count(F.col(f"c_{i}").bitwiseAND(F.bitwise_not(f"p_{i}"))) for i in range(WORDS)), F.lit(0))
+    needed = F.col("c_n") * at_least * (1 - 1e-9)
+    met = met.filter("c_low <= p_high and p_low <= c_high").filter((F.col("p_n") >= needed) & (F.col("c_n") - missing >= needed))
+    return met.select("child_id", "parent_id")
+
+
 def _measured(
     tables: Mapping[tuple[str, str], DataFrame],
     child_ids: Mapping[tuple, int],
     parent_ids: Mapping[tuple, int],
-    pairs: Sequence[tuple[int, int]],
+    pairs: DataFrame,
     empty_is_null: bool,
     numeric: bool,
+    at_least: float | None,
 ) -> DataFrame:
     """The measures of numbered pairs whose keys are all numbers, or all text."""
-    children = {k: i for k, i in child_ids.items() if i in {c for c, _ in pairs}}
-    parents = {k: i for k, i in parent_ids.items() if i in {p for _, p in pairs}}
+    children, parents = (
+        {k: i for k, i in ids.items() if not numeric or _whole_number(tables[k[:2]], k[2])} for ids in (child_ids, parent_ids)
+    )
     values = (
         _melt(tables, children, empty_is_null, numeric)
         .groupBy("key_id", "key").agg(F.count(F.lit(1)).alias("n_rows"))
         .withColumnRenamed("key_id", "child_id")
     )
-    ids = local_rows(values.sparkSession, list(pairs), "child_id int, parent_id int")
-    targets = _melt(tables, parents, empty_is_null, numeric).distinct()
-    targets = targets.select(F.col("key_id").alias("parent_id"), "key", F.lit(True).alias("hit"))
+    targets = _melt(tables, parents, empty_is_null, numeric).distinct().withColumnRenamed("key_id", "parent_id")
+    if at_least is not None:
+        pairs = _possible(pairs, values, targets, at_least)
     return (
-        values.join(ids, "child_id").join(targets, ["parent_id", "key"], "left")
+        values.join(pairs, "child_id").join(targets.withColumn("hit", F.lit(True)), ["parent_id", "key"], "left")
         .withColumn("in_parent", F.col("hit").isNotNull())
         .groupBy("child_id", "parent_id").agg(*_measure())
     )

@@ -11,7 +11,6 @@ from tablesense.functions.names import base_type, trailing_token
 from tablesense.operators import candidates as rules
 from tablesense.operators.inclusion import MEASURE_TYPES, MEASURES, inclusion
 from tablesense.sources.catalog import Estate
-from tablesense.sources.tables import settled
 
 RELATIONSHIP = [
     "owner", "table", "columns", "parent_owner", "parent_table", "parent_columns", "declared",
@@ -19,13 +18,16 @@ RELATIONSHIP = [
 ]
 
 
-RULES = (rules.exact_name, rules.same_suffix, rules.composite_exact, rules.composite_suffix)
+RULES = (rules.exact_name, rules.same_suffix, rules.composite_exact)
 
 
-def all_candidates(estate: Estate, *, counts: DataFrame | None = None) -> DataFrame:
-    """Candidates of all four rules; with row counts, without the tables measured as empty."""
+def all_candidates(estate: Estate, *, counts: DataFrame | None = None, fitting: DataFrame | None = None) -> DataFrame:
+    """Candidates of all four rules; with row counts, without the tables measured as empty.
+
+    ``fitting`` are the measured single pairs that composite keys may be combined from.
+    """
     catalog = rules.CatalogFrames.of(estate)
-    found = reduce(DataFrame.unionByName, [rule(catalog) for rule in RULES])
+    found = reduce(DataFrame.unionByName, [*(rule(catalog) for rule in RULES), rules.composite_suffix(catalog, fitting)])
     if counts is None:
         return found
     empty = rules.measured_empty(counts)
@@ -41,13 +43,16 @@ def discover(
 ) -> DataFrame:
     """Inferred relationships, one row each.
 
-    Candidates are catalog-sized and come to the driver once, because they decide which columns
-    the one measuring job reads. What follows the measuring is again catalog-sized. Row counts
-    that are at hand (``Estate.row_counts`` or a profile) spare the columns of empty tables.
+    Pairs of columns stay a DataFrame; only the names of the columns to read come to the driver. Pairs
+    that cannot reach the threshold go before values are compared, empty tables among them. Row counts
+    that are at hand (``Estate.row_counts`` or a profile) spare reading the columns of empty tables.
     """
-    found = settled(all_candidates(estate, counts=counts))
     frames = {k: s.rows for k, s in estate.sources.items()}
-    return choose(inclusion(frames, found, empty_is_null=empty_is_null), threshold=threshold)
+    positions = rules.composite_positions(rules.CatalogFrames.of(estate))
+    fitting = inclusion(frames, positions, empty_is_null=empty_is_null, at_least=threshold).filter(F.col("overlap") >= threshold)
+    found = all_candidates(estate, counts=counts, fitting=fitting)
+    measured = inclusion(frames, found, empty_is_null=empty_is_null, at_least=threshold)
+    return choose(measured, threshold=threshold)
 
 
 def choose(measured: DataFrame, *, threshold: float = 0.85) -> DataFrame:

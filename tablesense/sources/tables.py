@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-MAX_CATALOG_ROWS = 1_000_000
-
-
 def read_parquet(
     spark: SparkSession,
     path: str,
@@ -61,14 +58,11 @@ def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str | T.Struc
 
 
 def settled(catalog_frame: DataFrame) -> DataFrame:
-    """Run a catalog-sized frame once and keep its rows, so that later steps do not measure again.
+    """Run a frame of tables, columns or constraints once and keep its rows as a local relation.
 
-    Only for frames bounded by the number of tables and columns, never for data; a frame that is
-    larger than any catalog is refused.
+    Only for frames with one row per table, column or constraint; never for data or for pairs of columns.
     """
     rows = [tuple(r) for r in catalog_frame.collect()]
-    if len(rows) > MAX_CATALOG_ROWS:
-        raise ValueError(f"more than {MAX_CATALOG_ROWS} rows: this is data, not a catalog")
     return local_rows(catalog_frame.sparkSession, rows, catalog_frame.schema)
 
 

@@ -167,13 +167,13 @@ def test_offline_keeps_only_unambiguous_names_at_low_confidence(estate):
     assert not any(e[1] == "C" for e in edges(fk_discovery.offline(ambiguous)))
 
 
-def test_too_many_composite_choices_are_left_alone(estate):
+def test_composite_choices_have_no_cap(estate):
     columns = ", ".join(f"c{i}_ID int" for i in range(6))
     wide = estate({
         ("S", "P"): ([(1, 1)], "a_ID int, b_ID int", {"primary_key": ("a_ID", "b_ID")}),
         ("S", "C"): ([tuple([1] * 6)], columns, {}),
     })
-    assert rules.composite_suffix(rules.CatalogFrames.of(wide)).count() == 0  # 6 x 6 = 36 choices
+    assert rules.composite_suffix(rules.CatalogFrames.of(wide)).count() == 30  # 36 choices less 6 repeats
     narrow = estate({
         ("S", "P"): ([(1, 1)], "a_ID int, b_ID int", {"primary_key": ("a_ID", "b_ID")}),
         ("S", "C"): ([(1, 1, 1)], "x_ID int, y_ID int, z_ID int", {}),
@@ -200,3 +200,36 @@ def test_declared_reference_to_another_owner_keeps_its_target(estate):
     })
     row = fk_discovery.declared(sources.constraints()).collect()[0]
     assert (row["parent_owner"], row["declared"], row["confidence"], row["cross_schema"]) == ("A", True, "high", True)
+
+
+def test_composite_key_among_many_columns_is_found(estate):
+    columns = ", ".join(f"c{i}_ID int" for i in range(8))
+    pairs = [(i, 100 + i % 7) for i in range(40)]
+    sources = estate({
+        ("S", "P"): (pairs, "a_ID int, b_ID int", {"primary_key": ("a_ID", "b_ID")}),
+        ("S", "C"): ([(a, b, *[1000 + a] * 6) for a, b in pairs], columns, {}),
+    })
+    found = {e[:5] for e in edges(fk_discovery.discover(sources)) if e[0] == "composite_suffix"}
+    assert [e[2] for e in found] == [("c0_ID", "c1_ID")]
+
+
+def test_pruned_pairs_could_not_reach_the_threshold(spark, make):
+    from itertools import product
+
+    from tablesense.sources.tables import local_rows as local
+
+    values = {"a": range(100), "b": range(50, 150), "c": range(10), "d": [], "e": range(1000, 1100), "f": [*range(95), *range(500, 505)]}
+    tables = {("S", n): make([(v,) for v in vs], "v int") for n, vs in values.items()}
+    schema = "owner string, table string, columns array<string>, parent_owner string, parent_table string, parent_columns array<string>"
+    pairs = local(spark, [("S", a, ["v"], "S", b, ["v"]) for a, b in product(values, values) if a != b], schema)
+    whole = {(r["table"], r["parent_table"]): r["overlap"] for r in inclusion(tables, pairs).collect()}
+    kept = {(r["table"], r["parent_table"]): r["overlap"] for r in inclusion(tables, pairs, at_least=0.85).collect()}
+    assert {k: v for k, v in whole.items() if v >= 0.85} == {k: v for k, v in kept.items() if v >= 0.85}
+    assert len(kept) < len(whole)
+
+
+def test_whole_floating_keys_compare_as_numbers_at_any_size(make):
+    big = [10**15 + i for i in range(10)] + [2**60, 7]
+    child, parent = make([(v,) for v in big], "k long"), make([(float(v),) for v in big], "k double")
+    row = overlap(child, ["k"], parent, ["k"]).collect()[0]
+    assert (row["overlap"], row["orphan_rows"]) == (1.0, 0)
