@@ -156,7 +156,7 @@ def composite_exact(catalog: CatalogFrames) -> DataFrame:
 
 def composite_positions(catalog: CatalogFrames) -> DataFrame:
     """Columns that fit one position of another table's composite key by token and base type, as single pairs."""
-    shaped = _positions(catalog).select(
+    shaped = _unnamed(_positions(catalog)).select(
         "owner", "table", F.array("column").alias("columns"), "parent_owner", "parent_table", F.array("part").alias("parent_columns")
     )
     return shaped.distinct()
@@ -174,6 +174,16 @@ def _positions(catalog: CatalogFrames) -> DataFrame:
     return typed.join(parts, like).filter(_other_table())
 
 
+_MATCH = ["owner", "table", "parent_owner", "parent_table", "parent_columns", "key_order"]
+
+
+def _unnamed(positions: DataFrame) -> DataFrame:
+    """Without the keys whose exact names a table has all; those are ``composite_exact``'s."""
+    named = positions.groupBy(*_MATCH, "position").agg(F.max(F.col("column") == F.col("part")).alias("has_name"))
+    whole = named.groupBy(*_MATCH).agg(F.min("has_name").alias("all_names"), F.count(F.lit(1)).alias("places"))
+    return positions.join(whole.filter(~F.col("all_names") & (F.col("places") == F.size("parent_columns"))), _MATCH, "left_semi")
+
+
 def composite_suffix(catalog: CatalogFrames, fitting: DataFrame | None = None) -> DataFrame:
     """Column choices that match a composite key position by position, by token and base type.
 
@@ -181,10 +191,8 @@ def composite_suffix(catalog: CatalogFrames, fitting: DataFrame | None = None) -
     ``fitting`` holds the single pairs of ``composite_positions`` whose values overlap enough: a tuple
     overlaps no more than its parts, so only those columns are combined.
     """
-    child = ["owner", "table", "parent_owner", "parent_table", "parent_columns", "key_order"]
-    positions = _positions(catalog)
-    named = positions.groupBy(*child, "position").agg(F.max(F.col("column") == F.col("part")).alias("has_name"))
-    named = named.groupBy(*child).agg(F.min("has_name").alias("all_names")).filter(~F.col("all_names")).drop("all_names")
+    child = _MATCH
+    positions = _unnamed(_positions(catalog))
     if fitting is not None:
         fits = fitting.select(
             "owner", "table", F.col("columns")[0].alias("column"), "parent_owner", "parent_table", F.col("parent_columns")[0].alias("part")
@@ -200,7 +208,6 @@ def composite_suffix(catalog: CatalogFrames, fitting: DataFrame | None = None) -
                 F.sort_array(F.collect_list(F.struct("position", "options"))), lambda p: p["options"]
             ).alias("options"),
         )
-        .join(named, child, "left_semi")
         .filter(F.size("options") == F.size("parent_columns"))
         .withColumn(
             "choices", F.aggregate("options", F.lit(1).cast("bigint"), lambda n, o: n * F.size(o))

@@ -58,23 +58,39 @@ def routine_references(units: DataFrame, identifiers: DataFrame) -> DataFrame:
 
 
 def _distinct_words(text: Column) -> Column:
-    """Words as a word-boundary search would find them, and names with $ or # as a whole."""
+    """Words as a word-boundary search would find them, and every run of words that $ or # join."""
     lower = F.lower(text)
     plain = F.regexp_extract_all(lower, F.lit(r"(?U)(\w+)"), F.lit(1))
-    special = F.when(
-        lower.rlike("[$#]"), F.regexp_extract_all(lower, F.lit(r"(?U)(\w+(?:[$#]+\w+)+)"), F.lit(1))
-    ).otherwise(F.array().cast("array<string>"))
+    joined = F.regexp_extract_all(lower, F.lit(r"(?U)(\w+(?:[$#]+\w+)+)"), F.lit(1))
+
+    def stretches(name: Column) -> Column:
+        words, marks = F.split(name, "[$#]+"), F.split(name, r"(?U)\w+")
+        ends = F.sequence(F.lit(1), F.size(words))
+
+        def from_word(i: Column) -> Column:
+            rest = F.filter(ends, lambda j: j > i)
+            return F.transform(rest, lambda j: F.aggregate(
+                F.sequence(i + 1, j), F.element_at(words, i), lambda name, k: F.concat(name, F.element_at(marks, k), F.element_at(words, k))
+            ))
+
+        return F.flatten(F.transform(ends, from_word))
+
+    special = F.when(lower.rlike("[$#]"), F.flatten(F.transform(joined, stretches))).otherwise(F.array().cast("array<string>"))
     return F.array_union(plain, special)
 
 
-def usages(units: DataFrame, identifiers: DataFrame) -> DataFrame:
+def usages(units: DataFrame, identifiers: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     """(identifier, owner, name, kind): units that mention an identifier, itself excluded.
 
+    ``packages`` (identifier, package) names the package a routine belongs to, which is no user of it.
     An inverted index: distinct words per unit meet the identifiers in one equi-join, whichever
     side is small. A word that is no identifier never leaves its task once the list is broadcast.
     """
     words = units.select("owner", "name", "kind", F.explode(_distinct_words(_text())).alias("word"))
     found = words.join(_wanted(identifiers), "word").filter(F.lower("name") != F.col("word"))
+    if packages is not None:
+        own = packages.select(F.lower("identifier").alias("word"), F.lower("package").alias("unit")).distinct()
+        found = found.withColumn("unit", F.lower("name")).join(own, ["word", "unit"], "left_anti")
     return found.select("identifier", "owner", "name", "kind")
 
 

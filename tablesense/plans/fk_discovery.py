@@ -11,6 +11,7 @@ from tablesense.functions.names import base_type, trailing_token
 from tablesense.operators import candidates as rules
 from tablesense.operators.inclusion import MEASURE_TYPES, MEASURES, inclusion
 from tablesense.sources.catalog import Estate
+from tablesense.sources.tables import settled
 
 RELATIONSHIP = [
     "owner", "table", "columns", "parent_owner", "parent_table", "parent_columns", "declared",
@@ -21,12 +22,14 @@ RELATIONSHIP = [
 RULES = (rules.exact_name, rules.same_suffix, rules.composite_exact)
 
 
-def all_candidates(estate: Estate, *, counts: DataFrame | None = None, fitting: DataFrame | None = None) -> DataFrame:
+def all_candidates(
+    estate: Estate, *, counts: DataFrame | None = None, fitting: DataFrame | None = None, catalog: rules.CatalogFrames | None = None
+) -> DataFrame:
     """Candidates of all four rules; with row counts, without the tables measured as empty.
 
     ``fitting`` are the measured single pairs that composite keys may be combined from.
     """
-    catalog = rules.CatalogFrames.of(estate)
+    catalog = catalog or rules.CatalogFrames.of(estate)
     found = reduce(DataFrame.unionByName, [*(rule(catalog) for rule in RULES), rules.composite_suffix(catalog, fitting)])
     if counts is None:
         return found
@@ -48,9 +51,12 @@ def discover(
     that are at hand (``Estate.row_counts`` or a profile) spare reading the columns of empty tables.
     """
     frames = {k: s.rows for k, s in estate.sources.items()}
-    positions = rules.composite_positions(rules.CatalogFrames.of(estate))
-    fitting = inclusion(frames, positions, empty_is_null=empty_is_null, at_least=threshold).filter(F.col("overlap") >= threshold)
-    found = all_candidates(estate, counts=counts, fitting=fitting)
+    catalog = rules.CatalogFrames.of(estate)
+    positions = rules.composite_positions(catalog)
+    parts = inclusion(frames, positions, empty_is_null=empty_is_null, at_least=threshold).filter(F.col("overlap") >= threshold)
+    # one row per column that really holds values of a key's part: as many as there are references, not pairs
+    fitting = settled(parts.select(positions.columns))
+    found = all_candidates(estate, counts=counts, fitting=fitting, catalog=catalog)
     measured = inclusion(frames, found, empty_is_null=empty_is_null, at_least=threshold)
     return choose(measured, threshold=threshold)
 
@@ -70,10 +76,7 @@ def choose(measured: DataFrame, *, threshold: float = 0.85) -> DataFrame:
     )
     best = without_mutual_keys(best)
     exact_match = F.max(F.col("rule") == "exact").over(W.partitionBy("owner", "table", "columns"))
-    settled = best.withColumn("has_exact", exact_match).filter(
-        (F.col("rule") != "suffix") | ~F.col("has_exact")
-    )
-    return described(settled)
+    return described(best.withColumn("has_exact", exact_match).filter((F.col("rule") != "suffix") | ~F.col("has_exact")))
 
 
 def without_mutual_keys(matches: DataFrame) -> DataFrame:

@@ -164,3 +164,16 @@ def test_ground_truth(estate):
     rows = {r["table"]: r for r in ground_truth(sources.tables(), sources.columns(), sources.constraints()).collect()}
     assert rows["P"]["comment"] == "about" and rows["P"]["foreign_keys"] is None
     assert rows["C"]["column_comments"] == {"K": "key"} and rows["C"]["foreign_keys"][0]["to_table"] == "P"
+
+
+def test_usages_find_names_with_marks_within_longer_names(make):
+    lines = make(
+        [("S", "USER1", "PROCEDURE", 1, "select A$B$C from dual"), ("S", "PKG", "PACKAGE BODY", 1, "procedure A$B is begin x#y_1; end;"), ("S", "USER2", "PROCEDURE", 1, "A$$B")],
+        "owner string, name string, type string, line int, text string",
+    )
+    whole = programs.assemble_source(lines)
+    names = make([("A$B",), ("B$C",), ("A$B$C",), ("x#y_1",), ("A$C",)], "identifier string")
+    found = {(r["identifier"], r["name"]) for r in deps.usages(whole, names).collect()}
+    assert found == {("A$B", "USER1"), ("B$C", "USER1"), ("A$B$C", "USER1"), ("A$B", "PKG"), ("x#y_1", "PKG")}
+    own = make([("A$B", "PKG")], "identifier string, package string")
+    assert ("A$B", "PKG") not in {(r["identifier"], r["name"]) for r in deps.usages(whole, names, own).collect()}
