@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablesense.session import shared_dir
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 """Texts are worked on in groups of about so many bytes, so that arrays stay small; one text is never cut."""
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -82,6 +82,20 @@ def pieces(texts: list[str | None], most: int = PIECE_BYTES) -> Iterator[tuple[i
         yield start, group
 
 
+BATCH_ROWS = 1000
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of at most ``BATCH_ROWS`` rows, for rows may hold long texts.
+
+    The session's limit is lowered where it is higher; Spark reads it when the plan runs.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def sliced(batches, rows: int = 1000):
     """Record batches of at most ``rows`` rows; memory that Arrow holds back is returned at the end."""
     for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesense.llm.common import LETTER, LOWER, joined, mix, pieces, prefix_hash, runs, span_hashes
+from tablesense.llm.common import LETTER, LOWER, joined, map_batches, mix, pieces, prefix_hash, runs, span_hashes
 
 RATE = 0.15
 RECALL = 0.99
@@ -190,7 +190,7 @@ def word_counts(documents: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 
     if not len(vocabulary):
         return {}
-    found = documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    found = map_batches(documents.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {int(vocabulary[r["word"]]): r["n"] for r in found}
 
 
@@ -233,7 +233,7 @@ def _one_group(found: DataFrame, shared, columns: list[str], schema: T.StructTyp
             kind = pa.list_(pa.struct([(c, pa.int64()) for c in HITS.elementType.names]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(hits, kind)], names=[*columns, "_benchmark_hits"])
 
-    return found.mapInArrow(run, schema)
+    return map_batches(found, run, schema)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import prefix_hash, span_hashes
+from tablesense.llm.common import map_batches, prefix_hash, span_hashes
 
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 WINDOW = 7
@@ -111,7 +111,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out], names=["doc_id", "fingerprint"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return map_batches(documents.select("doc_id", "text"), run, f"doc_id {kind}, fingerprint string")
 
 
 @dataclass
@@ -159,7 +159,7 @@ def with_next(documents: DataFrame) -> DataFrame:
             sent = pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text")], names=["key", "text"]).take(take)
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(tail), *sent.columns], names=["part", "tail", "key", "text"])
 
-    dealt = rows.mapInArrow(deal, "part int, tail boolean, key long, text string")
+    dealt = map_batches(rows, deal, "part int, tail boolean, key long, text string")
     dealt = dealt.repartitionByRange(n, "part").sortWithinPartitions("part", "tail", "key", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -189,4 +189,4 @@ def with_next(documents: DataFrame) -> DataFrame:
 
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
     arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import stored
+from tablesense.llm.common import map_batches, stored
 
 LEAST = 8
 PAGES = 3
@@ -185,7 +185,7 @@ def _suffixes(pages: DataFrame, least: int) -> DataFrame:
                 whole = [pa.array(x, pa.int64()) for x in (host, page, start)]
                 yield pa.RecordBatch.from_arrays([*whole, pa.array(block, pa.int32()), pa.array(zone, pa.int32())], names=["host", "page", "start", "block", "zone"])
 
-    return pages.mapInArrow(run, "host long, page long, start long, block int, zone int")
+    return map_batches(pages, run, "host long, page long, start long, block int, zone int")
 
 
 def main_texts(pages: DataFrame, least: int = LEAST, at_least_pages: int = PAGES) -> DataFrame:
@@ -215,4 +215,4 @@ def main_texts(pages: DataFrame, least: int = LEAST, at_least_pages: int = PAGES
             size = pa.array(np.array([len(t) for t in texts], np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), size], names=schema.names)
 
-    return with_cover.mapInArrow(run, schema)
+    return map_batches(with_cover, run, schema)

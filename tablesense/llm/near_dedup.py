@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import LOWER, SPACE, joined, mix, pieces, prefix_hash, runs, sliced, span_hashes, stored
+from tablesense.llm.common import LOWER, SPACE, joined, map_batches, mix, pieces, prefix_hash, runs, sliced, span_hashes, stored
 
 SKETCH = 48
 SHARE = 0.45
@@ -78,7 +78,7 @@ def sketches(keyed: DataFrame, words: int, k: int) -> DataFrame:
             columns = [batch.column("key"), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), _lists(low)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "d1", "d2", "sketch"])
 
-    return keyed.mapInArrow(run, "key long, n long, d1 long, d2 long, sketch array<long>")
+    return map_batches(keyed, run, "key long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def full_sets(keyed: DataFrame, words: int) -> DataFrame:
@@ -89,7 +89,7 @@ def full_sets(keyed: DataFrame, words: int) -> DataFrame:
             arrays = [batch.column("key"), _lists(list(shingle_sets(batch.column("text").to_pylist(), words)))]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "items"])
 
-    return keyed.mapInArrow(run, "key long, items array<long>")
+    return map_batches(keyed, run, "key long, items array<long>")
 
 
 def listed(representatives: DataFrame, k: int | None, percent: int) -> DataFrame:

@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import SPACE, joined, labelled_sample, pieces, prefix_hash, runs, sliced, span_hashes
+from tablesense.llm.common import SPACE, joined, labelled_sample, map_batches, pieces, prefix_hash, runs, sliced, span_hashes
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 REPEAT = 0
 """Bucket of a word that repeats the one before it."""
 DIM = 8
-ROWS = 2500
-MAX_BYTES = 24_000_000
+ROWS = 2000
+MAX_BYTES = 10_000_000
 EPOCHS = 6
 
 
@@ -161,7 +161,7 @@ def score(documents: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
             scores = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, "score"])
 
-    return rows.mapInArrow(run, rows.drop("_scored_text").schema.add("score", "double"))
+    return map_batches(rows, run, rows.drop("_scored_text").schema.add("score", "double"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, target: str = "quality", rows: int = ROWS, max_bytes: int = MAX_BYTES) -> Model:
@@ -179,4 +179,4 @@ def accepted(documents: DataFrame, model: Model, least: float = 0.5) -> DataFram
         for batch in sliced(batches):
             yield batch.filter(pa.array(shared.value.logits(batch.column(place).to_pylist()) >= limit))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_batches(documents, run, documents.schema)

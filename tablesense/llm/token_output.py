@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import stored
+from tablesense.llm.common import map_batches, stored
 from tablesense.session import shared_dir
 
 LANES = 2048
@@ -207,7 +207,7 @@ def encoded(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 ids = pa.array(own.encode(part.column("text").to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return map_batches(rows, run, "doc_id long, ids binary")
 
 
 def frequencies(ids: DataFrame, vocabulary: str, end_id: int) -> np.ndarray:
@@ -223,7 +223,7 @@ def frequencies(ids: DataFrame, vocabulary: str, end_id: int) -> np.ndarray:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "n"])
 
-    found = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = map_batches(ids.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(size, np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
@@ -264,7 +264,7 @@ def blocks(ids: DataFrame, table: Table, dtype: np.dtype, block_tokens: int = BL
     names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
     arrow = pa.schema([(c, kinds.get(c, whole)) for c in names])
     ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return ordered.mapInArrow(run, BLOCK_SCHEMA)
+    return map_batches(ordered, run, BLOCK_SCHEMA)
 
 
 def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
@@ -313,7 +313,7 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.join(parts, "part").mapInArrow(run, schema)
+    return map_batches(rows.join(parts, "part"), run, schema)
 
 
 def token_path(spark: SparkSession) -> str:
