@@ -17,7 +17,6 @@ from tablesense.functions.timebuckets import GRAINS, bucket_label, bucket_parts
 
 # Severities that mean a failure.
 ERROR_SEVERITIES = ("ERROR", "FATAL", "SEVERE", "CRITICAL", "FAILED", "FAIL")
-MESSAGE_CHARS = 2000
 
 
 @dataclass(frozen=True)
@@ -77,25 +76,26 @@ def source_breakdown(log: DataFrame, roles: Roles, *, only_errors: bool = True)
     return counted.orderBy(F.desc("entries"))
 
 
-def role_columns(log: DataFrame, roles: Roles) -> DataFrame:
-    """Only the role columns, the message bounded; a log without known roles is shown as it is."""
+def role_columns(log: DataFrame, roles: Roles, *, message_chars: int | None = None) -> DataFrame:
+    """Only the role columns, the message whole unless a length is given; a log without known roles is shown as it is."""
     if not roles.columns():
         return log
     kept = [F.col(c) for c in roles.columns() if c != roles.message]
     if roles.message:
-        kept.append(F.substring(roles.message, 1, MESSAGE_CHARS).alias(roles.message))
+        text = F.col(roles.message) if message_chars is None else F.substring(roles.message, 1, message_chars)
+        kept.append(text.alias(roles.message))
     return log.select(*kept)
 
 
 def recent_entries(
-    log: DataFrame, roles: Roles, *, limit: int = 50, only_errors: bool = True, tie_break: Sequence[str] = ()
+    log: DataFrame, roles: Roles, *, limit: int | None = None, only_errors: bool = True, tie_break: Sequence[str] = ()
 ) -> DataFrame:
-    """The newest rows first, rows without a time before all others."""
+    """The newest rows first, rows without a time before all others; all of them unless a limit is given."""
     rows = entries(log, roles, only_errors=only_errors)
     order = [F.desc_nulls_first(roles.when)] if roles.when else []
     order += [F.asc(c) for c in tie_break]
     rows = rows.orderBy(*order) if order else rows
-    return role_columns(rows.limit(max(1, int(limit))), roles)
+    return role_columns(rows if limit is None else rows.limit(max(1, int(limit))), roles)
 
 
 def bucket_counts(log: DataFrame, roles: Roles, *, grain: str = "hour", by_source: bool = False, **which) -> DataFrame:
@@ -191,7 +191,7 @@ def bucket_entries(
     bucket: Column,
     *,
     grain: str = "hour",
-    limit: int = 50,
+    limit: int | None = None,
     only_errors: bool = True,
     tie_break: Sequence[str] = (),
 ) -> DataFrame:

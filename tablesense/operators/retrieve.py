@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesense.functions.text import asked_words, asks_about_logs, content_words, question_words
 
-# The weights of fields and boosts, and the sizes of a selection.
+# The weights of fields and boosts.
 NAME, PURPOSE, COLUMN, MEANING = 10.0, 3.0, 2.0, 1.0
 HISTORY, PROGRAM, LOG, NEIGHBOUR = 12.0, 6.0, 4.0, 2.0
 MIN_DIRECT = PURPOSE
-MAX_TABLES, MAX_PROGRAMS, MAX_OMITTED, MAX_LOGS = 12, 20, 120, 10
 
 
 def word_hits(corpus: DataFrame, key: Sequence[str], fields: Mapping[str, float], words: Sequence[str]) -> DataFrame:
@@ -105,9 +104,13 @@ def boosted(scores: DataFrame, boosts: Sequence[tuple[DataFrame, float]]) -> Dat
 
 
 def tables_in_queries(query_log: DataFrame, tables: DataFrame) -> DataFrame:
-    """Tables a previous query names anywhere, word by word; a name of several owners is the first one's."""
+    """Tables a previous query names anywhere, word by word.
+
+    A name of several owners is the first one's: by ``place`` where ``tables`` has it, else by name.
+    """
     words = query_log.select(F.explode(F.regexp_extract_all(F.upper("sql"), F.lit(r"([A-Z_$#][\w$#]*)"))).alias("word"))
-    by_name = tables.groupBy(F.upper("table").alias("word")).agg(F.min(F.struct("owner", "table")).alias("t"))
+    order = ["place"] if "place" in tables.columns else []
+    by_name = tables.groupBy(F.upper("table").alias("word")).agg(F.min(F.struct(*order, "owner", "table")).alias("t"))
     return words.distinct().join(by_name, "word").select("t.owner", "t.table")
 
 
@@ -132,53 +135,56 @@ def one_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return outside.groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("links"))
 
 
-def select_tables(
-    scored: DataFrame, relationships: DataFrame, *, max_tables: int = MAX_TABLES, whole_fits: bool | None = None
-) -> DataFrame:
+def select_tables(scored: DataFrame, relationships: DataFrame, *, whole: bool = False, limit: int | None = None) -> DataFrame:
     """The tables worth showing: (owner, table, part), part being whole, direct, context or fallback.
 
     ``scored``: owner, table, place (catalog order), score for every table. Direct hits reach the
-    floor; one join hop adds bridges up to a limit that grows with the hits; without any hit the
-    most connected tables stand in. A catalog that fits is kept whole.
+    floor and one join hop adds bridges; without any hit all tables stand in. With ``limit`` no part
+    has more tables, the best first, bridges grow with the hits, and the most connected tables stand in.
+    ``whole`` keeps the catalog as it is.
     """
     nodes = scored.withColumn("node", F.concat_ws(".", "owner", "table"))
-    fits = nodes.agg((F.count(F.lit(1)) <= max_tables).alias("f")).scalar() if whole_fits is None else F.lit(whole_fits)
+    if whole:
+        return nodes.select("owner", "table", F.lit("whole").alias("part"))
     any_hit = nodes.agg(F.coalesce(F.max("score") > 0, F.lit(False)).alias("h")).scalar()
     edges = undirected(relationships)
 
-    direct = nodes.filter(F.col("score") >= MIN_DIRECT).orderBy(F.desc("score"), "place").limit(max_tables)
-    n_direct = direct.agg(F.count(F.lit(1)).alias("n")).scalar()
-    soft = F.least(F.lit(max_tables), F.greatest(F.lit(6), 2 * n_direct + 2))
-    near = nodes.join(one_hop(edges, direct.select("node")), "node")
-    order = [F.desc("links"), F.desc("score"), F.asc("place")]
-    near = near.orderBy(*order).limit(max_tables).withColumn("nth", F.row_number().over(W.orderBy(*order)))
-    context = near.filter(F.col("nth") <= soft - n_direct)
+    def first(df: DataFrame, *order: Column | str) -> DataFrame:
+        return df if limit is None else df.orderBy(*order).limit(limit)
+
+    direct = first(nodes.filter(F.col("score") >= MIN_DIRECT), F.desc("score"), "place")
+    context = nodes.join(one_hop(edges, direct.select("node")), "node")
+    if limit is not None:
+        n_direct = direct.agg(F.count(F.lit(1)).alias("n")).scalar()
+        soft = F.least(F.lit(limit), F.greatest(F.lit(6), 2 * n_direct + 2))
+        order = [F.desc("links"), F.desc("score"), F.asc("place")]
+        context = first(context, *order).withColumn("nth", F.row_number().over(W.orderBy(*order))).filter(F.col("nth") <= soft - n_direct)
 
     connected = nodes.join(degree(edges), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    fallback = connected.orderBy(F.desc("degree"), "place").limit(max_tables)
+    fallback = first(connected, F.desc("degree"), "place")
 
     def part(df: DataFrame, name: str, condition: Column) -> DataFrame:
         return df.filter(condition).select("owner", "table", F.lit(name).alias("part"))
 
     return (
-        part(nodes, "whole", fits)
-        .unionByName(part(direct, "direct", ~fits & any_hit))
-        .unionByName(part(context, "context", ~fits & any_hit))
-        .unionByName(part(fallback, "fallback", ~fits & ~any_hit))
+        part(direct, "direct", any_hit)
+        .unionByName(part(context, "context", any_hit))
+        .unionByName(part(fallback, "fallback", ~any_hit))
     )
 
 
-def omitted(tables: DataFrame, kept: DataFrame, *, limit: int = MAX_OMITTED) -> tuple[DataFrame, DataFrame]:
-    """What was left out: the first names in catalog order, and how many there are."""
+def omitted(tables: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What was left out, in catalog order where ``tables`` has a ``place``, and how many there are."""
     left = tables.join(kept, ["owner", "table"], "left_anti")
-    return left.orderBy("owner", "table").limit(limit), left.agg(F.count(F.lit(1)).alias("omitted"))
+    order = ["place"] if "place" in tables.columns else ["owner", "table"]
+    return left.orderBy(*order), left.agg(F.count(F.lit(1)).alias("omitted"))
 
 
-def select_logs(logs: DataFrame, kept: DataFrame, question: str, *, limit: int = MAX_LOGS) -> DataFrame:
+def select_logs(logs: DataFrame, kept: DataFrame, question: str) -> DataFrame:
     """Log tables to keep: all for a question about errors, else those of kept tables."""
     if not asks_about_logs(question_words(question)):
         logs = logs.join(kept, ["owner", "table"], "left_semi")
-    return logs.orderBy("owner", "table").limit(limit)
+    return logs.orderBy(*(["place"] if "place" in logs.columns else ["owner", "table"]))
 
 
 def program_scores(programs: DataFrame, kept: DataFrame, question: str) -> DataFrame:
@@ -213,8 +219,10 @@ def programs_named(programs: DataFrame, question: str) -> DataFrame:
     return named.select(F.explode("tables_used").alias("t")).select(F.substring_index("t", ".", -1).alias("table")).distinct()
 
 
-def select_programs(scores: DataFrame, *, limit: int = MAX_PROGRAMS) -> DataFrame:
-    return scores.orderBy(F.desc("score"), "owner", "name").limit(limit)
+def select_programs(scores: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Programs by score, the best first; all of them unless a limit is given."""
+    order = [F.desc("score"), F.asc("owner"), F.asc("name")]
+    return scores.orderBy(*order) if limit is None else scores.orderBy(*order).limit(limit)
 
 
 def corpus_rarity(corpus: DataFrame, text: str) -> DataFrame:

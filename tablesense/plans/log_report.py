@@ -33,7 +33,7 @@ def spike_analysis(
 
 
 def spike_rows(
-    log: DataFrame, roles: logs.Roles, *, grain: str = "hour", limit: int = 50, factor: float = 3.0,
+    log: DataFrame, roles: logs.Roles, *, grain: str = "hour", limit: int | None = None, factor: float = 3.0,
     min_count: int = 5, tie_break: tuple[str, ...] = (), **which,
 ) -> DataFrame:
     """The newest rows of the largest spike."""

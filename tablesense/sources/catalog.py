@@ -78,11 +78,10 @@ class Estate:
     spark: SparkSession
     sources: Mapping[tuple[str, str], Source]
 
-    def only(self, owners: Iterable[str] | str = "*", max_tables: int | None = None) -> "Estate":
-        """The tables of one owner, of several, or of all ('*'); optionally the first few."""
+    def only(self, owners: Iterable[str] | str = "*") -> "Estate":
+        """The tables of one owner, of several, or of all ('*')."""
         wanted = None if owners == "*" else {owners} if isinstance(owners, str) else set(owners)
         kept = [k for k in self.keys() if wanted is None or k[0] in wanted]
-        kept = kept if max_tables is None else kept[:max_tables]
         return Estate(self.spark, {k: self.sources[k] for k in kept})
 
     def keys(self) -> list[tuple[str, str]]:

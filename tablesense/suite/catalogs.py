@@ -67,23 +67,21 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"({' UNION ALL '.join(f'SELECT count(*) AS num_rows FROM {t}' for t in names)})"
         for target, names in (
             ("all", list(_OWNER_OF)), ("one", OWNERS["APP"]), ("several", OWNERS["APP"] + OWNERS["CORPUS"]),
-            ("first three", ("customer", "lineitem", "nation")),
         )
     ),
 )
 def scan_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All owners, one, a list, and a cap on the number of tables."""
+    """All owners, one, and a list."""
     estate = given_tables.given(spark, sf_dir)
     targets = {
         "all": estate.only("*"), "one": estate.only("APP"), "several": estate.only(["APP", "CORPUS"]),
-        "first three": estate.only("*", max_tables=3),
     }
     parts = [
         e.row_counts().agg(F.count(F.lit(1)).alias("tables"), F.sum("num_rows").alias("num_rows"))
         .select(F.lit(name).alias("target"), "tables", "num_rows")
         for name, e in targets.items()
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _dictionary(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -449,8 +447,8 @@ def log_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "C5",
-    "SELECT 'error_log' AS \"table\", 'error' AS kind, 'the name error_log is that of a log; log_time is its timestamp; message is its free-text message; "
-    "severity is its severity/status; module is its source/module; error_code is its error/status code' AS evidence, count(*) AS num_rows FROM events",
+    "SELECT 'error_log' AS \"table\", 'error' AS kind, 'the name error_log is that of a log; log_time is its timestamp; message is its words of the entry; "
+    "severity is its how bad; module is its where from; error_code is its error number' AS evidence, count(*) AS num_rows FROM events",
 )
 def default_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log an analyst is shown first, with its size."""
@@ -536,8 +534,8 @@ _GRADES = " ".join(f"WHEN '{label}' THEN '{grade}'" for _, label, grade in meani
     "LEFT JOIN column_comments c USING (table_name, column_name)) "
     "SELECT owner, table_name AS \"table\", column_name AS \"column\", CASE WHEN comment <> '' THEN comment "
     "WHEN key_role LIKE 'primary%' THEN 'Primary key of a ' || one WHEN key_role = 'foreign_key' THEN 'Foreign key to ' || "
-    "replace(\"references\", ' (inferred)', '') || ' (inferred relationship)' WHEN label IS NOT NULL THEN 'Likely ' || label "
-    "WHEN regexp_matches(upper(column_name), '_(ID|KEY|NO|NUM)$') THEN 'Likely an identifier or reference number' "
+    "replace(\"references\", ' (inferred)', '') || ' (found by its values)' WHEN label IS NOT NULL THEN 'Probably ' || label "
+    "WHEN regexp_matches(upper(column_name), '_(ID|KEY|NO|NUM)$') THEN 'Probably a number that identifies something' "
     "ELSE 'Unclear from structure alone' END AS meaning, CASE WHEN comment <> '' OR key_role LIKE 'primary%' THEN 'high' "
     f"WHEN key_role = 'foreign_key' THEN 'medium' WHEN label IS NOT NULL THEN CASE label {_GRADES} END ELSE 'low' END AS confidence FROM r",
 )
@@ -553,9 +551,9 @@ def column_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM keyed GROUP BY ALL), i AS (SELECT parent AS table_name, count(*) AS n_in FROM edges GROUP BY 1), "
     "o AS (SELECT table_name, string_agg(DISTINCT parent, ', ' ORDER BY parent) AS targets FROM edges GROUP BY 1) "
     "SELECT owner, table_name AS \"table\", CASE WHEN c.comment IS NOT NULL THEN c.comment WHEN fk >= 2 AND fk >= n // 2 THEN "
-    "'Likely a transaction or link table joining ' || targets WHEN n_in >= 1 THEN 'Likely a master entity (' || one || ') that "
-    "other tables refer to' WHEN n <= 3 AND has_pk THEN 'Likely a small code table of ' || one || ' values' ELSE 'Likely holds ' "
-    "|| one || ' records, by its name only' END AS purpose, CASE WHEN c.comment IS NOT NULL THEN 'high' WHEN (fk >= 2 AND fk >= n // 2) "
+    "'Seems to tie together ' || targets WHEN n_in >= 1 THEN 'Seems to hold the ' || one || ' records that "
+    "others point at' WHEN n <= 3 AND has_pk THEN 'Seems to list the few codes of ' || one ELSE 'Its name suggests ' "
+    "|| one || ' records' END AS purpose, CASE WHEN c.comment IS NOT NULL THEN 'high' WHEN (fk >= 2 AND fk >= n // 2) "
     "OR n_in >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM s LEFT JOIN i USING (table_name) LEFT JOIN o USING (table_name) "
     "LEFT JOIN table_comments c USING (table_name)",
 )

@@ -47,11 +47,11 @@ def errors_of_last_48_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "T2 P5 M10 T1",
-    f"SELECT ts::VARCHAR AS ts, event_type, user_id, substring(props, 1, 2000) AS props FROM events "
+    f"SELECT ts::VARCHAR AS ts, event_type, user_id, props FROM events "
     f"WHERE {_ERRORS} ORDER BY events.ts DESC NULLS FIRST, event_id LIMIT 50",
 )
 def recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.recent_entries(_events(spark, sf_dir), ROLES, tie_break=["event_id"])
+    rows = logs.recent_entries(_events(spark, sf_dir), ROLES, limit=50, tie_break=["event_id"])
     return rows.withColumn("ts", F.col("ts").cast("string"))
 
 

@@ -141,13 +141,17 @@ def owners_in_first_seen_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _map(spark: SparkSession, sf_dir: str, question: str):
     """Scored tables of the estate, and the discovered relationships between them."""
+    estate, scored = _scored(spark, sf_dir, question)
+    return estate, scored, settled(fk_discovery.discover(estate))
+
+
+def _scored(spark: SparkSession, sf_dir: str, question: str):
     estate = given_tables.given(spark, sf_dir)
-    relationships = settled(fk_discovery.discover(estate))
     texts = retrieve.table_texts(estate.tables(), estate.columns(), None, None)
     found = retrieve.relevance(texts, ["owner", "table"], retrieve.TABLE_FIELDS, question)
     places = local_rows(spark, [(o, t, i) for i, (o, t) in enumerate(estate.keys())], "owner string, table string, place int")
     scored = places.join(found, ["owner", "table"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return estate, settled(scored), relationships
+    return estate, settled(scored)
 
 
 _TABLE_FIELD_SQL = "(SELECT table_name AS t, replace(table_name, '_', ' ') AS name_text, coalesce(c.comment, '') AS purpose_text, " \
@@ -168,7 +172,7 @@ _MAP_ASKED = ", ".join(f"'{w}'" for w in question_words(_MAP_QUESTION))
 )
 def boosted_table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table scores with boosts for what earlier queries used and for a log; earlier queries come from events."""
-    estate, scored, _ = _map(spark, sf_dir, _MAP_QUESTION)
+    estate, scored = _scored(spark, sf_dir, _MAP_QUESTION)
     used = F.concat(F.lit("select "), "event_type", F.lit(" from SALES.lineitem l join part p on l.x = p.x"))
     history = table(spark, sf_dir, "events").select(used.alias("sql"))
     named = settled(retrieve.tables_in_queries(history, estate.tables()))
@@ -199,7 +203,7 @@ def map_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question without any known word gets the most connected tables."""
     _, scored, relationships = _map(spark, sf_dir, "zzz qqq")
-    return retrieve.select_tables(scored, relationships, max_tables=4).select("table", "part")
+    return retrieve.select_tables(scored, relationships, limit=4).select("table", "part")
 
 
 @query(
@@ -242,7 +246,7 @@ _PROGRAM_SCORES = (
 )
 
 
-@query("R4", f"SELECT name, score::DOUBLE AS score FROM ({_PROGRAM_SCORES}) ORDER BY score DESC, name LIMIT 20")
+@query("R4", f"SELECT name, score::DOUBLE AS score FROM ({_PROGRAM_SCORES}) ")
 def selected_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = local_rows(spark, [("SALES", "orders"), ("SALES", "lineitem")], "owner string, table string")
     scores = retrieve.program_scores(_programs(spark, sf_dir), kept, _PROGRAM_QUESTION)

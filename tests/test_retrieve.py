@@ -74,12 +74,13 @@ def test_named_tables_are_direct_and_the_bridge_comes_along(spark):
 
 
 def test_a_question_without_known_words_gets_the_most_connected_tables(spark):
-    found = parts(spark, "zzz", max_tables=2)
+    found = parts(spark, "zzz", limit=2)
     assert found == {"ACCOUNTS": "fallback", "CUSTOMERS": "fallback"}
+    assert set(parts(spark, "zzz")) == set(BANK)
 
 
 def test_a_small_map_is_kept_whole(spark):
-    assert set(parts(spark, "fees", max_tables=40).values()) == {"whole"}
+    assert set(parts(spark, "fees", whole=True).values()) == {"whole"}
 
 
 def test_boosts_for_history_and_logs(spark, make):
@@ -217,9 +218,9 @@ def test_meanings_follow_the_rule_order(spark):
     keyed = meaning.key_roles(columns, constraints, links)
     found = {r["column"]: (r["meaning"], r["confidence"]) for r in meaning.column_meanings(meaning.column_summaries(keyed)).collect()}
     assert found["ITEM_ID"] == ("Primary key of a order item", "high")
-    assert found["ORDER_ID"] == ("Foreign key to ORDERS.ORDER_ID (inferred relationship)", "medium")
-    assert found["UNIT_PRICE"] == ("Likely a monetary amount", "medium")
-    assert found["EMAIL_NAME"] == ("Likely an email address", "high")
+    assert found["ORDER_ID"] == ("Foreign key to ORDERS.ORDER_ID (found by its values)", "medium")
+    assert found["UNIT_PRICE"] == ("Probably sum of money", "medium")
+    assert found["EMAIL_NAME"] == ("Probably mail address", "high")
     assert found["SHIP_NO"][1] == found["ODD"][1] == "low"
     assert found["CITY_CODE"] == ("the city", "high")
     tables = local_rows(spark, [("S", "ORDER_ITEMS", None, 1)], TABLE_SCHEMA)

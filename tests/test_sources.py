@@ -44,7 +44,7 @@ def test_estate_selection_and_types(estate):
         ("B", "T1"): ([], "z date", {}),
     })
     assert sources.keys() == [("B", "T1"), ("B", "T2"), ("A", "T1")]
-    assert sources.only("A").keys() == [("A", "T1")] and sources.only(["A", "B"], max_tables=1).keys() == [("B", "T1")]
+    assert sources.only("A").keys() == [("A", "T1")]
     types = {(r["table"], r["column"]): (r["data_type"], r["precision"]) for r in sources.only("B").columns().collect()}
     assert types == {("T1", "z"): ("DATE", None), ("T2", "a"): ("NUMBER", 10), ("T2", "b"): ("BINARY_DOUBLE", None), ("T2", "c"): ("CLOB", None)}
     assert catalog.profilable_columns(sources, "B", "T2") == ["a", "b"]
