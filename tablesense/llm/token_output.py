@@ -39,8 +39,10 @@ NO_ID = (1 << 63) - 1
 CACHED_WORDS = 1_500_000
 JOINED = 2000
 
-WORDS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-"""Coarser than the byte-level pattern of the vocabulary, with a boundary at each place where this one has one."""
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~"
+WORDS = re.compile(rf" ?[{_LETTERS}]+(?=[\s{_MARKS}0-9]|\Z)| ?[{_MARKS}]+(?=[\s{_LETTERS}0-9]|\Z)| ?\S+|\s+(?!\S)|\s+")
+"""Coarser than the byte-level pattern of the vocabulary: it cuts only where this one cuts. Plain letters and plain
+marks but apostrophes are apart, so that a word is the same before any mark; all else stays whole up to white space."""
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -99,12 +101,13 @@ class Encoder:
             split.append(None if whole else WORDS.findall(text or ""))
         known = self.words
         distinct = set().union(*(words for words in split if words))
-        new = distinct.difference(known)
+        own = dict(zip(distinct, map(known.get, distinct), strict=True))
+        new = [w for w, ids in own.items() if ids is None]
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
-            new = distinct
-        self._learn(list(new))
-        own = {w: known[w] for w in distinct}
+            new = list(distinct)
+        self._learn(new)
+        own.update((w, known[w]) for w in new)
         rest = iter(self._ids([t or "" for t, words in zip(texts, split, strict=True) if words is None]))
         return [(next(rest) if words is None else b"".join(map(own.__getitem__, words))) + self.end for words in split]
 

@@ -1,5 +1,6 @@
 """Mixing against its targets, token files against the library and against damage."""
 
+import random
 import zlib
 
 import numpy as np
@@ -72,6 +73,15 @@ def test_word_cache_equals_whole_text():
         assert got == [library.encode(t or "", add_special_tokens=False).ids + [0] for t in TEXTS]
 
 
+def test_word_cache_equals_whole_text_on_random_marks():
+    rng = random.Random(1)
+    letters = list("abzéÿ×÷ĀǍ  \n\t'’.,!-_&%$#@0129²½Ⅷ漢字ßsStTdmlvre  \u0085|`~́ªµº")
+    own = token_output.Encoder(public_tokenizers.path(VOCABULARY), 0)
+    texts = ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(5000)]
+    want = [np.array(x.ids + [0], own.dtype).tobytes() for x in own.library.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want
+
+
 def test_files_give_back_what_went_in(spark, make, tmp_path):
     from tokenizers import Tokenizer
 
