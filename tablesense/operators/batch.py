@@ -193,14 +193,24 @@ def delinquency(loans: DataFrame, schedule: DataFrame, *, date: dt.date) -> Data
 # ------------------------------------------------------------------ settlement and ledger
 
 
+def span_of(df: DataFrame, order: str, span: int) -> Column:
+    """The number of the span of ``order`` a row is in; the width comes from the range and the number of rows."""
+    facts = df.agg(F.struct(
+        F.min(order).cast("double").alias("low"), F.max(order).cast("double").alias("high"), F.count(order).alias("n")
+    ).alias("facts")).scalar()
+    width = (facts["high"] - facts["low"] + 1) / F.greatest(F.ceil(facts["n"] / span), F.lit(1))
+    return F.floor((F.col(order).cast("double") - facts["low"]) / F.greatest(width, F.lit(1.0)))
+
+
 def running_total(df: DataFrame, group: str, order: str, amount: str, *, span: int = 1_000_000) -> DataFrame:
     """``df`` with ``running``, the sum of ``amount`` per group up to each row in ``order``.
 
-    ``order`` is a unique whole number from a sequence, so a span of it holds at most ``span``
-    rows. Totals per (group, span) are summed first; each span then starts from the total before
-    it, so one group with a third of all rows is spread over as many tasks as it has spans.
+    ``order`` is a unique whole number. Its range is cut into as many spans as ``span`` goes into the
+    rows, so a span holds about that many rows whether numbers follow each other or are far apart.
+    Totals per (group, span) are summed first; each span then starts from the total before it, so one
+    group with a third of all rows is spread over as many tasks as it has spans.
     """
-    spans = df.withColumn("__span", F.floor(F.col(order) / span))
+    spans = df.withColumn("__span", span_of(df, order, span))
     totals = spans.groupBy(group, "__span").agg(F.sum(amount).alias("__total"))
     before = W.partitionBy(group).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(group, "__span", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))

@@ -167,8 +167,3 @@ def profile_counts(counts: DataFrame, names: DataFrame, *, samples: bool = True)
 def profile_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: measures, up to four patterns, up to three masked samples."""
     return profile_counts(value_counts(df, columns), _names(df, columns))
-
-
-def sampled(df: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
-    """A reproducible sample of ``rows`` rows by hash order of the key (a sampling option, not the default)."""
-    return df.orderBy(F.xxhash64(*key), *key).limit(max(1, rows))

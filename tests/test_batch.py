@@ -135,3 +135,12 @@ def test_snapshot_counts_nothing_as_zero(make):
     empty = make([], f"v {MONEY}")
     row = batch.daily_snapshot({"X": (empty, F.sum("v"))}).collect()[0]
     assert (row["metric_code"], float(row["metric_value"])) == ("X", 0.0)
+
+
+def test_sparse_numbers_of_one_account_spread_over_spans(make):
+    rows = [(i * 5_000_000, 1, 1.0) for i in range(1000)]
+    df = make(rows, "txn_id long, account_id long, amount double")
+    sizes = df.select(batch.span_of(df, "txn_id", 50).alias("s")).groupBy("s").count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 51
+    found = batch.running_total(df, "account_id", "txn_id", "amount", span=50).collect()
+    assert all(r["running"] == r["txn_id"] // 5_000_000 + 1 for r in found)
