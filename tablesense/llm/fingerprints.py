@@ -136,7 +136,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     """
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.count()
-    ranges = max(1, -(-total // PARTITION_ROWS), documents.sparkSession._jsparkSession.sessionState().conf().numShufflePartitions())
+    ranges = max(1, -(-total // PARTITION_ROWS), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = [i / ranges for i in range(1, ranges)]
     found = rows.agg(F.min("key").alias("first"), F.percentile_approx("key", cuts, 100 * ranges).alias("cuts") if cuts else F.array().alias("cuts")).head()
     if found["first"] is None:
