@@ -4,11 +4,16 @@ Every page becomes a stream of blocks of words. Blocks have a zone: main (inside
 menu, header, footer, sidebar, notice, advert, form or comments), shell (any other place of a page that marks
 its main part, and those containers everywhere) or open (the rest of a page without such a mark).
 
-The streams of a host's pages are one text, and its suffixes that begin at blocks are sorted into groups with a
-common beginning: a block's whole length, and ``least`` words at the least, running on into later blocks.
-A group with several distinct pages is a long repeated substring. Where it stands outside main on most of them,
-it is boilerplate, and open blocks that it covers go; what is left are the unique runs. Blocks in main stay:
-articles that a host shows under several addresses and sentences that adverts quote from articles repeat too.
+The streams of a host's pages are one text. Its suffixes begin at every word and are put into groups with equal
+beginnings of ``least`` words, which a sorted suffix array would show side by side. A group with several distinct
+pages is a repeated substring, and a repeated run of any length is the union of the beginnings inside it, so runs
+are covered to their last word. Where a beginning stands outside main on most of its pages, it is boilerplate, and
+the words of open blocks that it covers go; what is left are the unique runs. A covered stretch of fewer than
+``least`` words stays unless it is its whole block, for blocks of unique text often begin alike.
+
+Blocks in main stay whatever repeats: articles that a host shows under several addresses, passages that articles
+share and sentences that adverts quote from them repeat too. So on a page that marks its article the markup decides.
+Suffixes are taken only of hosts with open blocks, since no others can lose words by them.
 
 Groups are formed by hash aggregation on (host, beginning), which combines before the shuffle, so a host with a
 third of all pages or a notice on all of them is no hot spot. Shuffled are hashes, not texts.
@@ -16,7 +21,6 @@ third of all pages or a notice on all of them is no hot spot. Shuffled are hashe
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from dataclasses import dataclass
@@ -26,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import map_batches, stored
+from tablesense.llm.common import SPACE, map_batches, prefix_hash, runs, span_hashes, stored
 
 LEAST = 8
 PAGES = 3
 BROADCAST_PAGES = 200_000
+BROADCAST_HOSTS = 1_000_000
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 MAIN, OPEN, SHELL = 0, 1, 2
 
@@ -143,64 +149,73 @@ def page_blocks(source: str | None) -> list[tuple[int, str]]:
     return [(SHELL if out or marked and not main else MAIN if main else OPEN, words) for out, main, words in found]
 
 
-def host_of(url: str | None) -> str:
-    """Lower-case host of an address without user and port; empty where there is none."""
-    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+def beginnings(blocks: list[tuple[int, str]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ``least`` words from each word of the page on, while so many follow, and the zone of that word."""
+    data = np.frombuffer(" ".join(words for _, words in blocks).encode("utf-8", "replace"), np.uint8)
+    starts, ends = runs(~SPACE[data])
+    zone = np.repeat(np.array([z for z, _ in blocks], np.int64), [words.count(" ") + 1 for _, words in blocks])
+    most = max(0, len(starts) - least + 1)
+    return span_hashes(prefix_hash(data), starts[:most], ends[least - 1 :][:most]), zone[:most]
 
 
-def _number(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def without_runs(blocks: list[tuple[int, str]], at: list[int], least: int) -> list[str]:
+    """Main and open blocks without the open words that lie in the ``least`` words from a place in ``at`` on."""
+    words = [text.split(" ") for _, text in blocks]
+    covered = np.zeros(sum(map(len, words)) + least, bool)
+    for a in at:
+        covered[a : a + least] = True
+    texts, first = [], 0
+    for (zone, _), own in zip(blocks, words, strict=True):
+        here, first = covered[first : first + len(own)], first + len(own)
+        if zone == OPEN:
+            gone = {i for a, b in zip(*runs(here), strict=True) if b - a >= min(least, len(own)) for i in range(a, b)}
+            own = [w for i, w in enumerate(own) if i not in gone]
+        if zone <= OPEN and own:
+            texts.append(" ".join(own))
+    return texts
+
+
+def _open_hosts(pages: DataFrame) -> DataFrame:
+    """(host) of the pages with open blocks."""
 
+    def run(batches):
+        for batch in batches:
+            is_open = [any(zone == OPEN for zone, _ in page_blocks(source)) for source in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host").filter(pa.array(is_open, pa.bool_()))], names=["host"])
 
-def beginnings(blocks: list[tuple[int, str]], least: int) -> list[tuple[int, int, int]]:
-    """(block, zone, hash of the suffix's beginning) of the blocks from which ``least`` words follow on the page."""
-    words = [text.split(" ") for _, text in blocks]
-    out = []
-    for i, own in enumerate(words):
-        start = list(own)
-        j = i + 1
-        while len(start) < least and j < len(words):
-            start.extend(words[j][: least - len(start)])
-            j += 1
-        if len(start) >= least:
-            out.append((i, blocks[i][0], _number(" ".join(start))))
-    return out
+    return map_batches(pages.select("host", "html"), run, "host long").distinct()
 
 
 def _suffixes(pages: DataFrame, least: int) -> DataFrame:
+    """(host, page, start, at, zone): hash of the beginning of each suffix, the place of its first word, that word's zone."""
+
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                host, page, block, zone, start = [], [], [], [], []
-                for key, url, source in zip(*(part.column(c).to_pylist() for c in ("page", "url", "html")), strict=True):
-                    own = beginnings(page_blocks(source), least)
-                    host.extend([_number(host_of(url))] * len(own))
-                    page.extend([key] * len(own))
-                    for b, z, s in own:
-                        block.append(b)
-                        zone.append(z)
-                        start.append(s)
-                whole = [pa.array(x, pa.int64()) for x in (host, page, start)]
-                yield pa.RecordBatch.from_arrays([*whole, pa.array(block, pa.int32()), pa.array(zone, pa.int32())], names=["host", "page", "start", "block", "zone"])
-
-    return map_batches(pages, run, "host long, page long, start long, block int, zone int")
+            for host, page, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
+                start, zone = beginnings(page_blocks(source), least)
+                both = [pa.array(np.full(len(start), x, np.int64)) for x in (host, page)]
+                place = pa.array(np.arange(len(start), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*both, pa.array(start.view(np.int64)), place, pa.array(zone.astype(np.int32))], names=["host", "page", "start", "at", "zone"])
+
+    return map_batches(pages.select("host", "page", "html"), run, "host long, page long, start long, at int, zone int")
 
 
 def main_texts(pages: DataFrame, least: int = LEAST, at_least_pages: int = PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html, anything else).
 
-    ``text`` joins the page's main and open blocks that no boilerplate covers by line feeds; it is empty where
-    there are none. Repeated rows count as one page of their host, pages without a host are of the host ''.
+    ``text`` joins what no boilerplate covers of the page's main and open blocks by line feeds; it is empty where
+    there is nothing. Repeated rows count as one page of their host, pages without a host are of the host ''.
     """
-    keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("page"))
-    rows = stored(_suffixes(keyed, least), "suffixes")
+    host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))))
+    keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
+    hosts = stored(_open_hosts(keyed), "open-hosts")
+    small = hosts.count() <= BROADCAST_HOSTS
+    rows = stored(_suffixes(keyed.join(F.broadcast(hosts) if small else hosts, "host", "left_semi"), least), "suffixes")
     groups = rows.groupBy("host", "start", "page").agg(F.max("zone").alias("zone")).groupBy("host", "start")
     repeated = groups.agg(F.count("*").alias("pages"), F.count_if(F.col("zone") >= OPEN).alias("outside"))
     repeated = repeated.where(f"pages >= {int(at_least_pages)} and 2 * outside > pages")
     covered = rows.where(F.col("zone") == OPEN).join(stored(repeated.select("host", "start"), "boilerplate"), ["host", "start"])
-    covered = stored(covered.groupBy("page").agg(F.sort_array(F.collect_set("block")).alias("covered")), "covered-blocks")
+    covered = stored(covered.groupBy("page").agg(F.sort_array(F.collect_set("at")).alias("covered")), "covered-words")
     if covered.count() <= BROADCAST_PAGES:
         covered = F.broadcast(covered)
     with_cover = keyed.join(covered, "page", "left").select("page_id", "url", "html", "covered")
@@ -210,8 +225,7 @@ def main_texts(pages: DataFrame, least: int = LEAST, at_least_pages: int = PAGES
         for batch in batches:
             texts = []
             for source, gone in zip(batch.column("html").to_pylist(), batch.column("covered").to_pylist(), strict=True):
-                gone = set(gone or ())
-                texts.append("\n".join(words for i, (zone, words) in enumerate(page_blocks(source)) if zone <= OPEN and i not in gone))
+                texts.append("\n".join(without_runs(page_blocks(source), gone or [], least)))
             size = pa.array(np.array([len(t) for t in texts], np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), size], names=schema.names)
 

@@ -139,6 +139,15 @@ def test_repeated_runs_of_a_host(make):
     assert html_extraction.main_texts(make([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repeated_runs_go_to_their_last_word(make):
+    run = "read more of our stories in the weekly letter that we send to all friends"
+    rows = [(i, f"http://a.example.com/{i}", f"<div>own{i} words{i} before{i} {run} and{i} after{i}</div><div>last{i} words{i}</div>") for i in range(4)]
+    rows += [(9, "http://b.example.com/", f"<div>one {run} two</div>")]
+    found = {r["page_id"]: r["text"] for r in html_extraction.main_texts(make(rows, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(4)] == [f"own{i} words{i} before{i} and{i} after{i}\nlast{i} words{i}" for i in range(4)]
+    assert found[9] == f"one {run} two"
+
+
 def test_lists_as_of_the_fetch(make):
     day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
     log = [
