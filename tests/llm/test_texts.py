@@ -73,6 +73,35 @@ def test_line_runs_equal_brute_force(make):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def naive_whole_runs(rows, least):
+    """Every stretch of at least ``least`` characters that has an earlier place, whatever its number of lines."""
+    lines = {d: t.split("\n") for d, t in rows}
+    seen, gone = set(), {d: set() for d in lines}
+    for d in sorted(lines):
+        own = [(i, x) for i, x in enumerate(lines[d]) if x]
+        for p in range(len(own)):
+            for q in range(p + 1, len(own) + 1):
+                run = tuple(x for _, x in own[p:q])
+                if sum(map(len, run)) >= least:
+                    if run in seen:
+                        gone[d] |= {i for i, _ in own[p:q]}
+                    seen.add(run)
+    return {d: (len(gone[d]), "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d])) for d in lines}
+
+
+def test_whole_line_runs_equal_brute_force(make):
+    rng = random.Random(6)
+    lines = [c * n for c in "abcdefgh" for n in (1, 5, 14)]
+    blocks = ["\n".join(rng.choices(lines, k=rng.randrange(2, 9))) for _ in range(6)]
+    rows = [(i, "\n".join(rng.choice([*blocks, *lines, ""]) for _ in range(rng.randrange(1, 9)))) for i in range(40)]
+    rows += [(90, "\n".join(["x" * 30, "y" * 30, "Les.", "one end"])), (91, "\n".join(["x" * 30, "y" * 30, "Les.", "quite another end " * 4]))]
+    documents = make(rows, "doc_id long, text string")
+    for least in (10, 50):
+        found = {r["doc_id"]: (r["n_deleted"], r["text"]) for r in line_dedup.dedup_lines(documents, least, whole_runs=True).collect()}
+        assert found == naive_whole_runs(rows, least)
+    assert found[91] == (3, "quite another end " * 4)
+
+
 def edit_distance_within(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item):
