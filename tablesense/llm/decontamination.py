@@ -7,9 +7,12 @@ passage has an edit distance of at most ``rate * n`` words to it.
    of d + 1 places at least one survives d edits. Rarity is counted over all documents.
 2. Each window goes through the CGK random walk: at every step the current word is put out, and a random bit of
    (step, word) decides whether to move on. Edit distance becomes Hamming distance of the walks.
-3. Bit sampling, repeated: a window stays if in one repetition all sampled steps show the item's words. The
-   number of repetitions follows from the target recall at an assumed Hamming distance.
-4. The words around a remaining window are compared with the item exactly (bit-parallel approximate matching).
+3. Bit sampling, repeated: a window is likely if in one repetition all sampled steps show the item's words. The
+   walks drift apart with many edits and with a shifted start, the more the longer the item, so a window that they
+   don't show is not dropped for that.
+4. Such a window is dropped only if it can't hold the item: within d edits, at least n - d of the places from d words
+   before it to d words after it have words of the item. So no passage within the distance is lost.
+5. The words around a remaining window are compared with the item exactly (bit-parallel approximate matching).
 
 Benchmark items are broadcast in groups of bounded size, one scan of the documents per group; documents are not shuffled.
 """
@@ -30,13 +33,14 @@ from tablesense.llm.common import LETTER, LOWER, joined, map_batches, mix, piece
 RATE = 0.15
 RECALL = 0.99
 HAMMING = 0.5
-"""Share of walk steps that may differ between an item and a passage at the allowed distance, for the number of repetitions."""
+"""Assumed share of walk steps that differ, for the number of repetitions. It decides about time only: see step 4."""
 SAMPLED = 2
 WALKS = 4
 STRETCH = 1.5
 """Steps of a walk per word of an item; a walk moves on at every second step on average."""
 GROUP_BYTES = 8_000_000
 CHUNK = 4096
+BOUND_CHUNK = 512
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -91,6 +95,10 @@ def distance_within(item: list[int], text: list[int]) -> int:
     return best
 
 
+def _of_item(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(words ^ mix(item.astype(np.uint64) + np.uint64(1)))
+
+
 @dataclass
 class Items:
     """A group of benchmark items and where their rarest words lead."""
@@ -107,6 +115,8 @@ class Items:
     """For each walk: steps to look at, (items, repetitions, SAMPLED)."""
     seen: list[np.ndarray]
     """What the items show there."""
+    own: np.ndarray
+    """Sorted hashes of (item, word) of the words of each item."""
 
     @staticmethod
     def build(ids: list, texts: list[str], counts: dict[int, int], rate: float, recall: float) -> Items:
@@ -133,11 +143,27 @@ class Items:
                     looks[i] = column[steps[i]]
             sampled.append(steps)
             seen.append(looks)
+        own = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_of_item(np.full(len(w), i), w) for i, w in enumerate(words))]))
         return Items(
             ids, words, edits, anchors, np.append(first, len(h)), np.array([f[1] for f in found], np.int64),
-            np.array([f[2] for f in found], np.int64), sampled, seen,
+            np.array([f[2] for f in found], np.int64), sampled, seen, own,
         )
 
+    def may_hold(self, h: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether enough of the places low to high of ``h`` have words of the item to hold it within its edits."""
+        out = np.zeros(len(item), bool)
+        for a in range(0, len(item), BOUND_CHUNK):
+            part = slice(a, a + BOUND_CHUNK)
+            n = high[part] - low[part]
+            ends = np.cumsum(n)
+            place = np.arange(n.sum()) + np.repeat(low[part] - (ends - n), n)
+            asked = _of_item(np.repeat(item[part], n), h[place])
+            at = np.minimum(np.searchsorted(self.own, asked), len(self.own) - 1)
+            met = np.append(0, np.cumsum(self.own[at] == asked))
+            sizes = np.array([len(self.words[i]) for i in item[part]], np.int64)
+            out[part] = met[ends] - met[ends - n] >= sizes - self.edits[item[part]]
+        return out
+
     def search(self, texts: list[str | None]):
         """(text index, item index, distance, first word of the window) of every item found in every text."""
         if not len(self.anchors):
@@ -163,6 +189,10 @@ class Items:
                     shown = walk(h, low, high, int(steps.max()) + 1, seed)
                     same = shown[steps, np.arange(len(doc))[:, None, None]] == self.seen[seed][item]
                     likely |= same.all(axis=2).any(axis=1)
+                rest = np.flatnonzero(~likely)
+                more = self.edits[item[rest]]
+                from_, to = np.maximum(begin[rest] - more, first[doc[rest]]), np.minimum(begin[rest] + sizes[item[rest]] + more, first[doc[rest] + 1])
+                likely[rest] = self.may_hold(h, from_, to, item[rest])
                 for k in np.flatnonzero(likely):
                     d, i = int(doc[k]), int(item[k])
                     more = int(self.edits[i])

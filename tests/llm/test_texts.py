@@ -141,6 +141,22 @@ def test_benchmark_passages(make):
         assert decontamination.distance_within(a, b) == edit_distance_within(a, b)
 
 
+def test_no_passage_at_the_allowed_distance_is_lost():
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(20_000)]
+    texts = [" ".join(rng.sample(vocabulary, n)) for n in (15, 20, 40, 60, 100, 150, 200, 250, 300) for _ in range(12)]
+    own = decontamination.Items.build(list(range(len(texts))), texts, {}, 0.15, 0.99)
+    documents = []
+    for text in texts:
+        w = text.split()
+        for _ in range(int(len(w) * 0.15)):  # all that are allowed, of all kinds
+            p = rng.randrange(len(w))
+            w[p : p + 1] = rng.choice(([], [rng.choice(vocabulary)], [w[p], rng.choice(vocabulary)]))
+        documents.append(" ".join([*rng.choices(vocabulary, k=150), *w, *rng.choices(vocabulary, k=150)]))
+    found = {(doc, i) for doc, i, _, _ in own.search(documents)}
+    assert found == {(i, i) for i in range(len(texts))}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies.</div>
 <article><h1>Head&amp;line</h1><p><b>First &lt;b&gt;<br>line<p>Second&nbsp; one<aside>Read also</aside><div class="ad">Buy</div>
