@@ -1,7 +1,8 @@
 """Near-duplicate documents by bottom-k sketches of one hash function, verified by exact Jaccard similarity.
 
 1. Every text becomes its set of word shingles, hashed to 63 bits; the ``k`` smallest values are its sketch.
-2. Equal sets form a class with one representative, so thousands of exact copies cost one row.
+2. Equal sets form a class with a number of its own and one representative row, so thousands of exact copies cost one
+   row. All later steps go by the class, since a doc_id may be null or repeated over different texts.
 3. Inverted lists of the retained values propose pairs. Within a sketch, values go from rare to common, and
    only the first ones are listed, so many that two texts over the threshold must meet in one: sketches of
    whole sets must share as many values as the threshold says, cut sketches share ``share`` of theirs except
@@ -65,7 +66,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(keyed: DataFrame, words: int, k: int) -> DataFrame:
-    """(key, n, d1, d2, sketch) of every row of (key, text): size and digest of the set, its k smallest values."""
+    """(key, content, n, d1, d2, sketch) of every row of (key, content, text): size and digest of the set, its k smallest values."""
 
     def run(batches):
         for batch in sliced(batches):
@@ -75,10 +76,10 @@ def sketches(keyed: DataFrame, words: int, k: int) -> DataFrame:
                 d1.append(int(s.sum(dtype=np.uint64) >> np.uint64(1)))
                 d2.append(int(np.bitwise_xor.reduce(mix(s), initial=0) >> np.uint64(1)) if len(s) else 0)
                 low.append(s[:k])
-            columns = [batch.column("key"), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), _lists(low)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "d1", "d2", "sketch"])
+            columns = [batch.column("key"), batch.column("content"), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), _lists(low)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "content", "n", "d1", "d2", "sketch"])
 
-    return map_batches(keyed, run, "key long, n long, d1 long, d2 long, sketch array<long>")
+    return map_batches(keyed, run, "key long, content long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def full_sets(keyed: DataFrame, words: int) -> DataFrame:
@@ -111,14 +112,19 @@ def listed(representatives: DataFrame, k: int | None, percent: int) -> DataFrame
     return rows.select(F.col("x.value").alias("value"), "key", "n", room.alias("room"))
 
 
-def similar_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key is in ``keys``: by broadcast where their counted number is small, by a join otherwise."""
+def class_texts(keyed: DataFrame, reps: DataFrame, keys: DataFrame, repeated: bool) -> DataFrame:
+    """(key, text): a text of each class in ``keys``; ``repeated`` tells whether several rows may have a class's doc_id and text."""
+    wanted = reps.select("key", "doc", "content").join(keys, "key", "left_semi").withColumnsRenamed({"key": "class", "doc": "key"})
     small = keys.count() <= BROADCAST_KEYS
-    return df.join(F.broadcast(keys) if small else keys, "key", "left_semi")
+    found = keyed.join(F.broadcast(wanted) if small else wanted, ["key", "content"]).select(F.col("class").alias("key"), "text")
+    return found.dropDuplicates(["key"]) if repeated else found
 
 
-def linked(pairs: DataFrame, representatives: DataFrame, texts: DataFrame, words: int, k: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets reach the threshold: estimate on the union's sketch, then exact."""
+def linked(pairs: DataFrame, representatives: DataFrame, texts, words: int, k: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets reach the threshold: estimate on the union's sketch, then exact.
+
+    ``texts`` gives (key, text) for a frame of keys.
+    """
     pairs = pairs.distinct()
     low = representatives.select("key", "sketch")
     both = pairs.join(low.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a")
@@ -127,7 +133,7 @@ def linked(pairs: DataFrame, representatives: DataFrame, texts: DataFrame, words
     shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     likely = stored(both.where(shared >= SHARE * F.size(union)).select("a", "b"), "likely-pairs")
     keys = stored(likely.select(F.col("a").alias("key")).unionAll(likely.select("b")).distinct(), "likely-keys")
-    sets = stored(full_sets(similar_keys(texts, keys), words), "likely-sets")
+    sets = stored(full_sets(texts(keys), words), "likely-sets")
     salted = likely.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     left = salted.join(sets.select(F.col("key").alias("b"), F.col("items").alias("ib")), "b")
     right = salted.select("a", "salt").distinct().join(sets.select(F.col("key").alias("a"), F.col("items").alias("ia")), "a")
@@ -202,49 +208,74 @@ def _resolve(lists: DataFrame, verify, edges: DataFrame | None, percent: int, cr
     return stored(verify(pairs).unionAll(edges), "links"), open_.where(F.col("outside") > crowd).select("key").distinct() if crowd else None
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``documents`` (doc_id, text, anything else).
+def _grouped(documents: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+    """(key, content, n, first): for every row of ``documents``, the smallest (key, content) of its component.
 
-    Two texts are linked when their sets of ``words``-word shingles (A-Z lowered, words split at ASCII white
-    space; fewer words make one shingle) have a Jaccard similarity of ``percent`` / 100 or more. The component
-    is the smallest doc_id reachable; ``kept`` marks it. Rows without words are alone. Repeated rows form one
-    component. A null doc_id counts as the largest id: it is named only where no other id is in its component.
+    ``key`` is doc_id, null as the largest number, and ``content`` a hash of the text.
     """
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), "text")
+    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("content"), "text")
     rows = stored(sketches(keyed, words, k), "sketches")
-    classes = stored(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("key"), "d1", "d2", "n"), ["key", "d1", "d2", "n"], "left_semi")
-    reps = stored(reps.select("key", "n", "sketch").dropDuplicates(["key"]), "representatives")
+    own = F.struct("key", "content")
+    classes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(own).alias("rep"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    told = classes.select("class", F.col("rep.key").alias("key"), F.col("rep.content").alias("content"), "d1", "d2", "n")
+    reps = rows.join(told, ["key", "content", "d1", "d2", "n"])
+    reps = reps.select(F.col("class").alias("key"), "n", "sketch", F.col("key").alias("doc"), "content").dropDuplicates(["key"])
+    reps = stored(reps, "representatives")
+    repeated = bool(rows.groupBy("key", "content").count().where("count > 1").limit(1).count())
     texts = keyed.where("text is not null")
 
+    def text_of(keys: DataFrame) -> DataFrame:
+        return class_texts(texts, reps, keys, repeated)
+
     def verify(pairs: DataFrame) -> DataFrame:
-        return linked(pairs, reps, texts, words, k, percent)
+        return linked(pairs, reps.select("key", "n", "sketch"), text_of, words, k, percent)
 
-    edges, crowded = _resolve(listed(reps, k, percent), verify, None, percent, CROWD)
+    edges, crowded = _resolve(listed(reps.select("key", "n", "sketch"), k, percent), verify, None, percent, CROWD)
     crowded = stored(crowded, "crowded")
     if crowded.limit(1).count():
-        whole = full_sets(similar_keys(texts, crowded), words).select("key", F.size("items").alias("n"), F.col("items").alias("sketch"))
+        whole = full_sets(text_of(crowded), words).select("key", F.size("items").alias("n"), F.col("items").alias("sketch"))
         edges, _ = _resolve(listed(stored(whole, "crowded-sets"), None, percent), verify, edges, percent, None)
-    labels = components(edges)
-    moved = classes.join(labels, classes.rep == labels.key, "left").where("copies > 1 or component < rep")
-    moved = stored(moved.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component")), "moved")
-    found = rows.select("key", "n", "d1", "d2").join(moved, ["d1", "d2", "n"], "left")
-    doc_id, component = F.nullif(F.col("key"), F.lit(NO_ID)), F.nullif(F.coalesce("component", "key"), F.lit(NO_ID))
+    labels = components(edges).withColumnRenamed("key", "class")
+    linked_ = classes.select("class", "rep").join(labels, "class")
+    firsts = linked_.groupBy("component").agg(F.min("rep").alias("first"))
+    firsts = linked_.join(firsts, "component").select("class", "first")
+    moved = classes.join(firsts, "class", "left").where("copies > 1 or first < rep")
+    moved = stored(moved.select("d1", "d2", "n", F.coalesce("first", "rep").alias("first")), "moved")
+    found = rows.select("key", "content", "n", "d1", "d2").join(moved, ["d1", "d2", "n"], "left")
+    return found.select("key", "content", "n", F.coalesce("first", own).alias("first"))
+
+
+def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``documents`` (doc_id, text, anything else).
+
+    Two texts are linked when their sets of ``words``-word shingles (A-Z lowered, words split at ASCII white
+    space; fewer words make one shingle) have a Jaccard similarity of ``percent`` / 100 or more. The component
+    is the smallest doc_id reachable; ``kept`` marks it. Rows without words are alone. Repeated rows form one
+    component. A null doc_id counts as the largest id: it is named only where no other id is in its component.
+    """
+    found = _grouped(documents, words, percent, k)
+    doc_id, component = F.nullif(F.col("key"), F.lit(NO_ID)), F.nullif(F.col("first.key"), F.lit(NO_ID))
     return found.select(
         doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), doc_id.eqNullSafe(component).alias("kept")
     )
 
 
 def deduplicated(documents: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
-    """The rows of ``documents`` that ``near_duplicates`` keeps, columns as they are; of repeated rows one stays."""
-    key = "_near_key"
-    keyed = documents.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    found = near_duplicates(documents, words, percent, k).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), "kept")
-    found = stored(found.groupBy(key).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "near-kept")
-    gone, several = found.where("not kept").select(key), found.where("kept and n > 1").select(key)
+    """One row of ``documents`` for each component, columns as they are: that of the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so texts that share an id, or have none, are decided one by one. Of
+    rows that repeat both, one stays.
+    """
+    names = ["_near_key", "_near_content"]
+    keyed = documents.withColumn(names[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(names[1], F.xxhash64("text"))
+    found = _grouped(documents, words, percent, k).withColumnsRenamed({"key": names[0], "content": names[1]})
+    found = found.groupBy(*names).agg(F.min(F.struct(*names) == F.col("first")).alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    found = stored(found, "near-kept")
+    gone, several = found.where("not kept").select(*names), found.where("kept").select(*names)
     small = gone.count() <= BROADCAST_KEYS
-    rows = keyed.join(F.broadcast(gone) if small else gone, key, "left_anti")
+    rows = keyed.join(F.broadcast(gone) if small else gone, names, "left_anti")
     if several.limit(1).count():
-        once = rows.join(several, key, "left_anti")
-        rows = once.unionByName(rows.join(several, key, "left_semi").dropDuplicates([key, "text"]))
+        once = rows.join(several, names, "left_anti")
+        rows = once.unionByName(rows.join(several, names, "left_semi").dropDuplicates(names))
     return rows.select(documents.columns)

@@ -71,3 +71,17 @@ def test_odd_rows(make):
     kept = near_dedup.deduplicated(documents)
     assert kept.columns == documents.columns and 4 <= kept.count() <= 5
     assert near_dedup.near_duplicates(documents.limit(0)).count() == 0
+
+
+def test_texts_without_an_id_or_under_one_id(make):
+    rng = random.Random(7)
+    text = lambda: [f"w{rng.randrange(10_000)}" for _ in range(60)]
+    base, alone, given, under = text(), text(), text(), text()
+    near = lambda w: [*w[:30], "changed", *w[31:]]
+    rows = [(None, base), (None, near(base)), (None, alone), (5, given), (None, near(given)), (9, under), (9, near(given)), (9, under)]
+    documents = make([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(documents).collect()}
+    assert found == {(None, None, True), (5, 5, True), (None, 5, False), (9, 9, True), (9, 5, False)}
+    kept = [(r["doc_id"], r["text"].split()) for r in near_dedup.deduplicated(documents).collect()]
+    assert len(kept) == 4 and sum(k in ((None, base), (None, near(base))) for k in kept) == 1
+    assert all(k in kept for k in ((None, alone), (5, given), (9, under)))
