@@ -43,6 +43,7 @@ MAIN, OPEN, SHELL = 0, 1, 2
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 PART = re.compile(r"[a-z0-9]+")
+KEPT, NAMED_OUT, OUT = 0, 1, 2
 
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "textarea", "title", "select", "audio", "video", "noembed", "noframes", "xmp"}
 BLOCKS = set(
@@ -59,54 +60,73 @@ NAMES = set(
     "pager toolbar skip widget".split()
 )
 PAGE_HEADER = {"header", "masthead", "topbar"}
+NEUTRAL = {"site", "page", "main", "top", "bottom", "left", "right", "box", "bar", "container", "wrapper", "block", "list", "area", "link", "links", "form", "slot", "unit", "button", "buttons", "icons", "posts", "item", "items"}
+"""Words that may stand beside a name in a compound: site-footer, but not has-sidebar or notice-period."""
+TEXTS = set("h1 h2 h3 h4 h5 h6 p pre blockquote li dl dt dd table caption thead tbody tfoot tr td th figure figcaption".split())
+"""Within main, ids of these are places to link to."""
 
 
 @dataclass
 class _Open:
     tag: str
     out: bool
+    named: bool
+    """Out by a class or id."""
     main: bool
+    lent: bool
+    """Main below a named element."""
 
 
-def _aside(tag: str, attributes: str, in_main: bool) -> bool:
+def _is(value: str, names: set[str]) -> bool:
+    """Whether a white-space separated token of ``value`` is a name, or a compound of names and neutral words."""
+    parts = (PART.findall(token) for token in value.split())
+    return any(any(p in names for p in own) and all(p in names or p in NEUTRAL for p in own) for own in parts)
+
+
+def _aside(tag: str, attributes: str, in_main: bool) -> int:
+    """Whether an element is out: by what it is (OUT), by its class or id (NAMED_OUT) or not (KEPT)."""
     if tag in NEVER or (tag == "header" and not in_main):
-        return True
+        return OUT
     if not attributes or tag in ("html", "body"):
-        return False
+        return KEPT
+    kind = KEPT
     for m in NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true":
-            return True
+            return OUT
         if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("article", "main"):
-            found = set(PART.findall(value))
-            if found & NAMES or not in_main and found & PAGE_HEADER:
-                return True
-        if name in ("class", "id") and tag in ("article", "main") and set(PART.findall(value)) & {"comment", "comments", "reply", "ad", "advert", "sponsored"}:
-            return True
-    return False
+            return OUT
+        if name in ("class", "id") and not (name == "id" and in_main and tag in TEXTS):
+            if tag in ("article", "main"):
+                names = {"comment", "comments", "reply", "ad", "advert", "sponsored"}
+            else:
+                names = NAMES if in_main else NAMES | PAGE_HEADER
+            if _is(value, names):
+                kind = NAMED_OUT
+    return kind
 
 
 def page_blocks(source: str | None) -> list[tuple[int, str]]:
     """(zone, text) of the blocks of a page in order: references decoded, white space made one space, no empty ones.
 
-    Unclosed and stray tags are tolerated: a closing tag closes its nearest opening one, or nothing. ``br`` is
+    Classes and ids count by whole tokens. An article or main below an element that is out by its name alone is main,
+    unless the page has another that is below none (teasers, comments). Unclosed and stray tags are tolerated: a closing tag closes its nearest opening one, or nothing. ``br`` is
     white space. Null counts as empty.
     """
     source = source or ""
     stack: list[_Open] = []
-    found: list[tuple[bool, bool, str]] = []
+    found: list[tuple[bool, bool, bool, str]] = []
     text: list[str] = []
-    marked, at, skip = False, 0, None
+    nothing = _Open("", False, False, False, False)
+    at, skip = 0, None
 
     def close_block() -> None:
         if text:
             words = " ".join("".join(text).split())
             text.clear()
             if words:
-                top = stack[-1] if stack else _Open("", False, False)
-                found.append((top.out, top.main, words))
+                top = stack[-1] if stack else nothing
+                found.append((top.out or top.named, top.main, top.lent, words))
 
     for m in TAG.finditer(source):
         if skip is not None:
@@ -136,16 +156,19 @@ def page_blocks(source: str | None) -> list[tuple[int, str]]:
             elif tag not in VOID:
                 while stack and (stack[-1].tag == "p" or tag == "body" and stack[-1].tag == "head" or tag == "li" and stack[-1].tag == "li"):
                     stack.pop()
-                above = stack[-1] if stack else _Open("", False, False)
-                out = above.out or _aside(tag, m[3], above.main)
-                main = above.main or tag in ("article", "main") or 'role="main"' in m[3]
-                stack.append(_Open(tag, out, main))
+                above = stack[-1] if stack else nothing
+                kind, begins = _aside(tag, m[3], above.main), tag in ("article", "main") or 'role="main"' in m[3]
+                lent = above.lent or begins and above.named and not above.main
+                named = kind == NAMED_OUT or above.named and not (begins and not above.main)
+                stack.append(_Open(tag, above.out or kind == OUT, named, above.main or begins, lent))
     if skip is None and at < len(source):
         rest = source[at:]
         cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that never ends
         text.append(html.unescape(rest[: cut.start()] if cut else rest))
     close_block()
-    marked = any(main and not out for out, main, _ in found)
+    marked = any(main and not out for out, main, _, _ in found)
+    free = any(main and not out and not lent for out, main, lent, _ in found)
+    found = [(out or lent and free, main, words) for out, main, lent, words in found]
     return [(SHELL if out or marked and not main else MAIN if main else OPEN, words) for out, main, words in found]
 
 

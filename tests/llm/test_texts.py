@@ -171,6 +171,21 @@ def test_blocks_of_a_page():
     assert html_extraction.page_blocks("just & text") == [(html_extraction.OPEN, "just & text")]
 
 
+def test_names_are_whole_and_leave_articles():
+    def main(source):
+        return [t for zone, t in html_extraction.page_blocks(source) if zone == html_extraction.MAIN]
+
+    for wrapper in ("layout has-sidebar", "no-comments", "ad-free", "social", "widget"):
+        assert main(f"<div class='{wrapper}'><article><p>text</p></article></div><div class='ad'>x</div>") == ["text"]
+        assert main(f"<div id='{wrapper}'><main>text</main></div>") == ["text"]
+    inside = "<h2 id='share-prices'>a</h2><h2 id='comments'>b</h2><section id='social-history'><p>c</p></section><p class='notice-period'>d</p><p class='lead'>e</p>"
+    assert main(f"<article>{inside}</article>") == list("abcde")
+    out = "<div class='ad'>1</div><p class='share'>2</p><div id=comments><article>3</article></div><div class='x cookie-notice'>4</div><div class='site-footer'>5</div>"
+    assert main(f"<article><p>text</p>{out}</article>") == ["text"]
+    assert main("<article>text</article><div class='related'><article>teaser</article></div><div id='comments'><article>reply</article></div>") == ["text"]
+    assert main("<nav><article>menu</article></nav><article hidden>x</article><main>text</main>") == ["text"]
+
+
 def test_repeated_runs_of_a_host(make):
     notice = "this site stores data on your device for many good purposes"
     page = "<body><div>{}</div><div>unique text number {} of this page</div></body>"
