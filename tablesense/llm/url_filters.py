@@ -21,8 +21,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     ``action`` is add or remove. An add holds until the next row of the same list, kind and value. At one time an
     add beats a remove, and repeated rows count once. Removes of what is not listed do nothing; the last add has
-    no end (null). Rows with a null value, time or action are left out.
+    no end (null). Rows with a null value, time or action are left out. The host in a value is lowered.
     """
+    entries = entries.withColumn("value", F.concat(F.lower(F.substring_index("value", "/", 1)), F.regexp_extract("value", "(?s)(/.*)?$", 0)))
     rows = entries.where("value is not null and at is not null and action in ('add', 'remove')")
     rows = rows.groupBy("list", "allows", "kind", "value", "at").agg(F.max(F.col("action") == "add").alias("added"))
     own = Window.partitionBy("list", "allows", "kind", "value").orderBy("at")
@@ -42,7 +43,7 @@ def lookups(captures: DataFrame) -> DataFrame:
     rows = captures.select("capture", "at", host().alias("host"), F.filter(F.split(path, "/"), lambda s: s != "").alias("steps"))
     rows = rows.where("host <> ''").withColumn("labels", F.split("host", r"\."))
     size = F.size("labels")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.array_join(F.slice("labels", i, size), "."))
+    domains = F.transform(F.sequence(F.lit(1), size), lambda i: F.array_join(F.slice("labels", i, size), "."))
     prefixes = F.transform(
         F.sequence(F.lit(0), F.size("steps")), lambda i: F.concat("host", F.lit("/"), F.array_join(F.slice("steps", F.lit(1), i), "/"))
     )

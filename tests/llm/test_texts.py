@@ -226,3 +226,13 @@ def test_lists_as_of_the_fetch(make):
     assert found == {c: b for c, _, _, b in asked}
     assert url_filters.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
     assert url_filters.evaluate(captures.limit(0), entries).count() == 0
+
+
+def test_lists_of_top_level_domains_and_capitals(make):
+    start = dt.datetime(2024, 1, 1)
+    log = [("l", False, kind, value, start, "add") for kind, value in (("domain", "zip"), ("domain", "Example.COM"), ("host", "WWW.x.org"), ("prefix", "Y.org/Bad"), ("prefix", "z.org/"))]
+    entries = make(log, "list string, allows boolean, kind string, value string, at timestamp, action string")
+    asked = [("http://a.b.zip/", True), ("http://zip/", True), ("http://a.example.com/", True), ("http://www.x.org/", True), ("http://y.org/Bad/q", True), ("http://y.org/bad", False), ("http://z.org", True), ("http://a.gzip/", False)]
+    captures = make([(i, u, start) for i, (u, _) in enumerate(asked)], "capture long, url string, at timestamp")
+    found = {r["url"]: r["blocked"] for r in url_filters.evaluate(captures, entries).collect()}
+    assert found == dict(asked)
