@@ -138,18 +138,22 @@ def mix(
 
 
 def taken(documents: DataFrame, **options) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) of every document: words the mix takes, repeats counted."""
+    """(doc_id, size, source_size, target, taken, first_slot, source) of every document: words the mix takes, repeats counted.
+
+    ``first_slot`` is the first place of the schedule that takes words of it, null where none does.
+    """
     plan, shares = mix(documents, **options)
-    got = plan.groupBy("source", "row").agg(F.sum("words").alias("taken")).withColumnsRenamed({"source": "s", "row": "r"})
+    got = plan.groupBy("source", "row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")).withColumnsRenamed({"source": "s", "row": "r"})
     rows = shares.join(got, shares.source.eqNullSafe(got.s) & (shares.row == got.r), "left")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", "source")
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """The mix as rows of ``documents`` (doc_id, text, source, n_chars, anything else): one row per document and pass.
 
     A document taken whole keeps its text; where a source's last pass ends within a document, that row has its
-    first words only, joined by spaces. ``n_chars`` follows the text.
+    first words only, joined by spaces. ``n_chars`` follows the text. The amounts are those of the mix; its order is
+    not in these columns.
     """
     plan, _ = mix(documents, **options)
     rows = plan.groupBy("hash", "doc_id", "source", "row", "epoch", "size").agg(F.min("first").alias("first"), F.sum("words").alias("words"))

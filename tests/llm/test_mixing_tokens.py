@@ -57,6 +57,16 @@ def test_every_stretch_of_the_schedule_is_balanced(spark, make):
         assert abs(sum(r["source"] == "a" for r in rows[a : a + 100]) - 60) <= 5
 
 
+def test_first_slots_mix_the_sources(make):
+    rows = [(i, "w " * 10, s) for i in range(100) for s in ("a", "b")]
+    documents = make(rows, "doc_id long, text string, source string").unionAll(make([(900, "", "a")], "doc_id long, text string, source string"))
+    found = mixing.taken(documents, weights=(2, 1), block_words=10).orderBy("first_slot").collect()
+    taken = [r for r in found if r["taken"]]
+    assert len(taken) == 167 and all(r["first_slot"] is None for r in found if not r["taken"])
+    for a in range(0, 120, 30):
+        assert abs(sum(r["source"] == "a" for r in taken[a : a + 30]) - 20) <= 3
+
+
 TEXTS = [
     "", None, "plain words  with   gaps", "  lead", "trail \n\n x", "don't we'll I'm", "tab\tand\nline \r\n end ", "αβγ 漢字  nbsp em", "a<|endoftext|>b", "\x1c\x1d odd",
     "x" * 5000, "12345 6-7", " \n \n a", "\n \nb", "é" * 300 + " ", "a \u0085b", "😀 emoji 😀😀",
