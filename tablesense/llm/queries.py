@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesense.llm import decontamination, fingerprints, html_extraction, line_dedup, mixing, near_dedup, quality, token_output, toxicity, url_filters
+from tablesense.llm import (
+    bpe, decontamination, fingerprints, html_extraction, line_dedup, mixing, near_dedup, phrases, quality, token_output, toxicity, url_filters,
+)
 from tablesense.llm.common import fold, table
 
 
@@ -113,11 +115,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text's ids and of the text that they spell again."""
+    ids = bpe.encode(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "doc_id")
+    texts = bpe.decode(ids, "byte_bpe_50k.json", "doc_id", "ids")
+    return texts.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_quality, op3_url_filters, op4_minhash_near_dedup, op5_mixing, op6_fingerprints, op7_line_dedup, op8_decontamination,
-        op9_token_output, op10_html_extraction,
+        op9_token_output, op10_html_extraction, op11_phrases, op13_bpe,
     )
 }
-LLM_SQL = {"op3_url_filters": OP3_SQL, "op7_line_dedup": line_dedup.SQL}
+LLM_SQL = {"op3_url_filters": OP3_SQL, "op7_line_dedup": line_dedup.SQL, "op11_phrases": phrases.SQL}
