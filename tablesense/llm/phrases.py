@@ -104,8 +104,7 @@ def _distinct(numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _counted(texts: list[bytes], lang: str, sizes: range, old: np.ndarray | None, new: np.ndarray | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """The distinct phrases of some texts with their counts, by size; the phrase '' stands for all words.
 
-    A phrase is counted where all its parts that are one word shorter are in ``new`` (None: all are), and not all in
-    ``old``. Phrases have exact dense numbers: a word by a dictionary, a longer one by the numbers of its two parts.
+    A phrase is counted where all its shorter parts are in ``new`` (None: all are), and not all in ``old``. Phrases have exact dense numbers: a word by a dictionary, a longer one by the numbers of its two parts.
     """
     words = Words(texts)
     if not words.n:
@@ -125,7 +124,8 @@ def _counted(texts: list[bytes], lang: str, sizes: range, old: np.ndarray | None
             longer[at] = pd.factorize(numbers[at] * (int(numbers.max(initial=0)) + 1) + numbers[at + 1])[0]
             numbers = longer
             if before is not None:
-                fresh &= ~(before[:-1] & before[1:])
+                before = before[:-1] & before[1:]
+                fresh &= ~before
         at = np.flatnonzero(fresh)
         if k in sizes and len(at):
             first, n = _distinct(numbers, at)
@@ -134,8 +134,9 @@ def _counted(texts: list[bytes], lang: str, sizes: range, old: np.ndarray | None
             at = np.flatnonzero(numbers >= 0)
             place = _place(at, k, language, hashes, 64 * len(new))
             if old is not None:
-                before = np.zeros(len(numbers), bool)
-                before[at] = _in(old, place)
+                inside = np.zeros(len(numbers), bool)
+                inside[at] = _in(old, place)
+                before = inside if before is None else before & inside
             numbers[at[~_in(new, place)]] = -1
 
 
