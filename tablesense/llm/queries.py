@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesense.llm import (
-    bpe, decontamination, fingerprints, html_extraction, line_dedup, mixing, near_dedup, phrases, quality, token_output, toxicity, url_filters,
+    bpe, decontamination, fingerprints, html_extraction, line_dedup, mixing, near_dedup, phrases, quality, token_output, toxicity, url_filters, whitening,
 )
 from tablesense.llm.common import fold, table
 
@@ -119,6 +119,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each text's ids and of the text that they spell again."""
     ids = bpe.encode(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "doc_id")
@@ -133,7 +137,7 @@ LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_quality, op3_url_filters, op4_minhash_near_dedup, op5_mixing, op6_fingerprints, op7_line_dedup, op8_decontamination,
-        op9_token_output, op10_html_extraction, op11_phrases, op13_bpe,
+        op9_token_output, op10_html_extraction, op11_phrases, op12_whitening, op13_bpe,
     )
 }
 LLM_SQL = {"op3_url_filters": OP3_SQL, "op7_line_dedup": line_dedup.SQL, "op11_phrases": phrases.SQL}
