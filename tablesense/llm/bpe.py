@@ -138,7 +138,7 @@ class Merges:
             chosen = (rank < NONE) & (rank == own[:-1])
             if not self.ordered:
                 at = np.flatnonzero(chosen)
-                chosen[at[np.concatenate(([False], word[at[1:]] == word[at[:-1]]))]] = False
+                chosen[at[1:][word[at[1:]] == word[at[:-1]]]] = False
             elif sizes.max() > LONG:
                 border, padded = self._borders(keys, rank), np.concatenate(([-1], rank, [-1]))
                 sure = rank < NONE
