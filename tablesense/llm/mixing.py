@@ -49,7 +49,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     level = (total - F.coalesce(F.sum("top").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
     rows = rows.withColumn("level", level).withColumn("stops", F.col("top") <= F.col("level") * F.col("weight"))
     # a source stops only if all before it in the order do; the level of the first that does not holds for the rest
-    rows = rows.withColumn("level", F.min(F.when(~F.col("stops"), F.struct(F.col("top") / F.col("weight"), "level"))).over(Window.partitionBy())["level"])
+    rows = rows.withColumn("turn", F.row_number().over(order))
+    rows = rows.withColumn("level", F.min(F.when(~F.col("stops"), F.struct("turn", "level"))).over(Window.partitionBy())["level"])
     target = F.when(F.col("level").isNull(), F.col("top")).otherwise(F.least("top", F.col("level") * F.col("weight")))
     return rows.select("source", "source_size", target.alias("target"))
 
@@ -149,21 +150,24 @@ def taken(documents: DataFrame, **options) -> DataFrame:
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
-    """The mix as rows of ``documents`` (doc_id, text, source, n_chars, anything else): one row per document and pass.
+    """The mix as rows of ``documents`` (doc_id, text, source, anything else): one row per document and pass.
 
     A document taken whole keeps its text; where a source's last pass ends within a document, that row has its
-    first words only, joined by spaces. ``n_chars`` follows the text. The amounts are those of the mix; its order is
+    first words only, joined by spaces. ``n_chars``, where there is one, follows the text. The amounts are those of the mix; its order is
     not in these columns.
     """
     plan, _ = mix(documents, **options)
     rows = plan.groupBy("hash", "doc_id", "source", "row", "epoch", "size").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
-    rows = rows.select(F.col("hash").alias("_h"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("first").alias("_first"), F.col("words").alias("_words"))
-    hashed = documents.withColumn("_mix_hash", F.xxhash64("doc_id", "text"))
+    rows = rows.select(F.col("hash").alias("h"), F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("whole"), "first", "words")
+    # the document as one struct, so that its columns may have any names
+    hashed = documents.select(F.struct(*documents.columns).alias("doc"), F.xxhash64("doc_id", "text").alias("hash"))
     # rows that repeat doc_id, text and source are one here; the plan has each of them
-    nth = F.row_number().over(Window.partitionBy("_mix_hash", "doc_id", "source").orderBy(F.lit(0)))
-    hashed = hashed.withColumn("_nth", nth).where("_nth = 1")
-    met = hashed.join(rows, (F.col("_mix_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    part = F.array_join(F.slice(F.expr("regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"), F.col("_first").cast("int") + 1, F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(part)
-    met = met.withColumn("text", text).withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return met.select(documents.columns)
+    nth = F.row_number().over(Window.partitionBy("hash", "doc.doc_id", "doc.source").orderBy(F.lit(0)))
+    hashed = hashed.withColumn("nth", nth).where("nth = 1")
+    met = hashed.join(rows, (F.col("hash") == F.col("h")) & F.col("doc.doc_id").eqNullSafe(F.col("d")) & F.col("doc.source").eqNullSafe(F.col("s")))
+    part = F.array_join(F.slice(F.expr("regexp_extract_all(doc.text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"), F.col("first").cast("int") + 1, F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") == F.col("whole"), F.col("doc.text")).otherwise(part)
+    own = {"text": text}
+    if "n_chars" in documents.columns:
+        own["n_chars"] = F.length(text).cast(documents.schema["n_chars"].dataType)
+    return met.select(*(own.get(c, F.col(f"doc.`{c}`")).alias(c) for c in documents.columns))

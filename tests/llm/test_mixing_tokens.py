@@ -49,6 +49,27 @@ def test_mix_meets_its_targets(make):
     assert mixing.taken(documents.limit(0)).count() == 0 and mixing.mixed(documents.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [
+    {"a": 5000, "b": 2000, "c": 1000}, {"a": 1000, "b": 500, "c": 400, "d": 1000}, {"a": 7, "b": 7, "c": 7}, {"a": 10, "b": 4, "c": 2, "d": 10, None: 900},
+    {"a": 1, "b": 1, "c": 100_000}, {"a": 0, "b": 0, "c": 5}, {"a": 0}, {"a": 50, "b": 20, "c": 10, "d": 50, "e": 20, "f": 10, "g": 5000},
+])
+def test_targets_of_equal_ratios(make, sizes):
+    found = mixing.source_targets(make(list(sizes.items()), "source string, source_size long")).collect()
+    want = targets(sizes)
+    assert {r["source"]: round(r["target"], 6) for r in found} == {s: round(t, 6) for s, t in want.items()}
+    assert abs(sum(r["target"] for r in found) - min(sum(sizes.values()), 3 * sum(sizes.values()))) < 1e-6
+
+
+def test_equal_sources_are_mixed_whole(make):
+    rows = [(i, "w " * 10, s, "x", "y") for s in "abc" for i in range(30)]
+    documents = make(rows, "doc_id long, text string, source string, _h string, nth string")
+    found = mixing.taken(documents).collect()
+    total = sum(r["taken"] for r in found)
+    assert abs(total - 900) <= 1.5 and min(r["taken"] for r in found if r["source"] == "a") > 0
+    mixed = mixing.mixed(documents)
+    assert mixed.columns == documents.columns and mixed.agg(F.sum(mixing.n_words())).head()[0] == total
+
+
 def test_every_stretch_of_the_schedule_is_balanced(spark, make):
     quotas = make([("a", 600), ("b", 300), ("c", 100), ("d", 0)], "source string, blocks long")
     rows = mixing.schedule(spark, quotas, 1000).orderBy("slot").collect()
