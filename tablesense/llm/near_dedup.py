@@ -132,6 +132,8 @@ def linked(pairs: DataFrame, representatives: DataFrame, texts, words: int, k: i
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     likely = stored(both.where(shared >= SHARE * F.size(union)).select("a", "b"), "likely-pairs")
+    if not likely.limit(1).count():
+        return likely
     keys = stored(likely.select(F.col("a").alias("key")).unionAll(likely.select("b")).distinct(), "likely-keys")
     sets = stored(full_sets(texts(keys), words), "likely-sets")
     salted = likely.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
@@ -150,16 +152,33 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = stored(both.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("component")), "labels")
     while True:
-        near = both.join(label.withColumnRenamed("key", "a"), "a").groupBy(F.col("b").alias("key")).agg(F.min("component").alias("near"))
-        jump = label.select(F.col("key").alias("component"), F.col("component").alias("jump"))
-        step = label.join(near, "key").join(jump, "component").select("key", F.least("jump", "near").alias("next"), "component")
-        step = stored(step, "labels")
+        told = both.join(label.withColumnRenamed("key", "a"), "a").select(F.col("b").alias("key"), "component", F.lit(False).alias("own"))
+        told = told.unionAll(label.select("key", "component", F.lit(True)))
+        near = told.groupBy("key").agg(F.min("component").alias("near"), F.max(F.when(F.col("own"), F.col("component"))).alias("component"))
+        jump = label.select(F.col("key").alias("near"), F.col("component").alias("next"))
+        step = stored(near.join(jump, "near").select("key", "next", "component"), "labels")
         changed = step.where("next < component").limit(1).count()
         label = step.select("key", F.col("next").alias("component"))
         if not changed:
             return label
 
 
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (key, component) after further links (a, b); only links between components are followed."""
+    between = links
+    for end in ("a", "b"):
+        own = labels.select(F.col("key").alias(end), F.col("component").alias(f"of_{end}"))
+        between = between.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    between = stored(between.where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "label-links")
+    if not between.limit(1).count():
+        return labels
+    roots = components(between)
+    moved = labels.join(roots.select(F.col("key").alias("component"), F.col("component").alias("root")), "component", "left")
+    moved = moved.select("key", F.coalesce("root", "component").alias("component"))
+    # a key without a label so far is a root's key only
+    return stored(moved.unionAll(roots).groupBy("key").agg(F.min("component").alias("component")), "labels")
+
+
 def _fits(percent: int) -> Column:
     """Whether sizes and rooms of the two sides of a pair allow the similarity."""
     return (F.least("room", "room_a") + 1) * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent
@@ -169,13 +188,13 @@ def _as_a() -> list[Column]:
     return [F.col(f"x.{c}").alias(name) for c, name in (("key", "a"), ("n", "n_a"), ("room", "room_a"))]
 
 
-def _open(lists: DataFrame, edges: DataFrame) -> DataFrame:
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(value, key, n, room, component, main, outside) of lists that still hold several components.
 
     ``main`` is the largest component, ``outside`` counts the members beyond it. The list's first pivot has been
     compared with all and is left out.
     """
-    members = lists.where("m > 2 and key <> a").join(components(edges), "key", "left")
+    members = lists.where("m > 2 and key <> a").join(labels, "key", "left")
     members = members.select("value", "key", "n", "room", F.coalesce("component", "key").alias("component"))
     parts = stored(members.groupBy("value", "component").agg(F.count("*").alias("c")), "list-parts")
     several = parts.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("parts"))
@@ -183,29 +202,34 @@ def _open(lists: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(members.join(stored(several, "open-lists"), "value"), "open-members")
 
 
-def _resolve(lists: DataFrame, verify, edges: DataFrame | None, percent: int, crowd: int | None):
-    """All links that join different components within the lists: (links, keys of crowded lists or None).
+def _resolve(lists: DataFrame, verify, labels: DataFrame | None, percent: int, crowd: int | None):
+    """The components after all links between different components within the lists: (labels, keys of crowded lists or None).
 
     First each list's smallest key is compared with all members, then a few of the largest component with those
     outside it, and last everyone outside it with everyone of another component. Lists with more than ``crowd``
-    members outside are left to the caller before that last step.
+    members outside are left to the caller before that last step. Steps without an open list are left out.
     """
     member = F.struct("key", "n", "room")
     pivots = lists.groupBy("value").agg(F.min(member).alias("x"), F.count("*").alias("m")).where("m > 1").select("value", "m", *_as_a())
     lists = stored(lists.join(pivots, "value"), "lists")
-    first = verify(lists.where((F.col("key") != F.col("a")) & _fits(percent)).select("a", F.col("key").alias("b")))
-    edges = stored(first if edges is None else first.unionAll(edges), "links")
-    open_ = _open(lists, edges)
+    links = stored(verify(lists.where((F.col("key") != F.col("a")) & _fits(percent)).select("a", F.col("key").alias("b"))), "links")
+    labels = components(links) if labels is None else relabelled(labels, links)
+    open_ = _open(lists, labels)
+    if not open_.limit(1).count():
+        return labels, None
     hubs = open_.where("component = main").groupBy("value", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("part"))
     hubs = hubs.agg(F.min(member).alias("x")).select("value", *_as_a())
     pairs = open_.where("component <> main").join(hubs, "value").where(_fits(percent)).select("a", F.col("key").alias("b"))
-    edges = stored(verify(pairs).unionAll(edges), "links")
-    open_ = _open(lists, edges)
+    labels = relabelled(labels, stored(verify(pairs), "links"))
+    open_ = _open(lists, labels)
+    if not open_.limit(1).count():
+        return labels, None
     few = open_.where(F.col("outside") <= crowd) if crowd else open_
     outside = few.where("component <> main").select("value", member.alias("x"), F.col("component").alias("component_a"))
     pairs = few.join(outside.select("value", "component_a", *_as_a()), "value").where((F.col("component") != F.col("component_a")) & _fits(percent))
     pairs = pairs.where("component = main or key > a").select("a", F.col("key").alias("b"))
-    return stored(verify(pairs).unionAll(edges), "links"), open_.where(F.col("outside") > crowd).select("key").distinct() if crowd else None
+    labels = relabelled(labels, stored(verify(pairs), "links"))
+    return labels, open_.where(F.col("outside") > crowd).select("key").distinct() if crowd else None
 
 
 def _grouped(documents: DataFrame, words: int, percent: int, k: int) -> DataFrame:
@@ -231,12 +255,12 @@ def _grouped(documents: DataFrame, words: int, percent: int, k: int) -> DataFram
     def verify(pairs: DataFrame) -> DataFrame:
         return linked(pairs, reps.select("key", "n", "sketch"), text_of, words, k, percent)
 
-    edges, crowded = _resolve(listed(reps.select("key", "n", "sketch"), k, percent), verify, None, percent, CROWD)
-    crowded = stored(crowded, "crowded")
-    if crowded.limit(1).count():
+    labels, crowded = _resolve(listed(reps.select("key", "n", "sketch"), k, percent), verify, None, percent, CROWD)
+    crowded = crowded if crowded is None else stored(crowded, "crowded")
+    if crowded is not None and crowded.limit(1).count():
         whole = full_sets(text_of(crowded), words).select("key", F.size("items").alias("n"), F.col("items").alias("sketch"))
-        edges, _ = _resolve(listed(stored(whole, "crowded-sets"), None, percent), verify, edges, percent, None)
-    labels = components(edges).withColumnRenamed("key", "class")
+        labels, _ = _resolve(listed(stored(whole, "crowded-sets"), None, percent), verify, labels, percent, None)
+    labels = labels.withColumnRenamed("key", "class")
     linked_ = classes.select("class", "rep").join(labels, "class")
     firsts = linked_.groupBy("component").agg(F.min("rep").alias("first"))
     firsts = linked_.join(firsts, "component").select("class", "first")
