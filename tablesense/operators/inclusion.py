@@ -7,12 +7,11 @@ overlap and yields no row.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablesense.functions.keys import key_text, tuple_key
-from tablesense.sources.tables import local_rows
+from tablesense.sources.tables import local_rows, united
 
 MEASURES = ["distinct_total", "matched", "overlap", "orphan_rows"]
 MEASURE_TYPES = ["long", "long", "double", "long"]
@@ -90,95 +89,82 @@ def inclusion(
 
     ``candidates``: owner, table, columns (child) and parent_owner, parent_table, parent_columns,
     with any further columns, which are kept. Only the keys themselves come to the driver, since they
-    say which columns to read; pairs stay a DataFrame. The values of a column are counted before they
-    meet any parent. The join key is (parent key, value), in which a value occurs once per child
-    column, so it has no hot keys and never lists the pairs of columns that share a value.
+    say which columns to read; pairs stay a DataFrame.
 
-    With ``at_least``, pairs that cannot reach that overlap are left out before values meet parents:
-    by empty sides, ranges that do not touch, too few parent values, and by bitmaps of hashed values,
-    of which every bit the parent lacks is a child value without parent.
+    Every column is read once, whatever it is to others, and its values are counted. A value then has
+    one row with the set of parent keys that hold it, its signature, and the children that do. Values
+    of a child are counted by signature before any pair is formed: columns of dense ids have about as
+    many signatures as there are parents of different size, however many values they hold. A pair adds
+    up the signatures that name its parent. No step lists the pairs of columns that share a value.
+
+    With ``at_least``, only pairs of that overlap or more are returned.
     """
-    child_ids = _numbered(_keys(candidates, CHILD_KEY))
-    parent_ids = _numbered(_keys(candidates, PARENT_KEY))
+    child_ids, parent_ids = _keys(candidates, CHILD_KEY), _keys(candidates, PARENT_KEY)
     if not child_ids:
         unmeasured = [F.lit(None).cast(t).alias(c) for c, t in zip(MEASURES, MEASURE_TYPES)]
         return candidates.limit(0).select("*", *unmeasured)
-    spark = candidates.sparkSession
-    whole = {True: "child_whole", False: "parent_whole"}
-    ends = []
-    for ids, key, child in ((child_ids, CHILD_KEY, True), (parent_ids, PARENT_KEY, False)):
-        rows = [(*k, i, _whole_number(tables[k[:2]], k[2])) for k, i in ids.items()]
-        name = "child_id" if child else "parent_id"
-        ends.append(local_rows(spark, rows, f"{key[0]} string, {key[1]} string, {key[2]} array<string>, {name} int, {whole[child]} boolean"))
-    numbered = candidates.join(ends[0], CHILD_KEY).join(ends[1], PARENT_KEY)
-    numeric = F.col("child_whole") & F.col("parent_whole")
-    measured = reduce(DataFrame.unionByName, [
-        _measured(tables, child_ids, parent_ids, numbered.filter(wanted).select("child_id", "parent_id").distinct(), empty_is_null, kind, at_least)
-        for kind, wanted in ((True, numeric), (False, ~numeric))
-        if not kind or any(_whole_number(tables[k[:2]], k[2]) for k in child_ids)
+    ids = _numbered([*child_ids, *parent_ids])
+    whole = {key: _whole_number(tables[key[:2]], key[2]) for key in ids}
+    numbered = candidates
+    for names, end, keys in ((CHILD_KEY, "child", child_ids), (PARENT_KEY, "parent", parent_ids)):
+        rows = [(*k, ids[k], whole[k]) for k in keys]
+        schema = f"{names[0]} string, {names[1]} string, {names[2]} array<string>, {end}_id int, {end}_whole boolean"
+        numbered = numbered.join(local_rows(candidates.sparkSession, rows, schema), names)
+    numbered = numbered.withColumn("numeric", F.col("child_whole") & F.col("parent_whole")).drop("child_whole", "parent_whole")
+    pairs = numbered.select("numeric", "child_id", "parent_id").distinct()
+    # which columns are compared as numbers and which as text; a column may be both
+    roles = pairs.select("numeric", F.inline(F.array(
+        F.struct(F.col("child_id").alias("id"), F.lit(True).alias("child")), F.struct(F.col("parent_id").alias("id"), F.lit(False).alias("child")),
+    ))).distinct().collect()
+    keys = {number: key for key, number in ids.items()}
+    values = united([
+        _melt(tables, {keys[i]: i for i in sorted({r["id"] for r in roles if r["numeric"] == kind})}, empty_is_null, kind)
+        .groupBy("key_id", "key").agg(F.count(F.lit(1)).alias("n_rows"))
+        .groupBy("key").agg(
+            F.collect_list(F.when(_among({r["id"] for r in roles if r["numeric"] == kind and not r["child"]}), F.col("key_id"))).alias("holders"),
+            F.collect_list(F.when(_among({r["id"] for r in roles if r["numeric"] == kind and r["child"]}), F.struct("key_id", "n_rows"))).alias("children"),
+        )
+        .select(F.lit(kind).alias("numeric"), F.array_sort("holders").alias("holders"), "children")
+        for kind in sorted({r["numeric"] for r in roles})
     ])
-    labelled = numbered.join(measured, ["child_id", "parent_id"])
+    measured = _measured(values, pairs)
+    if at_least is not None:
+        measured = measured.filter(F.col("matched") >= F.col("distinct_total") * at_least * (1 - 1e-9))
+    labelled = numbered.join(measured, ["numeric", "child_id", "parent_id"])
     return _with_overlap(labelled).select(*candidates.columns, *MEASURES)
 
 
-def _keys(candidates: DataFrame, names: Sequence[str]) -> list[tuple]:
-    return sorted(_frozen(r) for r in candidates.select(*names).distinct().collect())
-
-
-def _whole_number(df: DataFrame, columns: Sequence[str]) -> bool:
-    return len(columns) == 1 and isinstance(df.schema[columns[0]].dataType, T.IntegralType)
-
-
-WORDS = 16  # of 64 bits, in the bitmap of a key's hashed values
+def _among(numbers: set[int]) -> Column:
+    return F.col("key_id").isin(sorted(numbers))
 
 
-def _summary(values: DataFrame, key_id: str, end: str) -> DataFrame:
-    """Per key: distinct values, range, and a bitmap of hashed values; one small row that combines before the shuffle."""
-    place = F.pmod(F.xxhash64("key"), F.lit(64 * WORDS))
-    hashed = values.withColumn("place", place).withColumns({
-        "word": F.floor(F.col("place") / 64), "bit": F.expr("shiftleft(1L, cast(place % 64 as int))"),
-    })
-    words = [F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"{end}_{i}") for i in range(WORDS)]
-    return hashed.groupBy(key_id).agg(
-        F.count(F.lit(1)).alias(f"{end}_n"), F.min("key").alias(f"{end}_low"), F.max("key").alias(f"{end}_high"), *words
+def _measured(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(numeric, child_id, parent_id) of ``pairs`` with their measures, from (numeric, holders, children) of each value."""
+    signature = F.struct(F.xxhash64("holders").alias("s"), F.xxhash64(F.reverse("holders"), F.lit(1)).alias("t"), F.size("holders").alias("n"))
+    counted = (
+        values.select("numeric", signature.alias("signature"), F.inline("children"))
+        .groupBy("numeric", F.col("key_id").alias("child_id"), "signature")
+        .agg(F.count(F.lit(1)).alias("values"), F.sum("n_rows").alias("rows"))
+    )
+    holding = (
+        values.select("numeric", "holders").distinct()
+        .select("numeric", signature.alias("signature"), F.explode("holders").alias("parent_id"), F.lit(True).alias("held"))
+    )
+    met = counted.join(pairs, ["numeric", "child_id"]).join(holding, ["numeric", "signature", "parent_id"], "left")
+    inside = F.col("held").isNotNull()
+    return met.groupBy("numeric", "child_id", "parent_id").agg(
+        F.sum("values").alias("distinct_total"),
+        F.coalesce(F.sum(F.when(inside, F.col("values"))), F.lit(0)).alias("matched"),
+        F.coalesce(F.sum(F.when(~inside, F.col("rows"))), F.lit(0)).alias("orphan_rows"),
     )
 
 
-def _possible(pairs: DataFrame, values: DataFrame, targets: DataFrame, at_least: float) -> DataFrame:
-    """The pairs whose overlap may reach ``at_least``; exact on what it leaves out."""
-    met = pairs.join(_summary(values, "child_id", "c"), "child_id").join(_summary(targets, "parent_id", "p"), "parent_id")
-    missing = sum((F.bit_count(F.col(f"c_{i}").bitwiseAND(F.bitwise_not(f"p_{i}"))) for i in range(WORDS)), F.lit(0))
-    needed = F.col("c_n") * at_least * (1 - 1e-9)
-    met = met.filter("c_low <= p_high and p_low <= c_high").filter((F.col("p_n") >= needed) & (F.col("c_n") - missing >= needed))
-    return met.select("child_id", "parent_id")
+def _keys(candidates: DataFrame, names: Sequence[str]) -> list[tuple]:
+    return sorted(_frozen(r) for r in candidates.select(*names).distinct().collect())
 
 
-def _measured(
-    tables: Mapping[tuple[str, str], DataFrame],
-    child_ids: Mapping[tuple, int],
-    parent_ids: Mapping[tuple, int],
-    pairs: DataFrame,
-    empty_is_null: bool,
-    numeric: bool,
-    at_least: float | None,
-) -> DataFrame:
-    """The measures of numbered pairs whose keys are all numbers, or all text."""
-    children, parents = (
-        {k: i for k, i in ids.items() if not numeric or _whole_number(tables[k[:2]], k[2])} for ids in (child_ids, parent_ids)
-    )
-    values = (
-        _melt(tables, children, empty_is_null, numeric)
-        .groupBy("key_id", "key").agg(F.count(F.lit(1)).alias("n_rows"))
-        .withColumnRenamed("key_id", "child_id")
-    )
-    targets = _melt(tables, parents, empty_is_null, numeric).distinct().withColumnRenamed("key_id", "parent_id")
-    if at_least is not None:
-        pairs = _possible(pairs, values, targets, at_least)
-    return (
-        values.join(pairs, "child_id").join(targets.withColumn("hit", F.lit(True)), ["parent_id", "key"], "left")
-        .withColumn("in_parent", F.col("hit").isNotNull())
-        .groupBy("child_id", "parent_id").agg(*_measure())
-    )
+def _whole_number(df: DataFrame, columns: Sequence[str]) -> bool:
+    return len(columns) == 1 and isinstance(df.schema[columns[0]].dataType, T.IntegralType)
 
 
 def _frozen(row: Sequence) -> tuple:
@@ -204,4 +190,4 @@ def _melt(
             for cols, number in keys
         ]
         melted.append(df.select(F.inline(F.array(*cells))).filter(F.col("key").isNotNull()))
-    return reduce(DataFrame.unionByName, melted)
+    return united(melted)

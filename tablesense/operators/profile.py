@@ -7,13 +7,12 @@ derived from the distinct values, so each value is shaped and masked once howeve
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesense.functions.keys import key_text
 from tablesense.functions.privacy import mask_value, structural_pattern
-from tablesense.sources.tables import local_rows
+from tablesense.sources.tables import local_rows, united
 
 LOW_CARDINALITY_MAX = 25
 PATTERNS, SAMPLES = 4, 3
@@ -39,7 +38,7 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def estate_value_counts(tables: Sequence[tuple[DataFrame, Mapping[str, str | int]]]) -> DataFrame:
     """The same over many tables, columns labelled as given: one scan per table and one shuffle in all."""
-    return _counted(reduce(DataFrame.unionByName, [_cells(df, numbers) for df, numbers in tables]))
+    return _counted(united([_cells(df, numbers) for df, numbers in tables]))
 
 
 def null_fraction(nulls: Column, total: Column) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tablesense.sources.tables import local_rows
+from tablesense.sources.tables import local_rows, united
 
 TABLE_SCHEMA = "owner string, table string, comment string, num_rows long"
 COLUMN_SCHEMA = (
@@ -132,7 +132,7 @@ class Estate:
             .select(F.lit(o).alias("owner"), F.lit(t).alias("table"), "num_rows")
             for o, t in self.keys()
         ]
-        return reduce(DataFrame.unionByName, counts)
+        return united(counts)
 
 
 def profilable(data_type: Column) -> Column:
@@ -151,7 +151,7 @@ def profilable_columns(estate: Estate, owner: str, table: str) -> list[str]:
 def merge_catalogs(catalogs: Mapping[str, DataFrame]) -> DataFrame:
     """Per-owner catalog frames as one, each row tagged with its owner."""
     tagged = [df.withColumn("owner", F.lit(owner)) for owner, df in catalogs.items()]
-    return reduce(DataFrame.unionByName, tagged)
+    return united(tagged)
 
 
 def resolve_constraints(constraints: DataFrame, constraint_columns: DataFrame) -> DataFrame:

@@ -66,6 +66,17 @@ def settled(catalog_frame: DataFrame) -> DataFrame:
     return local_rows(catalog_frame.sparkSession, rows, catalog_frame.schema)
 
 
+def united(frames: Sequence[DataFrame]) -> DataFrame:
+    """The rows of all frames, matched by name.
+
+    Joined two by two, so that a union of thousands of tables is analysed in n log n, not n squared.
+    """
+    while len(frames) > 1:
+        pairs = [frames[i : i + 2] for i in range(0, len(frames), 2)]
+        frames = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return frames[0]
+
+
 def row_page(df: DataFrame, max_rows: int) -> tuple[list[dict], bool]:
     """At most ``max_rows`` rows for a person to read, and whether the bound was reached."""
     rows = df.limit(max(1, max_rows)).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablesense.operators import candidates as rules
 from tablesense.operators.inclusion import inclusion, orphan_rows, overlap
@@ -119,11 +119,13 @@ def composite_orphan_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ every pair of an estate
 
+# every whole-number column of the given tables, keys among them
 _INTEGERS = {
-    "nation": ["n_regionkey"], "customer": ["c_nationkey"], "supplier": ["s_nationkey"],
-    "orders": ["o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
-    "events": ["user_id"], "conversations": ["conv_id", "turn"], "labels": ["doc_id", "quality", "toxic"],
-    "embeddings": ["label"], "part": ["p_size"],
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"],
+    "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "events": ["event_id", "user_id"],
+    "documents": ["doc_id", "n_chars"], "labels": ["doc_id", "quality", "toxic"], "embeddings": ["vec_id", "label"],
+    "pages": ["page_id"], "benchmark": ["item_id"], "conversations": ["conv_id", "turn"],
 }
 _OWNER_OF = {name: owner for owner, names in OWNERS.items() for name in names}
 _SINGLE_KEYS = {name: key[0] for name, key in KEYS.items() if len(key) == 1}
@@ -136,15 +138,18 @@ _ALL_PAIRS = [
 
 @query("J5", _pairs_sql(_ALL_PAIRS))
 def inclusion_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole-number column against every key of another table, in one job."""
+    """Every whole-number column, as the tables' schemas have them, against every key of another table, in one job."""
+    frames = _frames(given_tables.given(spark, sf_dir))
+    numbers = [(*where, f.name) for where, df in frames.items() for f in df.schema if isinstance(f.dataType, T.IntegralType)]
     rows = [
-        (_OWNER_OF[c], c, [col], _OWNER_OF[p], p, [key]) for c, col, p, key in _ALL_PAIRS
+        (owner, child, [col], _OWNER_OF[parent], parent, [key])
+        for owner, child, col in numbers for parent, key in _SINGLE_KEYS.items() if parent != child
     ]
     candidates = local_rows(
         spark, rows, "owner string, table string, columns array<string>, parent_owner string, "
         "parent_table string, parent_columns array<string>",
     )
-    return _flat(inclusion(_frames(given_tables.given(spark, sf_dir)), candidates))
+    return _flat(inclusion(frames, candidates))
 
 
 # ------------------------------------------------------------------ candidates by rule, measured

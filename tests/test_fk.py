@@ -233,3 +233,28 @@ def test_whole_floating_keys_compare_as_numbers_at_any_size(make):
     child, parent = make([(v,) for v in big], "k long"), make([(float(v),) for v in big], "k double")
     row = overlap(child, ["k"], parent, ["k"]).collect()[0]
     assert (row["overlap"], row["orphan_rows"]) == (1.0, 0)
+
+
+def test_hundreds_of_tables_with_dense_ids(spark):
+    """500 tables whose ids all begin at 0: a pair costs signatures, and each overlap is the smaller range's share."""
+    sizes = {f"T{i:03d}": 1 + (i * 7) % 40 for i in range(500)}
+    tables = {("S", name): spark.range(0, n, 1, 1).selectExpr("id as k") for name, n in sizes.items()}
+    names = list(sizes)
+    pairs = [(names[i], names[j]) for i in range(500) for j in {(i * 31 + 7 * s) % 500 for s in range(1, 6)} if i != j]
+    candidates = local_rows(
+        spark, [("S", a, ["k"], "S", b, ["k"]) for a, b in pairs],
+        "owner string, table string, columns array<string>, parent_owner string, parent_table string, parent_columns array<string>",
+    )
+    found = {(r["table"], r["parent_table"]): (r["distinct_total"], r["matched"], r["orphan_rows"]) for r in inclusion(tables, candidates).collect()}
+    assert found == {(a, b): (sizes[a], min(sizes[a], sizes[b]), max(0, sizes[a] - sizes[b])) for a, b in pairs}
+
+
+def test_a_column_is_text_to_one_parent_and_a_number_to_another(spark, make):
+    tables = {
+        ("S", "C"): make([(1,), (2,), (2,), (7,)], "v int"), ("S", "N"): make([(1,), (2,)], "v long"), ("S", "T"): make([("2",), ("07",), ("x",)], "v string"),
+    }
+    schema = "owner string, table string, columns array<string>, parent_owner string, parent_table string, parent_columns array<string>"
+    pairs = [("C", "N"), ("C", "T"), ("T", "C"), ("N", "C")]
+    candidates = local_rows(spark, [("S", a, ["v"], "S", b, ["v"]) for a, b in pairs], schema)
+    found = {(r["table"], r["parent_table"]): (r["distinct_total"], r["matched"], r["orphan_rows"]) for r in inclusion(tables, candidates).collect()}
+    assert found == {("C", "N"): (3, 2, 1), ("C", "T"): (3, 1, 2), ("T", "C"): (3, 1, 2), ("N", "C"): (2, 2, 0)}
