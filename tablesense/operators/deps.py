@@ -1,11 +1,13 @@
 """Dependencies in source texts: routines, references, usages and statements to look at twice.
 
-Texts are tokenised where they lie; what travels is distinct (unit, word) pairs.
+Texts are tokenised where they lie; what travels is distinct (unit, word) pairs. The functions ``..._in_lines``
+give the same of source lines (owner, name, type, line, text) without putting a unit together: a row is a line,
+ended or not, or several whole lines, in the order of type and line. Headers stand in one row. Null texts are empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 _HEADER = r"(?im)^\s*((?:PROCEDURE|FUNCTION)\s+[A-Za-z][A-Za-z0-9_$#]*)"
 _AGGREGATE = r"(?i)\b(SUM|COUNT|AVG)\s*\("
@@ -45,6 +47,76 @@ def routine_sections(units: DataFrame) -> DataFrame:
     ).filter("routine <> ''")
 
 
+LINES_PER_BLOCK = 10_000
+"""Lines of a unit that are searched for their routine in one task."""
+_UNIT = ["owner", "name"]
+_MARK = "\0"
+
+
+def declared_routines_in_lines(lines: DataFrame) -> DataFrame:
+    """(owner, name, position, routine, routine_kind) as ``declared_routines``; ``position`` is (type, line, place).
+
+    Only lines with a header and the first line of each body leave their task.
+    """
+    body = r"(?i)\bPACKAGE\s+BODY\b"
+    headers = F.regexp_extract_all(F.regexp_replace(_text("text"), r"(?is)\bPACKAGE\s+BODY\b.*", ""), F.lit(_HEADER), F.lit(1))
+    found = lines.select(*_UNIT, "type", "line", F.posexplode(headers).alias("place", "header"))
+    bodies = lines.filter(_text("text").rlike(body)).groupBy(*_UNIT).agg(F.min(F.struct("type", "line")).alias("body"))
+    in_spec = F.coalesce(F.struct("type", "line") <= F.col("body"), F.lit(True))
+    spec = found.join(bodies, _UNIT, "left").filter(in_spec)
+    words = F.split(F.upper(F.trim("header")), r"\s+")
+    spec = spec.select(*_UNIT, F.struct("type", "line", "place").alias("position"), words[1].alias("routine"), words[0].alias("kind"))
+    first = spec.groupBy(*_UNIT, "routine").agg(F.min(F.struct("position", "kind")).alias("first"))
+    return first.select(*_UNIT, "routine", "first.position", F.col("first.kind").alias("routine_kind"))
+
+
+def routine_references_in_lines(lines: DataFrame, identifiers: DataFrame, *, lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:
+    """(owner, name, routine, identifier) as ``routine_references``.
+
+    Words meet the identifiers where the lines lie. What is left, the hits and the headers, is put in order by blocks
+    of lines: the last header before a hit is looked for in its block, and before its block among the blocks' last
+    headers, so a unit of any length is many tasks.
+    """
+    header = r"(?i)^\s*(?:PROCEDURE|FUNCTION)\s+([A-Za-z][A-Za-z0-9_$#]*)"
+    cut = F.split(_text("text"), r"(?im)(?=^[ \t]*(?:PROCEDURE|FUNCTION)\s+[A-Za-z])")
+    parts = lines.select(*_UNIT, "type", "line", F.posexplode(cut).alias("place", "part"))
+    place = F.struct("type", "line", "place").alias("at")
+    routine = F.nullif(F.upper(F.regexp_extract("part", header, 1)), F.lit(""))
+    block = F.floor(F.col("line") / lines_per_block).alias("block")
+    parts = parts.select(*_UNIT, "type", block, place, routine.alias("routine"), F.regexp_replace("part", header, "").alias("body"))
+    unit_block = [*_UNIT, "type", "block"]
+    # a header comes along as a word that no identifier is, and each like no other, so that none is a hot key
+    mark = F.concat(F.lit(_MARK), F.col("at.line").cast("string"), F.lit(":"), F.col("name"))
+    words = F.concat(F.when(F.col("routine").isNotNull(), F.array(mark)).otherwise(F.array().cast("array<string>")), _distinct_words(F.col("body")))
+    events = parts.select(*unit_block, "at", "routine", F.explode(words).alias("word")).join(_wanted(identifiers), "word", "left")
+    events = events.filter(F.col("identifier").isNotNull() | F.startswith("word", F.lit(_MARK))).drop("word")
+    in_block = W.partitionBy(*unit_block).orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    placed = events.withColumn("routine", F.last("routine", ignorenulls=True).over(in_block))
+    hits = placed.filter("identifier is not null")
+    # before the block: the last header of each block, carried along the blocks of the unit
+    # (all columns of ``placed`` are used here as in the hits, so that both read one exchange)
+    last = F.max(F.when(F.col("routine").isNotNull(), F.struct("at", "routine", "identifier")))
+    ends = placed.groupBy(*unit_block).agg(last.alias("last"))
+    along = W.partitionBy(*_UNIT).orderBy("type", "block").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*unit_block, F.last("last.routine", ignorenulls=True).over(along).alias("carried"))
+    found = hits.join(carried, unit_block, "left").withColumn("routine", F.coalesce("routine", "carried"))
+    return found.filter("routine is not null").select(*_UNIT, "routine", "identifier").distinct()
+
+
+def usages_in_lines(lines: DataFrame, identifiers: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """(identifier, owner, name) of units that mention an identifier, as ``usages``."""
+    words = lines.select(*_UNIT, F.explode(_distinct_words(_text("text"))).alias("word"))
+    found = words.join(_wanted(identifiers), "word").filter(F.lower("name") != F.col("word"))
+    return _without_own(found, packages).select("identifier", *_UNIT).distinct()
+
+
+def _without_own(found: DataFrame, packages: DataFrame | None) -> DataFrame:
+    if packages is None:
+        return found
+    own = packages.select(F.lower("identifier").alias("word"), F.lower("package").alias("unit")).distinct()
+    return found.withColumn("unit", F.lower("name")).join(own, ["word", "unit"], "left_anti")
+
+
 def _wanted(identifiers: DataFrame) -> DataFrame:
     """(word, identifier): identifiers by their lower-case form, each form once."""
     return identifiers.groupBy(F.lower("identifier").alias("word")).agg(F.min("identifier").alias("identifier"))
@@ -75,7 +147,7 @@ def _distinct_words(text: Column) -> Column:
 
         return F.flatten(F.transform(ends, from_word))
 
-    special = F.when(lower.rlike("[$#]"), F.flatten(F.transform(joined, stretches))).otherwise(F.array().cast("array<string>"))
+    special = F.when(F.contains(lower, F.lit("$")) | F.contains(lower, F.lit("#")), F.flatten(F.transform(joined, stretches))).otherwise(F.array().cast("array<string>"))
     return F.array_union(plain, special)
 
 
@@ -88,10 +160,7 @@ def usages(units: DataFrame, identifiers: DataFrame, packages: DataFrame | None
     """
     words = units.select("owner", "name", "kind", F.explode(_distinct_words(_text())).alias("word"))
     found = words.join(_wanted(identifiers), "word").filter(F.lower("name") != F.col("word"))
-    if packages is not None:
-        own = packages.select(F.lower("identifier").alias("word"), F.lower("package").alias("unit")).distinct()
-        found = found.withColumn("unit", F.lower("name")).join(own, ["word", "unit"], "left_anti")
-    return found.select("identifier", "owner", "name", "kind")
+    return _without_own(found, packages).select("identifier", "owner", "name", "kind")
 
 
 def referenced_tables(queries: DataFrame) -> DataFrame:

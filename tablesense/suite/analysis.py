@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tablesense.functions.grading import count_or_zero
 from tablesense.operators import deps, evaluate, fanout, meaning
 from tablesense.plans import fk_discovery
-from tablesense.sources.programs import assemble_source
 from tablesense.sources.tables import capped, local_rows, settled
 from tablesense.suite import estate as given_tables
 from tablesense.suite.estate import COMMENTS, KEYS, OWNERS, TRUTH, table
@@ -183,8 +182,8 @@ def table_doc_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ source texts
 
 
-def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as packages: every line declares a routine for its part, whose body updates its supplier.
+def _package_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source lines of orders as packages: every line declares a routine for its part, whose body updates its supplier.
 
     The routines are declared in the specification; the body of the package follows.
     """
@@ -208,8 +207,7 @@ def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         owner, F.concat(F.lit("PKG_"), "o_orderkey").alias("name"), F.lit("PACKAGE BODY").alias("type"),
         F.lit(-1).cast("bigint").alias("line"), F.lit("PACKAGE BODY\n").alias("text"),
     )
-    # Line numbers are sparse here: a stretch is all lines of one line number.
-    return assemble_source(written.unionByName(start), {"PACKAGE": "PACKAGE"}, lines_per_stretch=1000000000)
+    return written.unionByName(start)
 
 
 _LINES = (
@@ -226,12 +224,12 @@ _LINES = (
 )
 def declared_routines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every package declares, in order, overloads once."""
-    found = deps.declared_routines(_packages(spark, sf_dir))
+    found = deps.declared_routines_in_lines(_package_lines(spark, sf_dir))
     place = F.row_number().over(W.partitionBy("name").orderBy("position"))
     return found.select("name", "routine", place.alias("place"), "routine_kind")
 
 
-_SUPPLIERS = "(SELECT 'supp_' || s_suppkey AS identifier FROM supplier WHERE s_acctbal < 1000)"
+_SUPPLIERS = "(SELECT 'supp_' || s_suppkey AS identifier FROM supplier)"
 
 
 @query(
@@ -239,9 +237,10 @@ _SUPPLIERS = "(SELECT 'supp_' || s_suppkey AS identifier FROM supplier WHERE s_a
     f"SELECT DISTINCT name, routine, 'supp_' || l_suppkey AS identifier FROM ({_LINES}) WHERE 'supp_' || l_suppkey IN (SELECT identifier FROM {_SUPPLIERS})",
 )
 def routine_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which routine of which package touches which of the poorer suppliers."""
-    suppliers = table(spark, sf_dir, "supplier").filter("s_acctbal < 1000").select(F.concat(F.lit("supp_"), "s_suppkey").alias("identifier"))
-    return deps.routine_references(_packages(spark, sf_dir), suppliers).select("name", "routine", "identifier")
+    """Which routine of which package touches which supplier."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supp_"), "s_suppkey").alias("identifier"))
+    # line numbers are sparse here: a block is all lines of one line number
+    return deps.routine_references_in_lines(_package_lines(spark, sf_dir), suppliers, lines_per_block=1000000000).select("name", "routine", "identifier")
 
 
 @query(
@@ -253,7 +252,7 @@ def identifier_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All packages against all suppliers at once: who uses what."""
     suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supp_"), "s_suppkey").alias("identifier"))
     extra = local_rows(spark, [("package",), ("nowhere",)], "identifier string")
-    found = deps.usages(_packages(spark, sf_dir), suppliers.unionByName(extra))
+    found = deps.usages_in_lines(_package_lines(spark, sf_dir), suppliers.unionByName(extra))
     return found.groupBy("identifier").agg(F.count(F.lit(1)).alias("n_units"))
 
 

@@ -98,12 +98,15 @@ BODY = (
 )
 
 
-def units(make):
+def source_lines(make):
     lines = [("S", "P", "PACKAGE", i, t + "\n") for i, t in enumerate(SPEC.splitlines())]
     lines += [("S", "P", "PACKAGE BODY", i, t + "\n") for i, t in enumerate(BODY.splitlines())]
     lines += [("S", "LOANS", "PROCEDURE", 1, "begin loans; end;")]
-    frame = make(list(reversed(lines)), "owner string, name string, type string, line int, text string")
-    return programs.assemble_source(frame, {"PACKAGE": "PACKAGE", "PROCEDURE": "PROCEDURE"})
+    return make(list(reversed(lines)), "owner string, name string, type string, line int, text string")
+
+
+def units(make):
+    return programs.assemble_source(source_lines(make), {"PACKAGE": "PACKAGE", "PROCEDURE": "PROCEDURE"})
 
 
 def test_sources_are_assembled_in_order(make):
@@ -177,3 +180,33 @@ def test_usages_find_names_with_marks_within_longer_names(make):
     assert found == {("A$B", "USER1"), ("B$C", "USER1"), ("A$B$C", "USER1"), ("A$B", "PKG"), ("x#y_1", "PKG")}
     own = make([("A$B", "PKG")], "identifier string, package string")
     assert ("A$B", "PKG") not in {(r["identifier"], r["name"]) for r in deps.usages(whole, names, own).collect()}
+
+
+def test_lines_give_what_units_give(make):
+    lines, whole = source_lines(make), units(make)
+    names = make([("LOANS",), ("Loans_Archive",), ("begin",), ("return",), ("end",)], "identifier string")
+    found = deps.declared_routines_in_lines(lines).orderBy("position").collect()
+    assert [(r["routine"], r["routine_kind"]) for r in found] == [("OPEN_IT", "PROCEDURE"), ("BALANCE", "FUNCTION")]
+    want = {tuple(r) for r in deps.routine_references(whole, names).collect()}
+    for block in (1, 2, 3, 10_000):
+        assert {tuple(r) for r in deps.routine_references_in_lines(lines, names, lines_per_block=block).collect()} == want
+    users = {(r["identifier"], r["name"]) for r in deps.usages(whole, names).collect()}
+    assert {(r["identifier"], r["name"]) for r in deps.usages_in_lines(lines, names).collect()} == users
+
+
+def test_a_long_unit_is_scanned_in_blocks(spark):
+    """Each routine's name is found some thousand lines above its only mention, over many blocks; lines may be null."""
+    text = (
+        "case when id % 5000 = 0 then concat('  Procedure r', id div 5000, ' is x', id div 5000, '\\n') when id % 5000 = 4999 then 'call target;' "
+        "when id = 60001 then 'PACKAGE body; function late return t' when id % 7 = 0 then null else 'null;' end"
+    )
+    lines = spark.range(0, 100_000, 1, 4).selectExpr("'S' as owner", "'BIG' as name", "if(id < 60000, 'PACKAGE', 'PACKAGE BODY') as type", "id as line", f"{text} as text")
+    names = spark.createDataFrame([("TARGET",), ("x3",)], "identifier string")
+    found = {(r["routine"], r["identifier"]) for r in deps.routine_references_in_lines(lines, names, lines_per_block=700).collect()}
+    assert found == {(f"R{i}", "TARGET") for i in range(20)} | {("R3", "x3")}
+    declared = [r["routine"] for r in deps.declared_routines_in_lines(lines).orderBy("position").collect()]
+    assert declared == [f"R{i}" for i in range(13)]  # up to the words package body, in a line of their own type
+    empty = lines.limit(0)
+    assert deps.declared_routines_in_lines(empty).count() == deps.routine_references_in_lines(empty, names).count() == deps.usages_in_lines(empty, names).count() == 0
+    plan = deps.routine_references_in_lines(lines, names)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
