@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,12 +41,17 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 MAIN, OPEN, SHELL = 0, 1, 2
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
+STOP = re.compile("[>\"']")
+OPENS = re.compile("/?[a-zA-Z]")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+HUMP = re.compile(r"([a-z0-9])([A-Z])")
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 PART = re.compile(r"[a-z0-9]+")
 KEPT, NAMED_OUT, OUT = 0, 1, 2
 
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "textarea", "title", "select", "audio", "video", "noembed", "noframes", "xmp"}
+CODE = {"script", "style"}
+"""Without an end tag these take the rest of the page; other raw elements without one are empty."""
+RAW = CODE | {"noscript", "template", "iframe", "svg", "canvas", "object", "textarea", "title", "select", "audio", "video", "noembed", "noframes", "xmp"}
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -54,13 +60,13 @@ VOID = {"hr"}
 NEVER = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "head", "search", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMES = set(
-    "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner nav navbar navigation "
-    "menu menus breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
+    "ad ads adbox adslot adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner nav navbar navigation "
+    "menu menus breadcrumb breadcrumbs sidebar aside footer cookie cookies cookiebar cookiebanner consent gdpr notice notices notification alert popup modal overlay newsletter "
     "subscribe subscription signup login comment comments commentlist disqus reply replies respond share sharing social related recommended pagination "
     "pager toolbar skip widget".split()
 )
 PAGE_HEADER = {"header", "masthead", "topbar"}
-NEUTRAL = {"site", "page", "main", "top", "bottom", "left", "right", "box", "bar", "container", "wrapper", "block", "list", "area", "link", "links", "form", "slot", "unit", "button", "buttons", "icons", "posts", "item", "items"}
+NEUTRAL = {"site", "page", "main", "top", "bottom", "left", "right", "box", "bar", "container", "wrapper", "block", "list", "area", "link", "links", "form", "user", "thread", "article", "content", "google", "section", "slot", "unit", "button", "buttons", "icons", "posts", "item", "items"}
 """Words that may stand beside a name in a compound: site-footer, but not has-sidebar or notice-period."""
 TEXTS = set("h1 h2 h3 h4 h5 h6 p pre blockquote li dl dt dd table caption thead tbody tfoot tr td th figure figcaption".split())
 """Within main, ids of these are places to link to."""
@@ -91,7 +97,7 @@ def _aside(tag: str, attributes: str, in_main: bool) -> int:
         return KEPT
     kind = KEPT
     for m in NAMED.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, value = m[1].lower(), HUMP.sub(r"\1-\2", m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true":
             return OUT
         if name == "role" and value in ROLES:
@@ -106,6 +112,78 @@ def _aside(tag: str, attributes: str, in_main: bool) -> int:
     return kind
 
 
+class _Tags:
+    """The tags of a page in order, in time linear in its length.
+
+    A tag ends at the first ``>`` outside quotes. A scan that meets no such end is the same from each quote on that it
+    opened, so these are remembered, and later scans that open one of them stop there.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.dead = source, set()
+        self.gap = (0, -1)
+        """The last stretch searched, and the stop at its end."""
+        self.last = {c: source.rfind(c) for c in "\"'>"}
+        self.missing: set[str] = set()
+
+    def _stop(self, at: int) -> int:
+        if not self.gap[0] <= at <= self.gap[1]:
+            m = STOP.search(self.source, at)
+            self.gap = (at, m.start() if m else len(self.source))
+        return self.gap[1]
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose inner text begins at ``at``, or -1."""
+        opened = []
+        while (stop := self._stop(at)) <= self.last[">"]:
+            quote = self.source[stop]
+            if quote == ">":
+                return stop
+            if stop in self.dead:
+                break
+            opened.append(stop)
+            if self.last[quote] <= stop:
+                break
+            at = self.source.index(quote, stop + 1) + 1
+        self.dead.update(opened)
+        return -1
+
+    def _after(self, at: int, mark: str) -> int:
+        found = self.source.find(mark, at)
+        return len(self.source) if found < 0 else found + len(mark)
+
+    def __iter__(self):
+        """(start, end, closing, name, attributes); comments and declarations have no name, raw elements end with their content."""
+        source, at = self.source, 0
+        while (start := source.find("<", at)) >= 0:
+            at = start + 1
+            if source.startswith("<!--", start):
+                at = self._after(start + 4, "-->")
+                yield start, at, "", "", ""
+            elif source.startswith("<![CDATA[", start):
+                at = self._after(start + 9, "]]>")
+                yield start, at, "", "", ""
+            elif source.startswith(("<!", "<?"), start):
+                if at <= self.last[">"]:
+                    at = self._after(at, ">")
+                    yield start, at, "", "", ""
+            elif OPENS.match(source, at) and (end := self._end(at)) >= 0:
+                name = NAME.match(source, at, end)
+                at, tag = end + 1, name[2].lower()
+                if tag in RAW and not name[1] and not source.endswith("/", name.end(), end):
+                    at = self._raw_end(tag, at)
+                yield start, at, name[1], tag, source[name.end() : end]
+
+    def _raw_end(self, tag: str, at: int) -> int:
+        """Where the end tag of a raw element begins that opened before ``at``."""
+        if tag not in self.missing:
+            m = re.compile(rf"</{tag}(?![^\s/>])", re.IGNORECASE).search(self.source, at)
+            if m:
+                return m.start()
+            self.missing.add(tag)
+        return len(self.source) if tag in CODE else at
+
+
 def page_blocks(source: str | None) -> list[tuple[int, str]]:
     """(zone, text) of the blocks of a page in order: references decoded, white space made one space, no empty ones.
 
@@ -115,10 +193,11 @@ def page_blocks(source: str | None) -> list[tuple[int, str]]:
     """
     source = source or ""
     stack: list[_Open] = []
+    opened = Counter()
     found: list[tuple[bool, bool, bool, str]] = []
     text: list[str] = []
     nothing = _Open("", False, False, False, False)
-    at, skip = 0, None
+    at = 0
 
     def close_block() -> None:
         if text:
@@ -128,40 +207,34 @@ def page_blocks(source: str | None) -> list[tuple[int, str]]:
                 top = stack[-1] if stack else nothing
                 found.append((top.out or top.named, top.main, top.lent, words))
 
-    for m in TAG.finditer(source):
-        if skip is not None:
-            if m[2] and m[1] and m[2].lower() == skip:
-                skip = None
-            else:
-                continue
-        elif m.start() > at:
-            text.append(html.unescape(source[at : m.start()]))
-        at = m.end()
-        if not m[2]:
+    for start, end, closing, tag, attributes in _Tags(source):
+        if start > at:
+            text.append(html.unescape(source[at:start]))
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
         if tag in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                skip = tag
             text.append(" ")
         elif tag == "br":
             text.append(" ")
         elif tag in BLOCKS:
             close_block()
-            if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
+            if closing:
+                while opened[tag]:
+                    last = stack.pop().tag
+                    opened[last] -= 1
+                    if last == tag:
                         break
             elif tag not in VOID:
                 while stack and (stack[-1].tag == "p" or tag == "body" and stack[-1].tag == "head" or tag == "li" and stack[-1].tag == "li"):
-                    stack.pop()
+                    opened[stack.pop().tag] -= 1
                 above = stack[-1] if stack else nothing
-                kind, begins = _aside(tag, m[3], above.main), tag in ("article", "main") or 'role="main"' in m[3]
+                kind, begins = _aside(tag, attributes, above.main), tag in ("article", "main") or 'role="main"' in attributes
                 lent = above.lent or begins and above.named and not above.main
                 named = kind == NAMED_OUT or above.named and not (begins and not above.main)
+                opened[tag] += 1
                 stack.append(_Open(tag, above.out or kind == OUT, named, above.main or begins, lent))
-    if skip is None and at < len(source):
+    if at < len(source):
         rest = source[at:]
         cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that never ends
         text.append(html.unescape(rest[: cut.start()] if cut else rest))

@@ -10,11 +10,11 @@ A repeated run counts from ``min_chars`` characters on. For every suffix the sho
 characters has ``m`` lines; suffixes with the same first ``m`` lines are one interval of the suffix array with
 a longest common prefix of at least ``m``. They have equal ranks over their first and their last 2^k lines, 2^k
 being the largest power in ``m``. In each interval the first place in order of (doc_id, line) stays, all others
-lose these lines. By this rule, which is also that of the checking SQL, the last lines of a repeated run may stay:
-where fewer than ``min_chars`` characters of the run are left, the stretch from a line runs past its end.
+lose these lines. By this rule alone the last lines of a repeated run may stay: where fewer than ``min_chars``
+characters of the run are left, the stretch from a line runs past its end.
 
-With ``whole_runs`` the shortest stretch of ``min_chars`` characters that ends at each line is matched too, by the
-same ranks. A line of a maximal repeated run has that many characters of the run behind it, or lies in the stretch
+With ``whole_runs``, which the query and its SQL take, the shortest stretch of ``min_chars`` characters that ends at
+each line is matched too, by the same ranks. A line of a maximal repeated run has that many characters of the run behind it, or lies in the stretch
 that ends with the run, so the run goes as a whole.
 """
 
@@ -148,6 +148,9 @@ WITH lines AS (
     SELECT a.doc_id, a.pos, count(*) AS m, string_agg(b.line, chr(10) ORDER BY b.pos) AS run
     FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.before - a.before < {MIN_CHARS}
     WHERE a.total - a.before >= {MIN_CHARS} GROUP BY a.doc_id, a.pos
+    UNION SELECT a.doc_id, min(b.pos), count(*), string_agg(b.line, chr(10) ORDER BY b.pos)
+    FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.pos <= a.pos AND a.before + length(a.line) - b.before - length(b.line) < {MIN_CHARS}
+    WHERE a.before + length(a.line) >= {MIN_CHARS} GROUP BY a.doc_id, a.pos
 ), marked AS (
     SELECT doc_id, pos, m, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM starts
 ), gone AS (

@@ -3,6 +3,9 @@
 import datetime as dt
 import hashlib
 import random
+import time
+
+import pytest
 
 from tablesense.llm import decontamination, fingerprints, html_extraction, line_dedup, url_filters
 
@@ -236,3 +239,24 @@ def test_lists_of_top_level_domains_and_capitals(make):
     captures = make([(i, u, start) for i, (u, _) in enumerate(asked)], "capture long, url string, at timestamp")
     found = {r["url"]: r["blocked"] for r in url_filters.evaluate(captures, entries).collect()}
     assert found == dict(asked)
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '\"", "<a ", "<a\"'", "<!", "</", "<svg>", "<object><", "<div></p>", '<a "x\' '])
+def test_hostile_pages_take_linear_time(piece):
+    start = time.time()
+    assert html_extraction.page_blocks("<article><p>one two" + piece * (3_000_000 // len(piece)) + ">")
+    assert time.time() - start < 20
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("a <math><mi>x</mi></math> b", "a x b"), ("a <svg> b</p><p>c", "a b\nc"), ("a <svg><text>no</text></svg> b", "a b"),
+        ("a <object data=x> b", "a b"), ("a <canvas/> b", "a b"), ("a <script>if (x < '</p>') {}</script> b", "a b"), ("1 < 2 <b title='>'>c</b>", "1 < 2 c"),
+        ("a <script>never closed", "a"),
+        ("a</p><div class='user-comments'>no</div><div class='commentThread'>no</div><div class='google-ads'>no</div><div id='cookiebar'>no</div><p>b", "a\nb"),
+    ],
+)
+def test_texts_of_articles(inner, text):
+    blocks = html_extraction.page_blocks(f"<nav>menu</nav><article><p>{inner}</p></article><footer>end</footer>")
+    assert "\n".join(words for zone, words in blocks if zone == html_extraction.MAIN) == text
