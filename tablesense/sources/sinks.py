@@ -41,6 +41,16 @@ def write_csv(df: DataFrame, path: str) -> None:
         lines.write.mode("overwrite").option("lineSep", "\r\n").text(os.path.join(path, name))
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of a written grid; cells keep their line breaks and quotes, empty cells are null.
+
+    A row whose only cell is empty is an empty line and is not read. Quoted line breaks keep a part from being
+    split, so parallelism is that of the parts written.
+    """
+    options = {"multiLine": True, "quote": '"', "escape": '"', "header": False, "lineSep": "\r\n", "mode": "FAILFAST"}
+    return spark.read.schema(schema).options(**options).csv(os.path.join(path, "rows"))
+
+
 def csv_cell_list(values: Sequence[str]) -> Column:
     return F.array_join(F.array(*[csv_cell(F.lit(v)) for v in values]), ",")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablesense.functions.names import name_contains, type_signature
@@ -9,6 +12,7 @@ from tablesense.operators import findings, logroles, meaning
 from tablesense.operators.inclusion import inclusion
 from tablesense.plans import fk_discovery
 from tablesense.plans.table_profile import profile_estate
+from tablesense.session import shared_dir
 from tablesense.sources import catalog, programs, sinks
 from tablesense.sources.tables import local_rows, settled
 from tablesense.suite import estate as given_tables
@@ -223,15 +227,29 @@ def program_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "kind", "summary", "status")
 
 
+def _sink_folder(spark: SparkSession, name: str) -> str:
+    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 @query(
     "S9",
     "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders",
 )
 def report_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows written as JSON text and read back by their schema."""
+    """A report of one frame, written as JSON files and read back by its schema."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    text = rows.select(F.to_json(F.struct("*")).alias("json"))
-    return text.select(F.from_json("json", rows.schema.simpleString()).alias("r")).select("r.*")
+    path = _sink_folder(spark, "report")
+    sinks.write_report({"orders": rows}, path)
+    return sinks.read_report(spark, path, {"orders": rows.schema})["orders"]
+
+
+@query("S10", "SELECT conv_id, turn, role, nullif(text, '') AS text FROM conversations")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns, line breaks and quotes included, written as CSV files and read back; empty cells become null."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    path = _sink_folder(spark, "turns")
+    sinks.write_csv(turns, path)
+    return sinks.read_csv(spark, path, turns.schema)
 
 
 def _cell_sql(col: str) -> str:

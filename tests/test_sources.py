@@ -210,3 +210,16 @@ def test_a_long_unit_is_scanned_in_blocks(spark):
     assert deps.declared_routines_in_lines(empty).count() == deps.routine_references_in_lines(empty, names).count() == deps.usages_in_lines(empty, names).count() == 0
     plan = deps.routine_references_in_lines(lines, names)._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_csv_files_round_trip(spark, make, tmp_path):
+    rows = [
+        (1, 'a\nb "q", c', "x"), (2, None, "l\r\nast\n"), (3, "", "plain"), (4, " lead ", "tail "), (5, '\\"esc\\', "#c"),
+        (6, "ü\r", "\n"), (7, '"', '"""'), (None, "x\\", "y"), (1, 'a\nb "q", c', "x"), (8, "long " * 50_000, ","),
+    ]
+    schema = "a long, b string, line string"
+    sinks.write_csv(make(rows, schema).repartition(3), str(tmp_path / "grid"))
+    found = [tuple(r) for r in sinks.read_csv(spark, str(tmp_path / "grid"), schema).collect()]
+    assert sorted(found, key=str) == sorted(((a, b or None, c) for a, b, c in rows), key=str)
+    sinks.write_csv(make([], schema), str(tmp_path / "empty"))
+    assert sinks.read_csv(spark, str(tmp_path / "empty"), schema).count() == 0
