@@ -11,7 +11,7 @@ from tablesense.functions.names import base_type, trailing_token
 from tablesense.operators import candidates as rules
 from tablesense.operators.inclusion import MEASURE_TYPES, MEASURES, inclusion
 from tablesense.sources.catalog import Estate
-from tablesense.sources.tables import settled
+from tablesense.sources.tables import local_rows, settled
 
 RELATIONSHIP = [
     "owner", "table", "columns", "parent_owner", "parent_table", "parent_columns", "declared",
@@ -167,3 +167,16 @@ def declared(constraints: DataFrame) -> DataFrame:
     )
 
 
+def relationships(estate: Estate, **which) -> DataFrame:
+    """Declared references, with their overlap and orphans measured, and the undeclared ones that ``discover`` finds.
+
+    Columns with a declared reference get no second one. A declared reference to a table outside the estate stays unmeasured.
+    """
+    pair = ["owner", "table", "columns", "parent_owner", "parent_table", "parent_columns"]
+    stated = declared(estate.constraints())
+    names = local_rows(estate.spark, estate.keys(), "parent_owner string, parent_table string")
+    here = stated.join(names, ["parent_owner", "parent_table"], "left_semi").select(*pair).distinct()
+    figures = inclusion({k: s.rows for k, s in estate.sources.items()}, here).select(*pair, "overlap", "orphan_rows")
+    measured = stated.drop("overlap", "orphan_rows").join(figures, pair, "left")
+    found = discover(estate, **which)
+    return measured.select(*found.columns).unionByName(found)

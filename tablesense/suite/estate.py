@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -163,3 +164,22 @@ def with_measured_lengths(columns: DataFrame, estate: Estate) -> DataFrame:
         measured = measured.unionByName(part)
     joined = columns.join(measured, ["owner", "table", "column"], "left")
     return joined.withColumn("length", F.coalesce("measured", "length")).select(*columns.columns)
+
+
+def staff_with_declared_keys(spark: SparkSession, sf_dir: str) -> Estate:
+    """``staff`` with two references declared, one of them to another owner, and claims that refer to order lines by two columns."""
+    plain = staff(spark, sf_dir).sources
+    lines = table(spark, sf_dir, "lineitem")
+    keys = F.col("l_orderkey").alias("order_number"), F.col("l_linenumber").alias("line_number")
+    place = ("order_number", "line_number")
+    employees, contacts = plain["HR", "employees"], plain["EXT", "contacts"]
+    return Estate(spark, {
+        ("HR", "departments"): plain["HR", "departments"],
+        ("HR", "employees"): replace(employees, foreign_keys=((("department_id",), "HR", "departments", ("department_id",)),)),
+        ("EXT", "contacts"): replace(contacts, foreign_keys=((("rep_id",), "HR", "employees", ("employee_id",)),)),
+        ("EXT", "order_lines"): Source(lines.where("l_quantity > 1").select(*keys), primary_key=place),
+        ("EXT", "claims"): Source(
+            lines.where("l_returnflag = 'R'").select(*keys, F.col("l_extendedprice").alias("amount")),
+            foreign_keys=((place, "EXT", "order_lines", place),),
+        ),
+    })

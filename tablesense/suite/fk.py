@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tablesense.operators import candidates as rules
+from tablesense.operators import candidates as rules, findings
 from tablesense.operators.inclusion import inclusion, orphan_rows, overlap
 from tablesense.plans import fk_discovery as discovery
 from tablesense.sources.catalog import Estate
-from tablesense.sources.tables import local_rows
+from tablesense.sources.tables import local_rows, settled
 from tablesense.suite import estate as given_tables
 from tablesense.suite.estate import KEYS, OWNERS, table
 from tablesense.suite.registry import query
@@ -367,3 +367,44 @@ def known_empty_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
             "child_rows",
         )
     )
+
+
+# ------------------------------------------------------------------ declared keys
+
+_EMPLOYEES = "(SELECT s_suppkey AS employee_id, s_suppkey - s_suppkey % 3 AS manager_id, s_nationkey AS department_id FROM supplier)"
+_CONTACTS = "(SELECT c_custkey % 97 AS rep_id, c_nationkey AS department_id FROM customer)"
+_DEPARTMENTS = "(SELECT n_nationkey AS department_id FROM nation)"
+_LINE_KEY = "l_orderkey AS order_number, l_linenumber AS line_number FROM lineitem"
+_CLAIMS, _ORDER_LINES = f"(SELECT {_LINE_KEY} WHERE l_returnflag = 'R')", f"(SELECT {_LINE_KEY} WHERE l_quantity > 1)"
+_STATED = [
+    # child, columns, parent, key, declared, child rows, parent rows
+    ("HR.employees", "department_id", "HR.departments", "department_id", True, _EMPLOYEES, _DEPARTMENTS),
+    ("EXT.contacts", "rep_id", "HR.employees", "employee_id", True, _CONTACTS, _EMPLOYEES),
+    ("EXT.claims", "order_number+line_number", "EXT.order_lines", "order_number+line_number", True, _CLAIMS, _ORDER_LINES),
+    ("HR.employees", "manager_id", "HR.employees", "employee_id", False, _EMPLOYEES, _EMPLOYEES),
+    ("EXT.contacts", "department_id", "HR.departments", "department_id", False, _CONTACTS, _DEPARTMENTS),
+]
+_STATED_SQL = " UNION ALL ".join(
+    f"SELECT '{child}' AS child, '{cols}' AS columns, '{parent}' AS parent, {str(known).upper()} AS declared, overlap, orphan_rows "
+    f"FROM ({_overlap_sql(child_sql, cols.split('+'), parent_sql, key.split('+'))})" + ("" if known else " WHERE overlap >= 0.85")
+    for child, cols, parent, key, known, child_sql, parent_sql in _STATED
+)
+
+
+@query("J10 J13", _STATED_SQL)
+def declared_and_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared references beside the found ones, all measured; columns of a declared one get no other."""
+    found = discovery.relationships(given_tables.staff_with_declared_keys(spark, sf_dir))
+    return found.select(
+        F.concat_ws(".", "owner", "table").alias("child"), F.array_join("columns", "+").alias("columns"),
+        F.concat_ws(".", "parent_owner", "parent_table").alias("parent"), "declared", "overlap", "orphan_rows",
+    )
+
+
+@query("A25 J10", f"SELECT count(*) FILTER (declared) AS declared, count(*) FILTER (NOT declared) AS inferred, CAST(5 AS BIGINT) AS tables, "
+       f"count(*) FILTER (NOT declared) + count(*) FILTER (NOT declared AND orphan_rows > 0) AS findings FROM ({_STATED_SQL})")
+def declared_report_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a report over an estate with declared keys: found keys and their orphans are findings, declared ones are not."""
+    estate = given_tables.staff_with_declared_keys(spark, sf_dir)
+    found = settled(discovery.relationships(estate))
+    return findings.report_counters(estate.tables(), found, findings.relationship_findings(found))

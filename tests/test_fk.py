@@ -258,3 +258,22 @@ def test_a_column_is_text_to_one_parent_and_a_number_to_another(spark, make):
     candidates = local_rows(spark, [("S", a, ["v"], "S", b, ["v"]) for a, b in pairs], schema)
     found = {(r["table"], r["parent_table"]): (r["distinct_total"], r["matched"], r["orphan_rows"]) for r in inclusion(tables, candidates).collect()}
     assert found == {("C", "N"): (3, 2, 1), ("C", "T"): (3, 1, 2), ("T", "C"): (3, 1, 2), ("N", "C"): (2, 2, 0)}
+
+
+def test_declared_references_are_measured_and_come_before_found_ones(estate):
+    """A single key, a composite one, one to another owner, one out of reach, the same one declared twice; an empty child."""
+    pair = ("K1", "K2")
+    sources = estate({
+        ("A", "P"): ([(1,), (2,)], "P_ID int", {"primary_key": ("P_ID",)}),
+        ("A", "Q"): ([(1, 1), (1, 2)], "K1 int, K2 int", {"primary_key": pair}),
+        ("B", "C"): ([(1, 1, 1, 2), (2, 1, 9, 2), (7, 1, 2, 2), (None, None, 2, 1)], "P_ID int, K1 int, K2 int, OTHER_P_ID int", {"foreign_keys": (
+            (("P_ID",), "A", "P", ("P_ID",)), (("P_ID",), "A", "P", ("P_ID",)), (pair, "A", "Q", pair), (("K1",), "Z", "GONE", ("X",)),
+        )}),
+        ("B", "E"): ([], "P_ID int", {"foreign_keys": ((("P_ID",), "A", "P", ("P_ID",)),)}),
+    })
+    rows = fk_discovery.relationships(sources, threshold=0.5).collect()
+    seen = sorted((r["table"], tuple(r["columns"]), r["parent_table"], r["declared"], r["orphan_rows"] or 0) for r in rows)
+    assert seen == [
+        ("C", ("K1",), "GONE", True, 0), ("C", ("K1", "K2"), "Q", True, 1), ("C", ("OTHER_P_ID",), "P", False, 0),
+        ("C", ("P_ID",), "P", True, 1), ("C", ("P_ID",), "P", True, 1), ("E", ("P_ID",), "P", True, 0),
+    ]
