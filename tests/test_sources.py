@@ -223,3 +223,25 @@ def test_csv_files_round_trip(spark, make, tmp_path):
     assert sorted(found, key=str) == sorted(((a, b or None, c) for a, b, c in rows), key=str)
     sinks.write_csv(make([], schema), str(tmp_path / "empty"))
     assert sinks.read_csv(spark, str(tmp_path / "empty"), schema).count() == 0
+
+
+def test_rows_of_a_word_in_every_script_are_dealt_out(spark):
+    """All scripts name E.X: no task gets a large part of their rows, and the result is that of a plain check."""
+    scripts = spark.range(4000).selectExpr("id as script", "concat('select e.x, e.y', id % 3, ', q.z', id, ' from pkg_', id % 5, '.run()') as code")
+    known = spark.createDataFrame([("Y1",), ("z7",)], "name string")
+    programs = spark.createDataFrame([("PKG_0",), ("PKG_1",), ("pkg_2",), ("PKG_3",), ("PKG_4",), ("Q",)], "name string")
+    want = {(i, "X") for i in range(4000)} | {(i, f"Y{i % 3}") for i in range(4000) if i % 3 != 1}
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for hot_rows in (100, 1_000_000):
+            found = [tuple(r) for r in deps.unknown_references(scripts, known, programs, hot_rows=hot_rows).collect()]
+            assert len(found) == len(want) and set(found) == want
+        rows = deps.unresolved(scripts, known, programs, hot_rows=100)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 0.4 * sum(sizes)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
