@@ -52,7 +52,6 @@ LINES_PER_BLOCK = 10_000
 HOT_ROWS = 100_000
 """A word that stands in so many pairs is looked up by broadcast, for its rows would all meet in one task."""
 _UNIT = ["owner", "name"]
-_MARK = "\0"
 
 
 def declared_routines_in_lines(lines: DataFrame) -> DataFrame:
@@ -75,23 +74,30 @@ def declared_routines_in_lines(lines: DataFrame) -> DataFrame:
 def routine_references_in_lines(lines: DataFrame, identifiers: DataFrame, *, lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:
     """(owner, name, routine, identifier) as ``routine_references``.
 
-    Words meet the identifiers where the lines lie. What is left, the hits and the headers, is put in order by blocks
-    of lines: the last header before a hit is looked for in its block, and before its block among the blocks' last
-    headers, so a unit of any length is many tasks.
+    Words meet the identifiers where the lines lie. A hit behind a header in its own row has its routine, and only its
+    (unit, routine, identifier) goes on. For hits in rows without a header, headers of their units and these hits are put in
+    order by blocks of lines: the last header before a hit is looked for in its block, and before its block among the
+    blocks' last headers, so a unit of any length is many tasks. Whether there are such hits is asked while building.
     """
     header = r"(?i)^\s*(?:PROCEDURE|FUNCTION)\s+([A-Za-z][A-Za-z0-9_$#]*)"
     cut = F.split(_text("text"), r"(?im)(?=^[ \t]*(?:PROCEDURE|FUNCTION)\s+[A-Za-z])")
     parts = lines.select(*_UNIT, "type", "line", F.posexplode(cut).alias("place", "part"))
-    place = F.struct("type", "line", "place").alias("at")
+    at = F.struct("type", "line", "place").alias("at")
     routine = F.nullif(F.upper(F.regexp_extract("part", header, 1)), F.lit(""))
     block = F.floor(F.col("line") / lines_per_block).alias("block")
-    parts = parts.select(*_UNIT, "type", block, place, routine.alias("routine"), F.regexp_replace("part", header, "").alias("body"))
+    parts = parts.select(*_UNIT, "type", block, at, routine.alias("routine"), F.regexp_replace("part", header, "").alias("body"))
+    words = F.explode(_distinct_words(F.col("body"))).alias("word")
+    wanted = _wanted(identifiers)
+    own = parts.filter("routine is not null").select(*_UNIT, "routine", words).join(wanted, "word")
+    own = own.select(*_UNIT, "routine", "identifier").distinct()
     unit_block = [*_UNIT, "type", "block"]
-    # a header comes along as a word that no identifier is, and each like no other, so that none is a hot key
-    mark = F.concat(F.lit(_MARK), F.col("at.line").cast("string"), F.lit(":"), F.col("name"))
-    words = F.concat(F.when(F.col("routine").isNotNull(), F.array(mark)).otherwise(F.array().cast("array<string>")), _distinct_words(F.col("body")))
-    events = parts.select(*unit_block, "at", "routine", F.explode(words).alias("word")).join(_wanted(identifiers), "word", "left")
-    events = events.filter(F.col("identifier").isNotNull() | F.startswith("word", F.lit(_MARK))).drop("word")
+    loose = parts.filter("routine is null").select(*unit_block, "at", "routine", words).join(wanted, "word").drop("word")
+    if loose.isEmpty():
+        return own
+    headers = parts.filter("routine is not null").select(*unit_block, "at", "routine", F.lit(None).cast("string").alias("identifier"))
+    units = loose.select(*[F.col(c).alias(f"loose_{c}") for c in _UNIT]).distinct()
+    same = F.col("owner").eqNullSafe(F.col("loose_owner")) & F.col("name").eqNullSafe(F.col("loose_name"))
+    events = loose.unionByName(headers.join(units, same, "left_semi"))
     in_block = W.partitionBy(*unit_block).orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
     placed = events.withColumn("routine", F.last("routine", ignorenulls=True).over(in_block))
     hits = placed.filter("identifier is not null")
@@ -102,7 +108,7 @@ def routine_references_in_lines(lines: DataFrame, identifiers: DataFrame, *, lin
     along = W.partitionBy(*_UNIT).orderBy("type", "block").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(*unit_block, F.last("last.routine", ignorenulls=True).over(along).alias("carried"))
     found = hits.join(carried, unit_block, "left").withColumn("routine", F.coalesce("routine", "carried"))
-    return found.filter("routine is not null").select(*_UNIT, "routine", "identifier").distinct()
+    return found.filter("routine is not null").select(*_UNIT, "routine", "identifier").unionByName(own).distinct()
 
 
 def usages_in_lines(lines: DataFrame, identifiers: DataFrame, packages: DataFrame | None = None) -> DataFrame:

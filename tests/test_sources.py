@@ -245,3 +245,16 @@ def test_rows_of_a_word_in_every_script_are_dealt_out(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_references_behind_their_header_are_not_put_in_order(make):
+    """Hits in the row of their header need no window; hits in other rows do, also in units without an owner."""
+    schema = "owner string, name string, type string, line int, text string"
+    names = make([("T1",), ("T2",)], "identifier string")
+    own = make([("S", "P", "BODY", i, f"procedure r{i} is begin T{i}; end;\n") for i in (1, 2, 3)], schema)
+    found = deps.routine_references_in_lines(own, names)
+    assert {tuple(r) for r in found.collect()} == {("S", "P", "R1", "T1"), ("S", "P", "R2", "T2")}
+    assert "Window" not in found._jdf.queryExecution().toString()
+    loose = make([(None, "P", "BODY", 1, "procedure r1 is\n"), (None, "P", "BODY", 2, "begin t1; end;\nprocedure r2 is t2;\n"), (None, "P", "BODY", 3, "t1")], schema)
+    found = [tuple(r) for r in deps.routine_references_in_lines(loose, names).collect()]
+    assert sorted(r[1:] for r in found) == [("P", "R1", "T1"), ("P", "R2", "T1"), ("P", "R2", "T2")]
