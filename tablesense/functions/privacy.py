@@ -31,7 +31,8 @@ def _shape(text: Column) -> Column:
     """Letters to A and digits to 9: ASCII by a lookup, the rest by character class."""
     plain = F.translate(text, ascii_letters + digits, "A" * len(ascii_letters) + "9" * len(digits))
     letters = F.regexp_replace(plain, r"[[^\x00-\x7f]&&\p{L}]", "A")
-    return F.regexp_replace(letters, rf"[[^\x00-\x7f]&&[\p{{Nd}}{_OTHER_DIGITS}]]", "9")
+    rest = F.regexp_replace(letters, rf"[[^\x00-\x7f]&&[\p{{Nd}}{_OTHER_DIGITS}]]", "9")
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(rest)
 
 
 def _once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,15 +54,24 @@ def _fold_runs(template: Column) -> Column:
     return F.array_join(F.transform(F.split(marked, "Z"), piece), "")
 
 
+def _is_email(value: Column) -> Column:
+    # what is cheap to see is asked before the expression, which most values need not meet
+    return F.contains(value, F.lit("@")) & value.rlike(_EMAIL)
+
+
+def _is_date(value: Column) -> Column:
+    return F.length(value).isin(10, 16, 19) & value.rlike(_DATE)
+
+
 def structural_pattern(text: Column) -> Column:
     """'SKU-001' -> 'AAA-999'; 'empty', 'email', 'uuid' and 'date' are named; runs are folded."""
 
     def pattern(value: Column) -> Column:
         return (
             F.when(value == "", "empty")
-            .when(value.rlike(_EMAIL), "email")
-            .when(value.rlike(_UUID), "uuid")
-            .when(value.rlike(_DATE), "date")
+            .when(_is_email(value), "email")
+            .when((F.length(value) == 36) & value.rlike(_UUID), "uuid")
+            .when(_is_date(value), "date")
             .otherwise(_fold_runs(_shape(value)))
         )
 
@@ -88,7 +98,7 @@ def mask_value(text: Column) -> Column:
         size = F.length(value)
         stars = F.repeat(F.lit("*"), size - 2)
         return (
-            F.when(value.rlike(_EMAIL), address)
+            F.when(_is_email(value), address)
             .when(size <= 2, F.repeat(F.lit("*"), size))
             .otherwise(F.concat(F.left(value, F.lit(1)), stars, F.right(value, F.lit(1))))
         )
