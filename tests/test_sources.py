@@ -258,3 +258,11 @@ def test_references_behind_their_header_are_not_put_in_order(make):
     loose = make([(None, "P", "BODY", 1, "procedure r1 is\n"), (None, "P", "BODY", 2, "begin t1; end;\nprocedure r2 is t2;\n"), (None, "P", "BODY", 3, "t1")], schema)
     found = [tuple(r) for r in deps.routine_references_in_lines(loose, names).collect()]
     assert sorted(r[1:] for r in found) == [("P", "R1", "T1"), ("P", "R2", "T1"), ("P", "R2", "T2")]
+
+
+def test_rows_of_one_place_keep_their_own_header(make):
+    """Lines without a number have no order among each other; each hit still belongs to the header in its row."""
+    lines = make([("S", "P", "BODY", None, "procedure r1 is t1;\n"), ("S", "P", "BODY", None, "procedure r2 is t2;\n")], "owner string, name string, type string, line int, text string")
+    names = make([("t1",), ("t2",)], "identifier string")
+    found = [tuple(r) for r in deps.routine_references_in_lines(lines, names).collect()]
+    assert sorted(found) == [("S", "P", "R1", "t1"), ("S", "P", "R2", "t2")]
