@@ -10,8 +10,9 @@
 4. Pairs whose sizes allow the threshold are estimated from the sketch of their union and, if near it,
    verified on their full sets.
 5. A list first compares its members with one of them. Components are formed, and only lists that still hold
-   several go on: members outside the largest component meet a few members of it, and those still outside meet
-   all members of other components. So a group of m near copies costs about m comparisons a list, and no link
+   several go on: members outside the largest component meet a few members of it, dealt over the lists they share
+   so that no list makes more pairs than it has members, and those still outside meet all members of other
+   components. So a group of m near copies costs about m comparisons a list, and no link
    between different components is lost. Lists with many members outside (texts that share a passage of about
    half their length) are replaced by lists of the rarest shingles of their members' full sets, where such
    texts do not meet.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesense.llm.common import LOWER, SPACE, joined, map_batches, mix, pieces, prefix_hash, runs, sliced, span_hashes, stored
@@ -32,7 +33,7 @@ SALTS = 64
 CROWD = 32
 """Lists with more members outside their largest component are listed anew by full sets."""
 HUBS = 8
-"""Members of the largest component that the others of a list are compared with first."""
+"""Members of the largest component that the others are compared with first, over all their lists together."""
 BROADCAST_KEYS = 1_000_000
 NO_ID = (1 << 63) - 1
 
@@ -179,9 +180,10 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.unionAll(roots).groupBy("key").agg(F.min("component").alias("component")), "labels")
 
 
-def _fits(percent: int) -> Column:
-    """Whether sizes and rooms of the two sides of a pair allow the similarity."""
-    return (F.least("room", "room_a") + 1) * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent
+def _fits(percent: int, n: str | Column = "n_a", room: str | Column = "room_a") -> Column:
+    """Whether sizes and rooms of the two sides of a pair allow the similarity; the second side is given."""
+    n = F.col(n) if isinstance(n, str) else n
+    return (F.least("room", room) + 1) * (100 + percent) >= (F.col("n") + n) * percent
 
 
 def _as_a() -> list[Column]:
@@ -202,6 +204,24 @@ def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(members.join(stored(several, "open-lists"), "value"), "open-members")
 
 
+def _hub_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members outside the largest component with a few of that component whose sizes allow the similarity.
+
+    A member of many open lists takes one from each, a member of few lists several, so the pairs are at most
+    the members of the lists and ``HUBS`` for each text. Which ones it takes follows from a hash.
+    """
+    member = F.struct("key", "n", "room")
+    hubs = open_.where("component = main").groupBy("value", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("part"))
+    hubs = hubs.agg(F.min(member).alias("x")).groupBy("value").agg(F.sort_array(F.collect_list("x")).alias("hubs"))
+    each = F.ceil(F.lit(HUBS) / F.count("*").over(Window.partitionBy("key"))).cast("int")
+    outside = open_.where("component <> main").select("value", "key", "n", "room", each.alias("each"))
+    fitting = F.filter("hubs", lambda x: _fits(percent, x["n"], x["room"]))
+    met = outside.join(hubs, "value").select("value", "key", "each", fitting.alias("x")).where(F.size("x") > 0)
+    first = F.pmod(F.xxhash64("value", "key"), F.size("x")).cast("int") + 1
+    met = met.select("key", F.explode(F.slice(F.concat("x", "x"), first, F.least(F.size("x"), "each"))).alias("x"))
+    return met.select(F.col("x.key").alias("a"), F.col("key").alias("b"))
+
+
 def _resolve(lists: DataFrame, verify, labels: DataFrame | None, percent: int, crowd: int | None):
     """The components after all links between different components within the lists: (labels, keys of crowded lists or None).
 
@@ -217,9 +237,7 @@ def _resolve(lists: DataFrame, verify, labels: DataFrame | None, percent: int, c
     open_ = _open(lists, labels)
     if not open_.limit(1).count():
         return labels, None
-    hubs = open_.where("component = main").groupBy("value", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("part"))
-    hubs = hubs.agg(F.min(member).alias("x")).select("value", *_as_a())
-    pairs = open_.where("component <> main").join(hubs, "value").where(_fits(percent)).select("a", F.col("key").alias("b"))
+    pairs = _hub_pairs(open_, percent)
     labels = relabelled(labels, stored(verify(pairs), "links"))
     open_ = _open(lists, labels)
     if not open_.limit(1).count():

@@ -85,3 +85,27 @@ def test_texts_without_an_id_or_under_one_id(make):
     kept = [(r["doc_id"], r["text"].split()) for r in near_dedup.deduplicated(documents).collect()]
     assert len(kept) == 4 and sum(k in ((None, base), (None, near(base))) for k in kept) == 1
     assert all(k in kept for k in ((None, alone), (5, given), (9, under)))
+
+
+def test_hub_pairs_stay_below_the_members_of_the_lists(make):
+    """Texts in many lists with a large component meet its members dealt over the lists, not all of them in each list."""
+    rows = [(value, key, 10, 100) for value in range(20) for key in range(60)]
+    made = []
+
+    def verify(pairs):
+        made.append(pairs.count())
+        return pairs.where("a < 30 and b < 30 or a >= 30 and b = a + 1 or a < 30 and b = 59")
+
+    labels, crowded = near_dedup._resolve(make(rows, "value long, key long, n long, room long"), verify, None, 80, 32)
+    assert crowded is None or not crowded.count()
+    assert {r["component"] for r in labels.collect()} == {0} and labels.count() == 60
+    assert len(made) >= 2 and made[1] <= 20 * 30
+
+
+def test_a_text_in_one_list_meets_several_hubs(make):
+    rows = [(1, key, 10, 100, 0 if key < 40 else key, 0, 2) for key in range(42)] + [(2, 41, 10, 3, 41, 0, 1), (2, 5, 10, 100, 0, 0, 1)]
+    open_ = make(rows, "value long, key long, n long, room long, component long, main long, outside long")
+    pairs = [(r["a"], r["b"]) for r in near_dedup._hub_pairs(open_, 80).collect()]
+    assert all(a < 40 for a, _ in pairs) and len(set(pairs)) == len(pairs)
+    met = [sum(b == key for _, b in pairs) for key in (40, 41)]  # a room of 3 rules the second list out
+    assert 4 < met[0] <= near_dedup.HUBS and met[1] == 4
