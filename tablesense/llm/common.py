@@ -68,6 +68,73 @@ def labelled_sample(
     return [(r["row"]["text"], r["y"], r["row"]["lang"]) for r in found]
 
 
+def kept_out(target: str, held: int) -> Column:
+    """Whether a ``doc_id`` is among the one in ``held``, by a hash, that is kept out of training."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(target)), F.lit(held)) == 0
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame, target: str, learn: Column, held: int) -> DataFrame:
+    """(text, lang, y, held) of every document with a label 0 or 1 that ``learn`` (a condition on ``doc_id``) admits, stored.
+
+    ``held`` marks the rows that ``kept_out`` keeps out of training. A document with both labels comes twice.
+    """
+    marked = labels.select("doc_id", F.col(target).cast("int").alias("y")).where(learn & F.col("doc_id").isNotNull()).where("y in (0, 1)")
+    texts = documents.where(learn).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    # the shuffle by id deals the rows over the tasks, whatever the order of the files
+    rows = texts.join(marked.distinct().hint("merge"), "doc_id")
+    return stored(rows.select("text", "lang", "y", kept_out(target, held).alias("held")), "labelled-texts")
+
+
+def class_weights(rows: DataFrame) -> np.ndarray | None:
+    """Weights of the rows of label 0 and 1 that make both classes equal in sum; None where a class is missing."""
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    return np.array([sum(counts.values()) / (2 * counts[y]) for y in (0, 1)]) if len(counts) == 2 else None
+
+
+PART = 16
+
+
+def mean_of_tasks(rows: DataFrame, state: np.ndarray, learn) -> np.ndarray:
+    """The mean, weighted by rows, of what each task over ``rows`` (text, y) makes of the flat parameters ``state``.
+
+    ``learn(state, examples)`` gives new parameters from an iterator of (texts, labels). Spark adds the tasks' results
+    up in parts of ``PART`` numbers, so the driver gets one state, however many tasks there are.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(state)
+    size = -(-len(state) // PART)
+
+    def run(batches):
+        count = 0
+
+        def examples():
+            nonlocal count
+            for batch in sliced(batches):
+                count += batch.num_rows
+                yield batch.column("text").to_pylist(), batch.column("y").to_numpy()
+
+        found = learn(shared.value, examples())
+        for a in range(0, size if count else 0, 4096):
+            flat = found[a * PART : (a + 4096) * PART] * float(count)
+            flat = np.concatenate((flat, np.zeros(-len(flat) % PART))).reshape(-1, PART)
+            part = np.arange(a, a + len(flat))
+            columns = [pa.array(part), pa.array(np.full(len(flat), count)), *(pa.array(flat[:, k]) for k in range(PART))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "n", *(f"x{k}" for k in range(PART))])
+
+    names = [f"x{k}" for k in range(PART)]
+    told = map_batches(rows.select("text", "y"), run, "part long, n long, " + ", ".join(f"{x} double" for x in names))
+    found = told.groupBy("part").agg(*[(F.sum(x) / F.sum("n")).alias(x) for x in names]).toArrow().sort_by("part")
+    shared.unpersist()
+    return np.column_stack([found.column(x).to_numpy() for x in names]).ravel()[: len(state)] if found.num_rows else state
+
+
+def groups(texts: list[str], labels: np.ndarray, rows: int, rng: np.random.Generator) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The texts in random order in groups of at most ``rows``, of fewer where texts are long."""
+    order = rng.permutation(len(texts))
+    for start, group in pieces([texts[i] for i in order]):
+        for a in range(0, len(group), rows):
+            yield group[a : a + rows], labels[order[start + a : start + min(a + rows, len(group))]]
+
+
 def pieces(texts: list[str | None], most: int = PIECE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, UTF-8 texts): groups of whole texts of about ``most`` bytes; null counts as empty."""
     start, group, size = 0, [], 0

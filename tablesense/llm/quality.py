@@ -133,13 +133,17 @@ def cut(logits: np.ndarray, labels: np.ndarray, weight: float = 2.0) -> float:
 
     The share of label 1 that is kept counts ``weight`` times as much as the share of label 0 that goes.
     """
-    if len(np.unique(labels)) < 2:
-        return 0.0
     order = np.argsort(logits, kind="stable")
-    x, y = logits[order], labels[order]
+    return cut_between(logits[order], labels[order] == 0, labels[order] == 1, weight)
+
+
+def cut_between(x: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weight: float = 2.0) -> float:
+    """``cut`` of rising logits ``x``, each with its number of rows of label 0 and 1."""
+    if not zeros.any() or not ones.any():
+        return 0.0
     # cutting before i: rows from i on count as 1
-    gone = np.concatenate(([0], np.cumsum(y == 0))) / (y == 0).sum()
-    kept = np.concatenate((np.cumsum((y == 1)[::-1])[::-1], [0])) / (y == 1).sum()
+    gone = np.concatenate(([0], np.cumsum(zeros))) / zeros.sum()
+    kept = np.concatenate((np.cumsum(ones[::-1])[::-1], [0])) / ones.sum()
     right = gone + weight * kept
     best = np.flatnonzero(right >= right.max() - 1e-9)
     edges = np.concatenate(([x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]))

@@ -2,8 +2,9 @@
 
 A word's embedding is the sum of hashed vectors for the word and for its beginnings, so that unseen endings
 of a known stem are near it; filters of several widths slide over them; each filter keeps its maximum
-over the text; a logistic layer reads the maxima. Training runs on a bounded sample of labelled rows
-(``rows`` per class, ``max_bytes`` of text together); a part of it kept out of training picks the epoch and the thresholds.
+over the text; a logistic layer reads the maxima. Training starts on the driver with a bounded sample of labelled
+rows (``rows`` per class, ``max_bytes`` of text together) and goes on with passes of Spark tasks over all labelled rows,
+whose nets are averaged. One row in ``HELD`` is kept out of training; all of these pick the pass and the thresholds.
 Buckets that few learning texts hold stay at zero, and each step shrinks the vectors it touches, so that a long
 text of rare words has no chance maxima. A document that ``labels`` puts in both classes is learned from twice.
 Scoring is one pass over whole texts without a shuffle. The language never enters a score; it only picks
@@ -16,12 +17,16 @@ import copy
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.common import LETTER, LOWER, joined, labelled_sample, map_batches, pieces, prefix_hash, runs, sliced, span_hashes
-from tablesense.llm.quality import cut
+from tablesense.llm.common import (
+    LETTER, LOWER, class_weights, groups, joined, kept_out, labelled_sample, labelled_texts, map_batches, mean_of_tasks, pieces, prefix_hash, runs, sliced,
+    span_hashes, stored,
+)
+from tablesense.llm.quality import cut, cut_between
 
 BUCKETS = 1 << 18
 STEMS = (4, 5, 6)
@@ -46,6 +51,13 @@ SHRINK = 1e-2
 CLEAN_WEIGHT = 4.0
 """A share of the clean rows lost counts as so many equal shares of the toxic rows found, when a threshold is set."""
 CHUNK = 1 << 16
+BATCH = 32
+HELD = 4
+"""One labelled row in so many is kept out of training."""
+PASSES = 3
+"""Passes of distributed training over all labelled rows."""
+BINS = 1024
+"""Steps of a logit at which thresholds over all rows kept out may lie."""
 
 
 def tokens(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,10 +124,8 @@ class Net:
         return out
 
 
-def train(sample: list[tuple[str, int, str | None]], epochs: int = EPOCHS, seed: int = 11) -> Net:
-    """Fit on (text, label, lang) by Adagrad; gradients reach the embeddings through the place of each maximum. The mean of a few epochs with the least held loss counts."""
-    rng = np.random.default_rng(seed)
-    labels = np.array([y for _, y, _ in sample], np.float64)
+def blank(rng: np.random.Generator) -> tuple[Net, dict]:
+    """A net before training and the sums of squared gradients that set its steps."""
     net = Net(
         rng.normal(0, SCALE, (BUCKETS, DIM)).astype(np.float32),
         {w: rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS},
@@ -124,12 +134,91 @@ def train(sample: list[tuple[str, int, str | None]], epochs: int = EPOCHS, seed:
         0.0,
     )
     net.vectors[0] = 0
+    squares = {"v": np.full(BUCKETS, 1e-4), "o": np.full(len(net.output), 1e-4), "b": 1e-4}
+    squares |= {("f", w): np.full(net.filters[w].shape, 1e-4) for w in WIDTHS} | {("c", w): np.full(FILTERS, 1e-4) for w in WIDTHS}
+    return net, squares
+
+
+def places(net: Net, ids: np.ndarray, first: np.ndarray) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Where each filter has its maximum in each text, and that value with the offset, by width. Long inputs go in chunks of places."""
+    ends = np.append(first[1:], len(ids) - PAD)
+    at = {w: np.repeat(first[:, None], FILTERS, axis=1) for w in WIDTHS}
+    top = {w: np.full((len(first), FILTERS), -np.inf, np.float32) for w in WIDTHS}
+    stacked = np.concatenate([net.filters[w][k] for w in WIDTHS for k in range(w)], axis=1)
+    for a in range(0, len(ids) - PAD, CHUNK):
+        b = min(a + CHUNK, len(ids) - PAD)
+        every, empty = net.embed(ids[a : b + PAD]) @ stacked, ids[a:b, 0] == 0
+        here = np.flatnonzero((first < b) & (ends > a))
+        for w in WIDTHS:
+            left = FILTERS * w * (w - 1) // 2
+            value = every[: b - a, left : left + FILTERS] + net.offsets[w]
+            for k in range(1, w):
+                value += every[k : b - a + k, left + k * FILTERS : left + (k + 1) * FILTERS]
+            value[empty] = -np.inf
+            for i in here:
+                start = max(first[i], a)
+                found = start + value[start - a : min(ends[i], b) - a].argmax(axis=0)
+                most = value[found - a, np.arange(FILTERS)]
+                at[w][i] = np.where(most > top[w][i], found, at[w][i])
+                top[w][i] = np.maximum(top[w][i], most)
+    return at, top
+
+
+def step(net: Net, squares: dict, fixed: np.ndarray, ids: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, size: float = 0.1) -> None:
+    """One step of Adagrad on the texts ``ids`` (from ``first`` on, one more padding at the end) of labels ``y``.
+
+    Gradients reach the embeddings through the place of each maximum; the vectors of ``fixed`` buckets stay.
+    """
+    at, top = places(net, ids, first)
+    h = np.concatenate([np.maximum(top[w], 0) for w in WIDTHS], axis=1)
+    p = 1 / (1 + np.exp(-np.clip(h @ net.output + net.bias, -30, 30)))
+    d = (p - y) * weight[y.astype(int)]
+    d_hidden = np.outer(d, net.output) * (h > 0)
+    d_output, d_bias = h.T @ d / len(y), d.mean()
+    touched, changes = [], []
+    for n, w in enumerate(WIDTHS):
+        dh = d_hidden[:, n * FILTERS : (n + 1) * FILTERS]
+        d_filter = np.zeros_like(net.filters[w])
+        for k in range(w):
+            here = ids[(at[w] + k).ravel()]
+            touched.append(here)
+            changes.append((dh[:, :, None] * net.filters[w][k].T[None]).reshape(-1, DIM))
+            d_filter[k] = np.einsum("bf,bfd->df", dh, net.embed(here).reshape(len(y), FILTERS, DIM)) / len(y)
+        squares["f", w] += d_filter**2
+        net.filters[w] -= (size * d_filter / np.sqrt(squares["f", w])).astype(np.float32)
+        d_offset = dh.mean(axis=0)
+        squares["c", w] += d_offset**2
+        net.offsets[w] -= (size * d_offset / np.sqrt(squares["c", w])).astype(np.float32)
+    rows, change = np.concatenate(touched), np.concatenate(changes)
+    used, back = np.unique(rows, return_inverse=True)
+    d_vector = np.zeros((len(used), DIM))
+    np.add.at(d_vector, back.ravel(), np.repeat(change, rows.shape[1], axis=0))
+    d_vector = d_vector / len(y) + SHRINK * net.vectors[used]
+    squares["v"][used] += (d_vector**2).mean(axis=1)
+    moved = ~fixed[used]
+    net.vectors[used[moved]] -= (size * d_vector / np.sqrt(squares["v"][used])[:, None])[moved].astype(np.float32)
+    squares["o"] += d_output**2
+    net.output -= (size * d_output / np.sqrt(squares["o"])).astype(np.float32)
+    squares["b"] += d_bias**2
+    net.bias -= float(size * d_bias / np.sqrt(squares["b"]))
+
+
+def train(sample: list[tuple[str, int, str | None]], epochs: int = EPOCHS, seed: int = 11) -> Net:
+    """Fit on (text, label, lang) in memory. The mean of a few epochs with the least held loss counts."""
+    return trained(sample, epochs, seed)[0]
+
+
+def trained(sample: list[tuple[str, int, str | None]], epochs: int = EPOCHS, seed: int = 11) -> tuple[Net, dict]:
+    """``train``, and the sums of squares after its last epoch, by which training can go on."""
+    rng = np.random.default_rng(seed)
+    labels = np.array([y for _, y, _ in sample], np.float64)
+    net, squares = blank(rng)
     if len(np.unique(labels)) < 2:
         net.output[:] = 0
         net.bias = 0.0 if not len(labels) else (4.0 if labels[0] else -4.0)
-        return net
+        return net, squares
     docs = [tokens([text.encode("utf-8", "replace")])[0] for text, _, _ in sample]
-    held = rng.permutation(len(docs)) % 4 == 0
+    held = rng.permutation(len(docs)) % HELD == 0
     learn = np.flatnonzero(~held)
     spread = np.zeros(BUCKETS, np.int64)
     for i in learn:
@@ -140,56 +229,10 @@ def train(sample: list[tuple[str, int, str | None]], epochs: int = EPOCHS, seed:
     recent: list[Net] = []
     best, idle, check = (np.inf, None), 0, [sample[i] for i in np.flatnonzero(held)]
     weight = len(labels) / (2 * np.bincount(labels.astype(int), minlength=2))
-    squares = {"v": np.full(BUCKETS, 1e-4), "o": np.full(len(net.output), 1e-4), "b": 1e-4}
-    squares |= {("f", w): np.full(net.filters[w].shape, 1e-4) for w in WIDTHS} | {("c", w): np.full(FILTERS, 1e-4) for w in WIDTHS}
-    step = 0.1
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(learn), max(1, len(learn) // 32)):
+        for batch in np.array_split(rng.permutation(learn), max(1, len(learn) // BATCH)):
             ids = np.concatenate([docs[i] for i in batch] + [np.zeros((PAD, 1 + len(STEMS)), np.int32)])
-            first = np.cumsum([0] + [len(docs[i]) for i in batch])
-            words = net.embed(ids)
-            places, hidden = {}, []
-            every = words @ np.concatenate([net.filters[w][k] for w in WIDTHS for k in range(w)], axis=1)
-            for w in WIDTHS:
-                left = FILTERS * w * (w - 1) // 2
-                value = every[: first[-1], left : left + FILTERS] + net.offsets[w]
-                for k in range(1, w):
-                    value += every[k : k + first[-1], left + k * FILTERS : left + (k + 1) * FILTERS]
-                value[ids[: first[-1], 0] == 0] = -np.inf
-                places[w] = np.stack([a + value[a:b].argmax(axis=0) for a, b in zip(first[:-1], first[1:], strict=True)])
-                hidden.append(np.maximum(value[places[w], np.arange(FILTERS)], 0))
-            h = np.concatenate(hidden, axis=1)
-            y = labels[batch]
-            p = 1 / (1 + np.exp(-np.clip(h @ net.output + net.bias, -30, 30)))
-            d = (p - y) * weight[y.astype(int)]
-            d_hidden = np.outer(d, net.output) * (h > 0)
-            d_output, d_bias = h.T @ d / len(y), d.mean()
-            touched, changes = [], []
-            for n, w in enumerate(WIDTHS):
-                dh = d_hidden[:, n * FILTERS : (n + 1) * FILTERS]
-                d_filter = np.zeros_like(net.filters[w])
-                for k in range(w):
-                    at = places[w] + k
-                    touched.append(at.ravel())
-                    changes.append((dh[:, :, None] * net.filters[w][k].T[None]).reshape(-1, DIM))
-                    d_filter[k] = np.einsum("bf,bfd->df", dh, words[at]) / len(y)
-                squares["f", w] += d_filter**2
-                net.filters[w] -= (step * d_filter / np.sqrt(squares["f", w])).astype(np.float32)
-                d_offset = dh.mean(axis=0)
-                squares["c", w] += d_offset**2
-                net.offsets[w] -= (step * d_offset / np.sqrt(squares["c", w])).astype(np.float32)
-            rows, change = ids[np.concatenate(touched)], np.concatenate(changes)
-            used, back = np.unique(rows, return_inverse=True)
-            d_vector = np.zeros((len(used), DIM))
-            np.add.at(d_vector, back.ravel(), np.repeat(change, rows.shape[1], axis=0))
-            d_vector = d_vector / len(y) + SHRINK * net.vectors[used]
-            squares["v"][used] += (d_vector**2).mean(axis=1)
-            moved = ~fixed[used]
-            net.vectors[used[moved]] -= (step * d_vector / np.sqrt(squares["v"][used])[:, None])[moved].astype(np.float32)
-            squares["o"] += d_output**2
-            net.output -= (step * d_output / np.sqrt(squares["o"])).astype(np.float32)
-            squares["b"] += d_bias**2
-            net.bias -= step * d_bias / np.sqrt(squares["b"])
+            step(net, squares, fixed, ids, np.cumsum([0] + [len(docs[i]) for i in batch[:-1]]), labels[batch], weight)
         recent = [*recent, copy.deepcopy(net)][-AVERAGE:]
         mean = averaged(recent)
         loss, idle = held_loss(mean, check), idle + 1
@@ -199,7 +242,7 @@ def train(sample: list[tuple[str, int, str | None]], epochs: int = EPOCHS, seed:
             break
     net = best[1] or net
     calibrate(net, check)
-    return net
+    return net, squares
 
 
 def averaged(nets: list[Net]) -> Net:
@@ -254,6 +297,144 @@ def score(documents: DataFrame, net: Net, *keep: str | Column) -> DataFrame:
     return map_batches(rows, run, schema.add("score", "double").add("flagged", "boolean"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, target: str = "toxic", rows: int = ROWS, max_bytes: int = MAX_BYTES) -> Net:
-    """Train on a bounded sample of the labelled rows that ``learn`` (a condition on ``doc_id``) admits."""
-    return train(labelled_sample(documents, labels, target, learn, rows, max_bytes))
+def spread(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """How many of the texts of ``rows`` (text) hold each bucket, and how many texts there are."""
+
+    def run(batches):
+        counts, total = np.zeros(BUCKETS, np.int64), 0
+        for batch in sliced(batches):
+            total += batch.num_rows
+            for _, group in pieces(batch.column("text").to_pylist()):
+                ids, first = tokens(group)
+                doc = np.repeat(np.arange(len(group)), np.diff(np.append(first, len(ids))))
+                counts += np.bincount(np.unique(doc[:, None] * BUCKETS + ids) % BUCKETS, minlength=BUCKETS)
+        counts[0] = total
+        found = np.flatnonzero(counts)
+        for a in range(0, len(found), 10_000):
+            part = found[a : a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["bucket", "n"])
+
+    told = map_batches(rows.select("text"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[told.column("bucket").to_numpy()] = told.column("n").to_numpy()
+    return out, int(out[0])
+
+
+def flat(net: Net, squares: dict, active: np.ndarray) -> np.ndarray:
+    """All parameters and sums of squares in one array; of the vectors, those of the ``active`` buckets."""
+    parts = [net.vectors[active], squares["v"][active], net.output, squares["o"], np.array([net.bias, squares["b"]])]
+    for w in WIDTHS:
+        parts += [net.filters[w], squares["f", w], net.offsets[w], squares["c", w]]
+    return np.concatenate([np.asarray(p, np.float64).ravel() for p in parts])
+
+
+def from_flat(state: np.ndarray, active: np.ndarray) -> tuple[Net, dict]:
+    """The net and the sums of squares that ``flat`` made one array of; other vectors are zero."""
+    at = 0
+
+    def take(*shape: int) -> np.ndarray:
+        nonlocal at
+        at += int(np.prod(shape))
+        return state[at - int(np.prod(shape)) : at].reshape(shape).copy()
+
+    vectors, squares = np.zeros((BUCKETS, DIM), np.float32), {"v": np.full(BUCKETS, 1e-4)}
+    vectors[active] = take(len(active), DIM)
+    squares["v"][active] = take(len(active))
+    output, squares["o"] = take(FILTERS * len(WIDTHS)).astype(np.float32), take(FILTERS * len(WIDTHS))
+    bias, squares["b"] = take(2).tolist()
+    filters, offsets = {}, {}
+    for w in WIDTHS:
+        filters[w], squares["f", w] = take(w, DIM, FILTERS).astype(np.float32), take(w, DIM, FILTERS)
+        offsets[w], squares["c", w] = take(FILTERS).astype(np.float32), take(FILTERS)
+    return Net(vectors, filters, offsets, output, bias), squares
+
+
+def one_pass(rows: DataFrame, net: Net, squares: dict, active: np.ndarray, weight: np.ndarray, seed: int) -> tuple[Net, dict]:
+    """One pass over all ``rows`` (text, y): each task trains on its rows from the same start, the mean of the tasks' nets counts."""
+
+    def learn(state, examples):
+        own, sums = from_flat(state, active)
+        fixed = np.ones(BUCKETS, bool)
+        fixed[active] = False
+        rng = np.random.default_rng(seed)
+        for texts, y in examples:
+            for group, of in groups(texts, y, BATCH, rng):
+                ids, first = tokens(group)
+                ids = np.concatenate((ids, np.zeros((PAD, ids.shape[1]), np.int32)))
+                step(own, sums, fixed, ids, first, of.astype(np.float64), weight)
+        return flat(own, sums, active)
+
+    return from_flat(mean_of_tasks(rows, flat(net, squares, active), learn), active)
+
+
+def held_logits(rows: DataFrame, nets: list[Net]) -> DataFrame:
+    """(lang, y, x0, x1, ...): the logit of every row of ``rows`` (text, lang, y) by each net."""
+    shared = rows.sparkSession.sparkContext.broadcast(nets)
+    names = [f"x{n}" for n in range(len(nets))]
+
+    def run(batches):
+        for batch in sliced(batches):
+            texts = batch.column("text").to_pylist()
+            arrays = [batch.column("lang"), batch.column("y"), *(pa.array(net.logits(texts), pa.float64()) for net in shared.value)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "y", *names])
+
+    return map_batches(rows.select("text", "lang", "y"), run, "lang string, y int, " + ", ".join(f"{x} double" for x in names))
+
+
+def calibrate_all(net: Net, logits: DataFrame, least: int = 40) -> None:
+    """``calibrate`` on all rows (lang, y, x), however many: the rows are counted by logit in steps of 1 / ``BINS``.
+
+    Every row counts; only the place of a threshold is rounded to a step.
+    """
+    near = F.floor(F.greatest(F.least("x", F.lit(32.0)), F.lit(-32.0)) * BINS).alias("bin")
+    counts = [F.sum(F.when(F.col("y") == y, 1).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
+    bins = stored(logits.select(F.coalesce("lang", F.lit("")).alias("lang"), near, "y").groupBy("lang", "bin").agg(*counts), "held-bins")
+
+    def threshold(rows) -> float:
+        rows = rows.sort_values("bin", ascending=False)
+        return -cut_between(-(rows["bin"].to_numpy() + 0.5) / BINS, rows["n1"].to_numpy(), rows["n0"].to_numpy(), CLEAN_WEIGHT)
+
+    common = threshold(bins.groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas())
+    net.bias -= common
+    rich = bins.groupBy("lang").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).where(f"a > 0 and b > 0 and a + b >= {least}").select("lang")
+
+    def by_lang(key, rows):
+        return pd.DataFrame({"lang": [key[0]], "x": [threshold(rows)]})
+
+    found = bins.join(rich, "lang").groupBy("lang").applyInPandas(by_lang, "lang string, x double").collect()
+    net.thresholds = {r["lang"]: r["x"] - common for r in found}
+
+
+def fit(
+    documents: DataFrame, labels: DataFrame, learn: Column, target: str = "toxic", rows: int = ROWS, max_bytes: int = MAX_BYTES, passes: int = PASSES
+) -> Net:
+    """Train on all labelled rows that ``learn`` (a condition on ``doc_id``) admits.
+
+    Training starts on the driver with a bounded sample (``rows`` per class, ``max_bytes`` of text together). Which buckets
+    have vectors follows from all rows; then every row is learned from in each of ``passes``, but for the rows kept
+    out, all of which pick the pass and the thresholds.
+    """
+    net, squares = trained(labelled_sample(documents, labels, target, learn & ~kept_out(target, HELD), rows, max_bytes))
+    texts = labelled_texts(documents, labels, target, learn, HELD)
+    learned, check = texts.where("not held"), texts.where("held")
+    weight = class_weights(learned)
+    if weight is None:
+        return net
+    counts, total = spread(learned)
+    active = np.flatnonzero(counts >= max(LEAST_DOCS, LEAST_SHARE * total))
+    active = active[active > 0]
+    first, _ = blank(np.random.default_rng(12))
+    new = active[~net.vectors[active].any(axis=1)]
+    net.vectors[new] = first.vectors[new]
+    nets = []
+    for n in range(passes):
+        net, squares = one_pass(learned, net, squares, active, weight, n)
+        nets.append(net)
+    logits = stored(held_logits(check, nets), "held-logits")
+    signs = F.when(F.col("y") == 1, -1.0).otherwise(1.0)
+    losses = [F.avg(F.greatest(signs * F.col(x), F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))).alias(x) for x in logits.columns[2:]]
+    by_class = logits.groupBy("y").agg(*losses).collect()
+    best = min(range(passes), key=lambda n: sum(r[f"x{n}"] for r in by_class))
+    net = nets[best]
+    calibrate_all(net, logits.select("lang", "y", F.col(f"x{best}").alias("x")))
+    return net

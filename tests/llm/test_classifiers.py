@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesense.llm import quality, toxicity
-from tablesense.llm.common import fold, labelled_sample, pieces, prefix_hash, span_hashes
+from tablesense.llm.common import fold, groups, labelled_sample, labelled_texts, mean_of_tasks, pieces, prefix_hash, span_hashes
 
 DATA = "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
@@ -103,3 +103,52 @@ def test_span_hashes_depend_on_content_only():
     h = span_hashes(prefix_hash(data), np.array([0, 4, 8, 12]), np.array([3, 7, 11, 16]))
     assert h[0] == h[2] and len(set(h.tolist())) == 3
     assert [len(g) for _, g in pieces(["a" * 10, None, "b" * 10], most=12)] == [2, 1]
+
+
+def test_toxicity_learns_from_rows_beyond_the_sample(make):
+    """Eight insults, a sample that has room for four toxic rows: all insults count, and all rows count in the vocabulary."""
+    insults = [f"insult{c}" for c in "abcdefgh"]
+    rows = [(i, f"plain words {insults[i % 8] if i % 16 < 8 else 'kind'} and the end", "en") for i in range(1600)]
+    documents = make(rows, "doc_id long, text string, lang string")
+    labels = make([(i, int(i % 16 < 8)) for i in range(1600)], "doc_id long, toxic int")
+    net = toxicity.fit(documents, labels, F.lit(True), rows=4, passes=8)
+    assert (net.logits([f"plain words {w} and the end" for w in insults]) >= 0).all()
+    assert net.logits(["plain words kind and the end"])[0] < 0
+    counts, total = toxicity.spread(documents)
+    assert total == 1600
+    ids = toxicity.tokens([b"insulta", b"kind", b"plain"])[0][:, 0]
+    assert [counts[i] for i in ids[ids > 0]] == [100, 800, 1600]
+
+
+def test_thresholds_over_all_rows_equal_those_in_memory(make):
+    rng = np.random.default_rng(3)
+    rows = [(lang, int(y), float(x + 2 * y)) for lang in ("en", "fr", None) for y, x in zip(rng.random(300) < 0.2, rng.normal(0, 1, 300), strict=True)]
+    rows += [("tiny", 1, 0.5)] * 5
+
+    class Fixed(toxicity.Net):
+        def logits(self, texts):
+            return np.array([float(t) for t in texts]) + self.bias
+
+    nets = [Fixed(None, {}, {}, None, 0.0) for _ in range(2)]
+    toxicity.calibrate(nets[0], [(str(x), y, lang) for lang, y, x in rows])
+    toxicity.calibrate_all(nets[1], make(rows, "lang string, y int, x double"))
+    assert abs(nets[0].bias - nets[1].bias) < 0.05 and set(nets[0].thresholds) == set(nets[1].thresholds) == {"en", "fr", ""}
+    assert all(abs(nets[0].thresholds[lang] - nets[1].thresholds[lang]) < 0.05 for lang in nets[0].thresholds)
+
+
+def test_labelled_texts_are_all_there(make):
+    documents = make([(1, "a", "en"), (1, "b", "en"), (2, None, None), (3, "c", "fr"), (None, "d", "en"), (4, "e", "en")], "doc_id long, text string, lang string")
+    labels = make([(1, 1), (1, 1), (2, 0), (2, 1), (3, None), (4, 2), (None, 1)], "doc_id long, toxic int")
+    found = sorted((r["text"], r["y"]) for r in labelled_texts(documents, labels, "toxic", F.lit(True), 4).collect())
+    assert found == [("", 0), ("", 1), ("a", 1), ("b", 1)]
+
+
+def test_mean_of_tasks_weighs_by_rows(spark):
+    rows = spark.range(0, 40, 1, 4).where("id < 25").selectExpr("string(id) as text", "int(id % 2) as y")  # tasks of 10, 10, 5 and no rows
+    state = np.arange(37, dtype=float)
+    found = mean_of_tasks(rows, state, lambda start, examples: start + sum(len(y) for _, y in examples))
+    assert np.allclose(found, state + (10 * 10 + 10 * 10 + 5 * 5) / 25)
+    assert np.array_equal(mean_of_tasks(rows.limit(0), state, lambda start, examples: start + sum(len(y) for _, y in examples)), state)
+    parts = list(groups(["a", "b" * 300_000, "c", "d"], np.array([0, 1, 2, 3]), 2, np.random.default_rng(0)))
+    assert sorted((t[:1], y) for g, of in parts for t, y in zip(g, of.tolist(), strict=True)) == [(b"a", 0), (b"b", 1), (b"c", 2), (b"d", 3)]
+    assert max(len(g) for g, _ in parts) <= 2
