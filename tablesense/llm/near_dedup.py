@@ -16,6 +16,10 @@
    between different components is lost. Lists with many members outside (texts that share a passage of about
    half their length) are replaced by lists of the rarest shingles of their members' full sets, where such
    texts do not meet.
+6. Lists of full sets with many members outside hold variants of one text. Each member is described by what it
+   has other than the shingles of the majority. The one closest to the majority links all it must be linked with
+   whatever they differ in; every other link needs common differences, so only members that meet in lists of their
+   rarest differences are compared.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ CROWD = 32
 """Lists with more members outside their largest component are listed anew by full sets."""
 HUBS = 8
 """Members of the largest component that the others are compared with first, over all their lists together."""
+FEW = 8
+"""Members outside the largest component that a list of full sets compares with all; with more, differences decide."""
 BROADCAST_KEYS = 1_000_000
 NO_ID = (1 << 63) - 1
 
@@ -222,12 +228,70 @@ def _hub_pairs(open_: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("x.key").alias("a"), F.col("key").alias("b"))
 
 
-def _resolve(lists: DataFrame, verify, labels: DataFrame | None, percent: int, crowd: int | None):
+def _differences(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(g, key, diff, slack, a, top) of every member of open lists: where its set differs from the majority of its group.
+
+    A group ``g`` is all lists with one largest component. Two sets are linked if and only if their slacks and
+    2 * (100 + percent) for each common difference add up to 0 or more. ``a`` is the member with the largest slack, ``top``.
+    """
+    members = crowded.select(F.col("main").alias("g"), "key").distinct()
+    members = stored(members.join(sets.select("key", "n", F.col("sketch").alias("items")), "key"), "group-members")
+    sizes = members.groupBy("g").agg(F.count("*").alias("size"))
+    held = members.select("g", F.explode("items").alias("value")).groupBy("g", "value").agg(F.count("*").alias("c"))
+    most = held.join(sizes, "g").where(F.col("c") * 2 > F.col("size")).groupBy("g").agg(F.collect_list("value").alias("most"))
+    # without a value that most members hold, the whole set is the difference
+    most = sizes.select("g").join(most, "g", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    most = most.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(most, ["g", "salt"])
+    met = met.select("g", "key", "n", F.concat(F.array_except("items", "most"), F.array_except("most", "items")).alias("diff"))
+    slack = F.col("n") * (100 - percent) - F.size("diff") * (100 + percent)
+    met = stored(met.select("g", "key", "diff", slack.cast("long").alias("slack")), "differences")
+    top = met.groupBy("g").agg(F.max(F.struct("slack", "key")).alias("x"))
+    return met.join(top.select("g", F.col("x.slack").alias("top"), F.col("x.key").alias("a")), "g")
+
+
+def _difference_pairs(apart: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of different components that may have as many differences in common as a link needs.
+
+    All members with a slack of -top or more are in the component of the member closest to the majority by now, so one
+    side of a pair has less. Of that follows how many common differences a member needs at least; as in ``listed``,
+    it is entered under its rarest ones only, so many that it must meet its partners there.
+    """
+    each = 2 * (100 + percent)
+    partner = F.when(F.col("slack") + F.col("top") < 0, F.col("top")).otherwise(-F.col("top") - 1)
+    need = F.greatest(F.ceil((-F.col("slack") - partner) / each), F.lit(1))
+    values = apart.select("g", "key", "a", "slack", F.size("diff").alias("m"), need.alias("need"), F.explode("diff").alias("value"))
+    counts = stored(values.groupBy("g", "value").agg(F.count("*").alias("df")).where("df > 1"), "difference-values")
+    shared = values.join(counts, ["g", "value"]).groupBy("g", "key", "a", "slack", "m", "need")
+    shared = shared.agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    kept = F.slice("shared", F.lit(1), F.greatest(F.size("shared") - F.col("need") + 1, F.lit(0)).cast("int"))
+    rows = shared.select("g", "key", "a", "slack", F.size("shared").alias("held"), F.posexplode(kept).alias("pos", "x"))
+    rows = rows.select("g", F.col("x.value").alias("value"), "key", "a", "slack", (F.col("held") - F.col("pos")).alias("left"))
+    root = labels.select(F.col("key").alias("a"), F.col("component").alias("root"))
+    rows = rows.join(labels, "key", "left").join(root, "a", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "key")).withColumn("root", F.coalesce("root", "a"))
+    rows = stored(rows.drop("a"), "difference-lists")
+    outside = rows.where("component <> root").drop("root").withColumnsRenamed({c: f"{c}_a" for c in ("key", "component", "slack", "left")})
+    met = rows.join(outside, ["g", "value"]).where("component <> component_a and (component = root or key > key_a)")
+    met = met.where(F.col("slack") + F.col("slack_a") + F.least("left", "left_a") * each >= 0)
+    return met.select(F.col("key_a").alias("a"), F.col("key").alias("b"))
+
+
+def _resolve_by_differences(crowded: DataFrame, sets: DataFrame, verify, labels: DataFrame, percent: int) -> DataFrame:
+    """The labels after all links between different components within open lists of full ``sets`` (key, n, sketch)."""
+    apart = _differences(crowded, sets, percent)
+    sure = apart.where("slack + top >= 0 and key <> a").select("a", F.col("key").alias("b"))
+    labels = relabelled(labels, stored(sure, "links"))
+    return relabelled(labels, stored(verify(_difference_pairs(apart, labels, percent)), "links"))
+
+
+def _resolve(lists: DataFrame, verify, labels: DataFrame | None, percent: int, crowd: int, sets: DataFrame | None = None):
     """The components after all links between different components within the lists: (labels, keys of crowded lists or None).
 
     First each list's smallest key is compared with all members, then a few of the largest component with those
     outside it, and last everyone outside it with everyone of another component. Lists with more than ``crowd``
-    members outside are left to the caller before that last step. Steps without an open list are left out.
+    members outside take no part in that last step: with ``sets``, the whole sets of the members, they are resolved
+    by differences, without they are left to the caller. Steps without an open list are left out.
     """
     member = F.struct("key", "n", "room")
     pivots = lists.groupBy("value").agg(F.min(member).alias("x"), F.count("*").alias("m")).where("m > 1").select("value", "m", *_as_a())
@@ -242,12 +306,17 @@ def _resolve(lists: DataFrame, verify, labels: DataFrame | None, percent: int, c
     open_ = _open(lists, labels)
     if not open_.limit(1).count():
         return labels, None
-    few = open_.where(F.col("outside") <= crowd) if crowd else open_
+    few = open_.where(F.col("outside") <= crowd)
     outside = few.where("component <> main").select("value", member.alias("x"), F.col("component").alias("component_a"))
     pairs = few.join(outside.select("value", "component_a", *_as_a()), "value").where((F.col("component") != F.col("component_a")) & _fits(percent))
     pairs = pairs.where("component = main or key > a").select("a", F.col("key").alias("b"))
     labels = relabelled(labels, stored(verify(pairs), "links"))
-    return labels, open_.where(F.col("outside") > crowd).select("key").distinct() if crowd else None
+    crowded = open_.where(F.col("outside") > crowd)
+    if sets is None:
+        return labels, crowded.select("key").distinct()
+    if crowded.limit(1).count():
+        labels = _resolve_by_differences(crowded, sets, verify, labels, percent)
+    return labels, None
 
 
 def _grouped(documents: DataFrame, words: int, percent: int, k: int) -> DataFrame:
@@ -277,7 +346,8 @@ def _grouped(documents: DataFrame, words: int, percent: int, k: int) -> DataFram
     crowded = crowded if crowded is None else stored(crowded, "crowded")
     if crowded is not None and crowded.limit(1).count():
         whole = full_sets(text_of(crowded), words).select("key", F.size("items").alias("n"), F.col("items").alias("sketch"))
-        labels, _ = _resolve(listed(stored(whole, "crowded-sets"), None, percent), verify, labels, percent, None)
+        whole = stored(whole, "crowded-sets")
+        labels, _ = _resolve(listed(whole, None, percent), verify, labels, percent, FEW, whole)
     labels = labels.withColumnRenamed("key", "class")
     linked_ = classes.select("class", "rep").join(labels, "class")
     firsts = linked_.groupBy("component").agg(F.min("rep").alias("first"))

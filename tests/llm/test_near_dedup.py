@@ -109,3 +109,66 @@ def test_a_text_in_one_list_meets_several_hubs(make):
     assert all(a < 40 for a, _ in pairs) and len(set(pairs)) == len(pairs)
     met = [sum(b == key for _, b in pairs) for key in (40, 41)]  # a room of 3 rules the second list out
     assert 4 < met[0] <= near_dedup.HUBS and met[1] == 4
+
+
+def variants(count, seed):
+    """Texts of 150 words with a few changed ones each; half of the new words occur in several texts."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(count):
+        w = list(base)
+        for _ in range(min(12, int(rng.expovariate(0.25)))):
+            w[rng.randrange(150)] = f"c{rng.randrange(40)}" if rng.random() < 0.5 else f"own{rng.random()}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_variants_of_one_text_make_pairs_in_proportion_to_their_number(make, monkeypatch):
+    """A third of the variants is linked with nothing; they are not compared with all the others."""
+    rows, made, linked = variants(700, 5), [], near_dedup.linked
+
+    def counted(pairs, *rest):
+        made.append(pairs.distinct().count())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "linked", counted)
+    monkeypatch.setattr(near_dedup, "CROWD", 8)
+    found = near_dedup.near_duplicates(make(rows, "doc_id long, text string"), 5, 80).collect()
+    want = brute(rows, 5, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+    assert 100 < sum(d == c for d, (_, c) in want.items()) < 600
+    assert sum(made) < 12 * len(rows)
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_common_differences_find_every_link(make, percent):
+    """Sets around one or two majorities, some without: each link between components is sure or among the pairs."""
+    rng = random.Random(percent)
+    majority = {g: set(range(1000 * g, 1000 * g + 40)) for g in (0, 1)}
+    sets = [set(rng.sample(range(60), rng.randrange(1, 30))) for _ in range(20)]
+    for _ in range(140):
+        s = set(rng.sample(sorted(majority[rng.random() < 0.3]), rng.randrange(28, 41)))
+        sets.append(s | {rng.randrange(2000, 2030) for _ in range(rng.randrange(12))})
+    sets = [set(s) for s in {frozenset(s) for s in sets}]
+    ids = range(len(sets))
+    links = {(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    told = make([(k, len(s), sorted(s)) for k, s in enumerate(sets)], "key long, n long, sketch array<long>")
+    groups = {7: ids, 8: ids[: len(ids) // 2]}
+    crowded = make([(v, k, g) for g, keys in groups.items() for k in keys for v in (1, 2)], "value long, key long, main long")
+    apart = near_dedup._differences(crowded, told, percent)
+    sure = {(r["a"], r["key"]) for r in apart.where("slack + top >= 0 and key <> a").collect()}
+    assert all((min(x), max(x)) in links for x in sure)
+    own = make([(k, k) for k in ids], "key long, component long")
+    asked = []
+
+    def verify(pairs):
+        asked.extend((r["a"], r["b"]) for r in pairs.collect())
+        return make(sorted({x for x in asked if (min(x), max(x)) in links}), "a long, b long")
+
+    found = near_dedup._resolve_by_differences(crowded, told, verify, own, percent)
+    root = list(ids)
+    for _ in ids:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r["key"]: r["component"] for r in found.collect()} == dict(enumerate(root))
