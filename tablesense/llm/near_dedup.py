@@ -204,10 +204,10 @@ def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """
     members = lists.where("m > 2 and key <> a").join(labels, "key", "left")
     members = members.select("value", "key", "n", "room", F.coalesce("component", "key").alias("component"))
-    parts = stored(members.groupBy("value", "component").agg(F.count("*").alias("c")), "list-parts")
+    parts = members.groupBy("value", "component").agg(F.count("*").alias("c"))
     several = parts.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("parts"))
     several = several.where("parts > 1").select("value", F.col("top.component").alias("main"), (F.col("c") - F.col("top.c")).alias("outside"))
-    return stored(members.join(stored(several, "open-lists"), "value"), "open-members")
+    return stored(members.join(several, "value"), "open-members")
 
 
 def _hub_pairs(open_: DataFrame, percent: int) -> DataFrame:
@@ -253,38 +253,30 @@ def _differences(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 def _difference_pairs(apart: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of different components that may have as many differences in common as a link needs.
 
-    All members with a slack of -top or more are in the component of the member closest to the majority by now, so one
-    side of a pair has less. Of that follows how many common differences a member needs at least; as in ``listed``,
+    All members with a slack of -top or more are linked with the member closest to the majority, so one side of a
+    pair has less. Of that follows how many common differences a member needs at least; as in ``listed``,
     it is entered under its rarest ones only, so many that it must meet its partners there.
     """
     each = 2 * (100 + percent)
     partner = F.when(F.col("slack") + F.col("top") < 0, F.col("top")).otherwise(-F.col("top") - 1)
     need = F.greatest(F.ceil((-F.col("slack") - partner) / each), F.lit(1))
-    values = apart.select("g", "key", "a", "slack", F.size("diff").alias("m"), need.alias("need"), F.explode("diff").alias("value"))
-    counts = stored(values.groupBy("g", "value").agg(F.count("*").alias("df")).where("df > 1"), "difference-values")
-    shared = values.join(counts, ["g", "value"]).groupBy("g", "key", "a", "slack", "m", "need")
-    shared = shared.agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    kept = F.slice("shared", F.lit(1), F.greatest(F.size("shared") - F.col("need") + 1, F.lit(0)).cast("int"))
-    rows = shared.select("g", "key", "a", "slack", F.size("shared").alias("held"), F.posexplode(kept).alias("pos", "x"))
-    rows = rows.select("g", F.col("x.value").alias("value"), "key", "a", "slack", (F.col("held") - F.col("pos")).alias("left"))
     root = labels.select(F.col("key").alias("a"), F.col("component").alias("root"))
-    rows = rows.join(labels, "key", "left").join(root, "a", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "key")).withColumn("root", F.coalesce("root", "a"))
-    rows = stored(rows.drop("a"), "difference-lists")
+    members = apart.join(labels, "key", "left").join(root, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    component = F.when(F.col("slack") + F.col("top") >= 0, F.col("root")).otherwise(F.coalesce("component", "key"))
+    own = ["g", "key", "slack", "component", "root", "need"]
+    values = members.withColumn("component", component).withColumn("need", need).select(*own, F.explode("diff").alias("value"))
+    counts = values.groupBy("g", "value").agg(F.count("*").alias("df")).where("df > 1")
+    shared = values.join(counts, ["g", "value"]).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    kept = F.slice("shared", F.lit(1), F.greatest(F.size("shared") - F.col("need") + 1, F.lit(0)).cast("int"))
+    rows = shared.select(*own, F.size("shared").alias("held"), F.posexplode(kept).alias("pos", "x"))
+    rows = rows.select(*own[:-1], F.col("x.value").alias("value"), (F.col("held") - F.col("pos")).alias("left"))
+    rows = stored(rows, "difference-lists")
     outside = rows.where("component <> root").drop("root").withColumnsRenamed({c: f"{c}_a" for c in ("key", "component", "slack", "left")})
     met = rows.join(outside, ["g", "value"]).where("component <> component_a and (component = root or key > key_a)")
     met = met.where(F.col("slack") + F.col("slack_a") + F.least("left", "left_a") * each >= 0)
     return met.select(F.col("key_a").alias("a"), F.col("key").alias("b"))
 
 
-def _resolve_by_differences(crowded: DataFrame, sets: DataFrame, verify, labels: DataFrame, percent: int) -> DataFrame:
-    """The labels after all links between different components within open lists of full ``sets`` (key, n, sketch)."""
-    apart = _differences(crowded, sets, percent)
-    sure = apart.where("slack + top >= 0 and key <> a").select("a", F.col("key").alias("b"))
-    labels = relabelled(labels, stored(sure, "links"))
-    return relabelled(labels, stored(verify(_difference_pairs(apart, labels, percent)), "links"))
-
-
 def _resolve(lists: DataFrame, verify, labels: DataFrame | None, percent: int, crowd: int, sets: DataFrame | None = None):
     """The components after all links between different components within the lists: (labels, keys of crowded lists or None).
 
@@ -310,13 +302,14 @@ def _resolve(lists: DataFrame, verify, labels: DataFrame | None, percent: int, c
     outside = few.where("component <> main").select("value", member.alias("x"), F.col("component").alias("component_a"))
     pairs = few.join(outside.select("value", "component_a", *_as_a()), "value").where((F.col("component") != F.col("component_a")) & _fits(percent))
     pairs = pairs.where("component = main or key > a").select("a", F.col("key").alias("b"))
-    labels = relabelled(labels, stored(verify(pairs), "links"))
-    crowded = open_.where(F.col("outside") > crowd)
-    if sets is None:
-        return labels, crowded.select("key").distinct()
-    if crowded.limit(1).count():
-        labels = _resolve_by_differences(crowded, sets, verify, labels, percent)
-    return labels, None
+    left = open_.where(F.col("outside") > crowd)
+    if sets is None or not left.limit(1).count():
+        labels = relabelled(labels, stored(verify(pairs), "links"))
+        return labels, left.select("key").distinct() if sets is None else None
+    apart = _differences(left, sets, percent)
+    sure = apart.where("slack + top >= 0 and key <> a").select("a", F.col("key").alias("b"))
+    links = verify(pairs.unionAll(_difference_pairs(apart, labels, percent))).unionAll(sure)
+    return relabelled(labels, stored(links, "links")), None
 
 
 def _grouped(documents: DataFrame, words: int, percent: int, k: int) -> DataFrame:

@@ -160,13 +160,9 @@ def test_common_differences_find_every_link(make, percent):
     sure = {(r["a"], r["key"]) for r in apart.where("slack + top >= 0 and key <> a").collect()}
     assert all((min(x), max(x)) in links for x in sure)
     own = make([(k, k) for k in ids], "key long, component long")
-    asked = []
-
-    def verify(pairs):
-        asked.extend((r["a"], r["b"]) for r in pairs.collect())
-        return make(sorted({x for x in asked if (min(x), max(x)) in links}), "a long, b long")
-
-    found = near_dedup._resolve_by_differences(crowded, told, verify, own, percent)
+    pairs = {(r["a"], r["b"]) for r in near_dedup._difference_pairs(apart, own, percent).collect()}
+    pairs = {x for x in pairs if (min(x), max(x)) in links} | sure
+    found = near_dedup.relabelled(own, make(sorted(pairs), "a long, b long"))
     root = list(ids)
     for _ in ids:
         for a, b in links:
